@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from foliate.llm import line_dedup, simhash
+from foliate.llm import decontam, line_dedup, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": decontam.op1_decontaminate,
         "op3_simhash": simhash.op3_simhash,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
