@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from foliate.llm import decontam, line_dedup, simhash
+from foliate.llm import bpe, decontam, line_dedup, simhash, token_file
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontam.op1_decontaminate,
         "op3_simhash": simhash.op3_simhash,
+        "op4_bpe": bpe.op4_bpe,
+        "op8_token_file": token_file.op8_token_file,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
