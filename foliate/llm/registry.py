@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from foliate.llm import bpe, decontam, line_dedup, quality_cnn, quality_rules, secrets, simhash, token_file
+from foliate.llm import bpe, decontam, html_text, line_dedup, quality_cnn, quality_rules, secrets, simhash, token_file
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontam.op1_decontaminate,
+        "op2_html_text": html_text.op2_html_text,
         "op3_simhash": simhash.op3_simhash,
         "op4_bpe": bpe.op4_bpe,
         "op5_secrets": secrets.op5_secrets,
