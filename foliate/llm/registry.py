@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliate.llm import bpe, decontam, html_text, line_dedup, quality_cnn, quality_rules, secrets, simhash, token_file
+from foliate.llm import bpe, decontam, html_text, license_scan, line_dedup, quality_cnn, quality_rules, secrets, simhash, token_file
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_bpe": bpe.op4_bpe,
         "op5_secrets": secrets.op5_secrets,
         "op6_quality_cnn": quality_cnn.op6_quality_cnn,
+        "op7_license_scan": license_scan.op7_license_scan,
         "op8_token_file": token_file.op8_token_file,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_line_dedup": line_dedup.op10_line_dedup,
