@@ -1,0 +1 @@
+"""Documents, plans and retrieval as Spark DataFrame operations."""
