@@ -250,7 +250,7 @@ def cell_lookup_first_wins(spark, d):
     return matrix.flat(r, r, r).withColumn("actions", F.array_join("actions", ";"))
 
 
-@query(_UNITS + ", r AS (SELECT plan_id, CASE WHEN n_nationkey % 2 = 0 THEN 'GENERAL' ELSE 'SUPPLY' END AS category FROM n) SELECT plan_id, category, count(*) AS n, (sum(count(*)) OVER (PARTITION BY plan_id))::BIGINT AS total FROM r GROUP BY ALL")
+@query(_UNITS + ", r AS (SELECT plan_id, CASE WHEN n_nationkey % 2 = 0 THEN 'GENERAL' ELSE 'SUPPLY' END AS category FROM n) SELECT plan_id, category, count(*) AS n, (sum(count(*)) OVER (PARTITION BY plan_id))::BIGINT AS total FROM r GROUP BY plan_id, category")
 def risk_summary(spark, d):
     return matrix.risk_summary(markdown.risks(markdown.sections(fx.plans(spark, d))))
 
