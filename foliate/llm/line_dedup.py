@@ -45,7 +45,7 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
 
 
 def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """``docs`` with boilerplate lines cut from the text, and the counts ``_lines`` and ``_dropped``.
+    """``docs`` with boilerplate lines cut from the text, and the counts ``__foliate_lines`` and ``__foliate_dropped``.
 
     A host has fewer than (lines per page / ratio) boilerplate lines, since each fills that share
     of its pages, so a host's list is small. The table of lists is broadcast if a count of it is
@@ -53,23 +53,23 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     a host is hot.
     """
     found = durable(boilerplate(docs, host_col, text_col, ratio, min_pages).select("host", "line"))
-    lists = found.groupBy("host").agg(F.collect_set("line").alias("_boilerplate")).withColumnRenamed("host", "_host")
+    lists = found.groupBy("host").agg(F.collect_set("line").alias("__foliate_boilerplate")).withColumnRenamed("host", "__foliate_host")
     if found.count() <= broadcast_lines:
         lists = F.broadcast(lists)
     lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_boilerplate"), F.md5(F.trim(x).cast("binary"))))
-    listed = F.col("_boilerplate").isNotNull() & F.col(text_col).isNotNull()
-    out = docs.join(lists, F.col(host_col).eqNullSafe(F.col("_host")), "left")
-    out = out.withColumn("_kept", F.when(listed, kept)).withColumn("_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    out = out.withColumn("_dropped", F.when(listed, F.col("_lines") - F.size("_kept")).otherwise(F.lit(0)).cast("long"))
-    out = out.withColumn(text_col, F.when(listed, F.array_join("_kept", "\n")).otherwise(F.col(text_col)))
-    return out.select(*docs.columns, F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("_lines")).cast("long").alias("_lines"), "_dropped")
+    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__foliate_boilerplate"), F.md5(F.trim(x).cast("binary"))))
+    listed = F.col("__foliate_boilerplate").isNotNull() & F.col(text_col).isNotNull()
+    out = docs.join(lists, F.col(host_col).eqNullSafe(F.col("__foliate_host")), "left")
+    out = out.withColumn("__foliate_kept", F.when(listed, kept)).withColumn("__foliate_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+    out = out.withColumn("__foliate_dropped", F.when(listed, F.col("__foliate_lines") - F.size("__foliate_kept")).otherwise(F.lit(0)).cast("long"))
+    out = out.withColumn(text_col, F.when(listed, F.array_join("__foliate_kept", "\n")).otherwise(F.col(text_col)))
+    return out.select(*docs.columns, F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("__foliate_lines")).cast("long").alias("__foliate_lines"), "__foliate_dropped")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped and the remaining text of every document; a document's source is its host."""
     out = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
+    return out.select("doc_id", F.col("__foliate_lines").alias("n_lines"), F.col("__foliate_dropped").alias("n_dropped"), "text")
 
 
 ORACLE_SQL = f"""

@@ -22,7 +22,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +45,7 @@ def _signed(x: int) -> int:
 
 
 def pivots(n: int = N_PIVOTS, seed: int = SEED) -> list[int]:
-    """Reference fingerprints: random, in complementary-free pairs drawn once from a fixed seed."""
+    """Reference fingerprints, drawn from a fixed seed."""
     draw = random.Random(seed)
     return [draw.getrandbits(BITS) for _ in range(n)]
 
@@ -76,11 +76,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            values = np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": values})
+            values = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
 
     id_type = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInPandas(run, f"doc_id {id_type}, fp long")
+    return source.mapInArrow(run, f"doc_id {id_type}, fp long")
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -129,17 +129,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest id, all columns kept."""
     named = near_duplicates(docs, id_col, text_col)
-    kept = named.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(kept, F.col(id_col) == F.col("_id")).drop("_id").dropDuplicates([id_col])
+    kept = named.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__foliate_id")).distinct()
+    out = docs.join(kept, F.col(id_col) == F.col("__foliate_id")).drop("__foliate_id").dropDuplicates([id_col])
     # Groups without any id: their rows are found again by fingerprint, one row each.
     nameless = docs.where(F.col(id_col).isNull())
     if nameless.isEmpty():
         return out
     ids = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("doc_id")
-    roots = near_duplicates(docs.select(F.when(F.col(id_col).isNull(), ids).alias("doc_id"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("_new")).where("_new"))
+    roots = near_duplicates(docs.select(F.when(F.col(id_col).isNull(), ids).alias("doc_id"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("is_new")).where("is_new"))
     seen = named.where(F.col("component_id").isNotNull()).select("fp").distinct()
-    one = roots.where(F.col("doc_id") == F.col("component_id")).join(seen, "fp", "left_anti").select(F.col("doc_id").alias("_key")).distinct()
-    rest = nameless.withColumn("_key", ids).join(one, "_key").dropDuplicates(["_key"]).drop("_key")
+    one = roots.where(F.col("doc_id") == F.col("component_id")).join(seen, "fp", "left_anti").select(F.col("doc_id").alias("__foliate_key")).distinct()
+    rest = nameless.withColumn("__foliate_key", ids).join(one, "__foliate_key").dropDuplicates(["__foliate_key"]).drop("__foliate_key")
     return out.unionByName(rest)
 
 
