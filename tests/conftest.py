@@ -20,7 +20,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[*]")
         .appName("foliate-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
