@@ -15,26 +15,29 @@ def _norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
 def cosine(a: Column, b: Column) -> Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return F.try_divide(dot, _norm(a) * _norm(b))
+    return F.try_divide(_dot(a, b), _norm(a) * _norm(b))
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float = 0.2) -> DataFrame:
     """query_id, vec_id, score, rank: the ``k`` nearest vectors of each query at or above the threshold.
 
-    The query set is stated and bounded; it goes to every task in one broadcast, and each task keeps its own
-    k best before the few survivors meet, so the vectors are never shuffled.
+    The query set is stated and bounded; it goes to every task in one broadcast. Spark limits each query's rows
+    to ``k`` in every task before they are shuffled (a window group limit), so the vectors never are.
     """
     if queries.limit(QUERIES + 1).count() > QUERIES:
         raise ValueError(f"more than {QUERIES} queries: search them in blocks")
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
-    pairs = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("_q"), F.col("embedding")), 6).alias("score")).where(F.col("score") >= threshold)
-    order = (F.col("score").desc(), F.col("vec_id"))
-    part = pairs.withColumn("_p", F.spark_partition_id())
-    best = part.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "_p").orderBy(*order))).where(F.col("_n") <= k)
-    ranked = best.drop("_p", "_n").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return ranked.where(F.col("rank") <= k)
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"), _norm(F.col("embedding")).alias("_nq"))
+    v = vectors.select("vec_id", "embedding", _norm(F.col("embedding")).alias("_nv"))
+    score = F.round(F.try_divide(_dot(F.col("_q"), F.col("embedding")), F.col("_nq") * F.col("_nv")), 6)
+    pairs = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", score.alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    # The threshold comes last: put before the window it would be computed twice for every pair.
+    return pairs.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("score") >= threshold))
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
