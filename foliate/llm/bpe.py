@@ -37,6 +37,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PAIRS = 250_000
 #: No pair of tokens merges.
 _NEVER = 1 << 62
+#: Pieces in each of the two generations of a worker's cache: workers stay, so what they hold is kept small.
+PIECES = 150_000
 #: Ids decoded at a time.
 STEP = 1 << 14
 
@@ -168,7 +170,7 @@ def decode(vocabulary: Vocabulary, ids: np.ndarray):
 
 def encoder(vocabulary: Vocabulary) -> PieceCache:
     """Whole texts to their ids as decimals joined by commas."""
-    return PieceCache(lambda texts: [",".join(map(str, vocabulary.encode(t))) for t in texts], ",".join)
+    return PieceCache(lambda texts: [",".join(map(str, vocabulary.encode(t))) for t in texts], ",".join, PIECES)
 
 
 _loaded: dict[str, tuple[Vocabulary, PieceCache]] = {}
