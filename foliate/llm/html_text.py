@@ -38,11 +38,13 @@ CUT_NAMES = frozenset(
     modal nav navbar navigation navigator newsletter notice notices notification overlay pager pagination paywall
     popup promo promotion promoted recommended recommendations related replies reply respond share sharing shares
     sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar
-    widget widgets alert aside rail teaser trending""".split()
+    widget widgets alert aside rail teaser trending gdpr responses response search searchbox feedback""".split()
 )
 #: Elements that a name cuts only if it is one of readers' comments or adverts.
 FIRM = frozenset("html body main article".split())
 FIRM_CUTS = frozenset("ad ads advert advertisement comment comments commentlist reply replies sponsored promo related teaser".split())
+#: A name that marks an article's own head, beside one of an article's parts, cuts nothing; nor does it cut a heading.
+HEAD_NAMES, OWN_NAMES = frozenset("header byline".split()), frozenset("article content entry post story page".split())
 #: An element of the first kind ends an open one of the second, up to an element of the third.
 IMPLIED = {
     **{k: (frozenset(["p"]), frozenset("article aside blockquote body button caption dd details dialog div dt fieldset figcaption figure footer form header html li main nav section table td th".split())) for k in BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}},
@@ -83,8 +85,11 @@ def _cut(tag: str, attributes: str) -> bool:
             return True
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
             return not firm or tag == "article"
-        if name in ("class", "id") and not (FIRM_CUTS if firm else CUT_NAMES).isdisjoint(x.lower() for x in _NAME.findall(value)):
-            return tag not in ("html", "body")
+        if name in ("class", "id"):
+            parts = {x.lower() for x in _NAME.findall(value)}
+            cuts = parts & (FIRM_CUTS if firm or tag in HEADINGS else CUT_NAMES)
+            if cuts and tag not in ("html", "body") and not (cuts <= HEAD_NAMES and (tag == "header" or parts & OWN_NAMES)):
+                return True
     return False
 
 

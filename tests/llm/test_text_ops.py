@@ -105,6 +105,8 @@ PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1></header
         ("<div><p>a</p></div><div>b", "a b"),
         ("<!-- x", ""),
         ("<article><h1>T</h1><p>a<b>b</b>c</article><article class=comment><p>no, no, no, no</p></article>", "T abc"),
+        ('<article><header class="entry-header"><h1 class="header">T</h1></header><p>text, more</p></article>', "T text, more"),
+        ('<div class="page-header"><a href=/>home</a></div><div class="post"><div class="post-header"><h1>T</h1></div><p>text, more, words</p></div><div class="responses"><p>a, b</p></div>', "T text, more, words"),
         ("<body><nav><a>x</a></nav><main><p>text</p><aside>no</aside></main></body>", "text"),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
     ],
