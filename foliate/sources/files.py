@@ -34,9 +34,8 @@ def scan_folder(spark: SparkSession, folder: str, recursive: bool = True, conten
 
 
 def decode_text(content: Column) -> Column:
-    """Bytes as text: UTF-8 if valid, else GBK, else Latin-1."""
-    utf8 = F.expr("try_validate_utf8(CAST(content AS STRING))") if isinstance(content, str) else F.try_validate_utf8(content.cast("string"))
-    return F.coalesce(utf8, F.decode(content, "ISO-8859-1"))
+    """Bytes as text: UTF-8 if valid, else Latin-1, which any bytes are; Spark decodes no GBK."""
+    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
 
 
 def read_content_lists(spark: SparkSession, path: str, base: str = "") -> DataFrame:

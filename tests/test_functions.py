@@ -147,3 +147,18 @@ def test_flatten_nodes(spark):
 def test_ocr_lines_stay(spark):
     pages = spark.createDataFrame([(1, 7, [("Same", 0.9), ("Same", 0.8), (" ", 0.1)])], "doc_id long, page_idx long, lines array<struct<text: string, confidence: double>>")
     assert [r["text"] for r in files.ocr_blocks(pages).collect()] == ["Same", "Same"]
+
+
+def test_decode_text(spark):
+    rows = spark.createDataFrame([(bytearray("é中".encode()),), (bytearray(b"\xe9a"),)], "c binary")
+    assert [r["t"] for r in rows.select(files.decode_text(F.col("c")).alias("t")).collect()] == ["é中", "éa"]
+
+
+def test_setting_rules_and_chunks(spark):
+    models = spark.createDataFrame([(1, "openai", "m", 3, 8.0), (2, "none", "", 0, 11.0), (3, None, "m", None, None)], "id int, provider string, model string, max_iterations int, quality_threshold double")
+    broken = {}
+    for r in control.setting_violations(models).collect():
+        broken.setdefault(r["id"], set()).add(r["rule"])
+    assert broken == {2: {"provider unknown", "model missing", "iterations not positive", "threshold out of range"}, 3: {"provider missing", "iterations not positive", "threshold out of range"}}
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a"), (3, " "), (4, "a b c")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["chunk_idx"], r["text"]) for r in blocks.overlapping_chunks(docs, 3, 1).collect()) == [(1, 0, "a b c"), (1, 1, "c d e"), (2, 0, "a"), (4, 0, "a b c")]
