@@ -504,6 +504,59 @@ def retrieve_mix(spark, d):
     return _by_mode(spark, d, "mix")
 
 
+# Prompts, descriptions and marks
+
+
+@query("""SELECT c_custkey, 'M:' || c_name || chr(10) || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || '【改进建议（请根据以下反馈改进）】' || chr(10) || c_mktsegment || chr(10) ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || '【上一版COA表格（请在此基础上改进）】' || chr(10) || 'old' || chr(10) ELSE '' END || chr(10) || 'end' AS prompt FROM customer""")
+def planner_prompt(spark, d):
+    prompt = text.plan_prompt(F.col("c_name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")), F.when(F.col("c_custkey") % 3 == 0, F.lit("old")), "M:", "end")
+    return table(spark, d, "customer").select("c_custkey", prompt.alias("prompt"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'c' || lang WHEN 1 THEN 't' || lang ELSE lang || chr(10) || source END AS context FROM documents")
+def context_from_map(spark, d):
+    m = F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("text"), F.lit("x"), F.lit("content"), F.concat(F.lit("c"), F.col("lang")))).when(F.col("doc_id") % 3 == 1, F.create_map(F.lit("text"), F.concat(F.lit("t"), F.col("lang")), F.lit("z"), F.lit("y"))).otherwise(F.create_map(F.lit("b"), F.col("source"), F.lit("a"), F.col("lang")))
+    return table(spark, d, "documents").select("doc_id", text.dict_context(m).alias("context"))
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Image path: ' || url WHEN 1 THEN 'Image path: ' || url || '; Image captions: c' || page_id || '; Image footnotes: f' ELSE 'Image content information incomplete' END AS description FROM pages""")
+def query_image_description(spark, d):
+    k = F.col("page_id") % 3
+    described = text.image_description(F.when(k < 2, F.col("url")), F.when(k == 1, F.concat(F.lit("c"), F.col("page_id").cast("string"))), F.when(k == 1, F.lit("f")).otherwise(F.lit("")))
+    return table(spark, d, "pages").select("page_id", described.alias("description"))
+
+
+@query("SELECT doc_id, base64(encode(left(text, 60))) AS b64 FROM documents")
+def base64_encode(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.base64_text(F.substring("text", 1, 60).cast("binary")).alias("b64"))
+
+
+@query("SELECT page_id, page_id % 5 IN (2) AND page_id % 7 <> 0 AND length(html) * 20000 <= 52428800 AS valid FROM pages")
+def image_validity(spark, d):
+    valid = retrieve.valid_image(F.col("path"), F.col("size"), F.col("page_id") % 7 == 0)
+    sizes = table(spark, d, "pages").select("page_id", (F.length("html") * 20000).alias("size"))
+    return _paths(spark, d).join(sizes, "page_id").select("page_id", valid.alias("valid"))
+
+
+@query("SELECT event_id, event_type, CASE event_type WHEN 'click' THEN '点击' WHEN 'view' THEN '浏览' ELSE event_type END AS translation FROM events")
+def rule_translation(spark, d):
+    known = spark.sql("SELECT * FROM VALUES ('click', '点击'), ('view', '浏览') AS t(event_type, translation)")
+    return control.translated(table(spark, d, "events").select("event_id", "event_type"), known, "event_type")
+
+
+@query("""SELECT user_id, done, total FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS done, count(*) OVER (PARTITION BY user_id) AS total FROM events)
+    WHERE done % greatest(1, floor(total * 0.1::DOUBLE)::BIGINT) = 0 OR done = total""")
+def progress_marks(spark, d):
+    return control.progress_marks(table(spark, d, "events"), "user_id", "event_id")
+
+
+@query("SELECT l_suppkey AS node, count(*) AS n_edges, count(DISTINCT l_partkey) AS n_neighbours FROM lineitem WHERE l_suppkey % 50 = 0 GROUP BY ALL")
+def graph_neighbours(spark, d):
+    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("tgt"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("weight")).withColumn("src", F.col("src").cast("string"))
+    nodes = table(spark, d, "supplier").where("s_suppkey % 50 = 0").select(F.col("s_suppkey").cast("string").alias("node"), F.col("s_suppkey").alias("query_id"))
+    return retrieve.neighbours(nodes, edges).groupBy(F.col("query_id").alias("node")).agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("tgt").alias("n_neighbours"))
+
+
 # Streaming, with the batch result in SQL
 
 

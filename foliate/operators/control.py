@@ -121,3 +121,17 @@ def messages_joined(turns: DataFrame) -> DataFrame:
 def messages_plain(turns: DataFrame, temperature: Column, default: float = 0.7) -> DataFrame:
     """Turns as they are, with the default where no temperature is set."""
     return turns.withColumn("temperature", F.coalesce(temperature, F.lit(default)))
+
+
+def translated(rules: DataFrame, known: DataFrame, col: str) -> DataFrame:
+    """``rules`` with their translation, or the rule itself where none is known."""
+    t = known.select(F.col(col).alias("_rule"), F.col("translation").alias("_t"))
+    return rules.join(t, F.col(col) == F.col("_rule"), "left").withColumn("translation", F.coalesce("_t", F.col(col))).drop("_rule", "_t")
+
+
+def progress_marks(items: DataFrame, key: str, order: str, share: float = 0.1) -> DataFrame:
+    """The items of each key at which another ``share`` of them is done: their number, at least every one."""
+    w = Window.partitionBy(key)
+    numbered = items.withColumn("done", F.row_number().over(w.orderBy(order)).cast("long")).withColumn("total", F.count(F.lit(1)).over(w))
+    step = F.greatest(F.lit(1), F.floor(F.col("total") * share)).cast("long")
+    return numbered.where((F.col("done") % step == 0) | (F.col("done") == F.col("total"))).select(key, "done", "total")

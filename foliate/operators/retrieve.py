@@ -109,3 +109,8 @@ def vlm_parts(prompt: Column) -> Column:
         return F.filter(F.array(image, text), lambda y: y.isNotNull())
 
     return F.flatten(F.transform(pieces, part))
+
+
+def valid_image(path: Column, size: Column, link: Column) -> Column:
+    """Whether a file may be shown to a vision model: an image suffix, no link, and not too large."""
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*IMAGES) & ~F.coalesce(link, F.lit(False)) & (size <= IMAGE_BYTES)
