@@ -12,6 +12,10 @@ equal bands give the candidates. Where a band's bucket holds more than ``BUCKET`
 points at distance one: two fingerprints within two bits have a common point at distance one at
 most, and no point has more than 65 such neighbours. Nothing is capped or dropped.
 
+For texts that are similar to 0.8 or so in their 5-word shingles, 64 bits within two are too strict. ``wide`` adds
+five words of bits; texts that share one of eighteen bands and differ in 60 of the 384 bits at most are
+linked too. This is a hashing scheme: it finds most such pairs, not all.
+
 Defined results: a null or empty text has fingerprint zero and links like any other; repeated rows
 and ties share a group; a null id keeps its row, and a group's id is its smallest id that is not
 null (null if it has none); other columns are ignored.
@@ -20,6 +24,8 @@ null (null if it has none); other columns are ignored.
 from __future__ import annotations
 
 import random
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +42,9 @@ RADIUS = 2
 SHINGLE = 3
 BUCKET = 32
 N_PIVOTS = 16
+#: Wide fingerprints: words, the most differing bits of two that are linked, and the odd number that mixes hashes.
+WIDE, WIDE_RADIUS, WIDE_SHINGLE = 6, 60, 5
+_MIX = 0x9E3779B97F4A7C15
 #: Bit bands (shift, width): one more than the differing bits allowed.
 BANDS = ((0, 21), (21, 21), (42, 22))
 
@@ -50,37 +59,69 @@ def pivots(n: int = N_PIVOTS, seed: int = SEED) -> list[int]:
     return [draw.getrandbits(BITS) for _ in range(n)]
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """Unsigned fingerprint of one whole text; words are split at ASCII white space, A-Z lower-cased."""
+def _hashes(text: str, shingle: int):
+    """Number of shingles, and their hashes in stretches."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
+    n = max(1, len(words) - shingle + 1) if words else 0
     joined = b" ".join(words)
-    if n == 1:
-        return xxhash.xxh64_intdigest(joined, SEED)
+    digest = xxhash.xxh64_intdigest
+    if n < 2:
+        return n, [np.array([digest(joined, SEED)] * n, np.uint64)]
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    counts = np.zeros(BITS, np.int64)
-    for i in range(0, n, 1 << 16):
-        a, b = starts[i : min(n, i + (1 << 16))].tolist(), ends[i + shingle - 1 : min(n, i + (1 << 16)) + shingle - 1].tolist()
-        h = np.fromiter([digest(joined[x:y], SEED) for x, y in zip(a, b)], np.uint64, len(a))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+    def stretches():
+        for i in range(0, n, 1 << 16):
+            a, b = starts[i : min(n, i + (1 << 16))].tolist(), ends[i + shingle - 1 : min(n, i + (1 << 16)) + shingle - 1].tolist()
+            yield np.fromiter([digest(joined[x:y], SEED) for x, y in zip(a, b)], np.uint64, len(a))
+
+    return n, stretches()
+
+
+def _counts(h: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _word(counts: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for every row."""
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """Unsigned fingerprint of one whole text; words are split at ASCII white space, A-Z lower-cased."""
+    n, stretches = _hashes(text, shingle)
+    return _word(sum((_counts(h) for h in stretches), np.zeros(BITS, np.int64)), n)
+
+
+def wide_fingerprint(text: str, shingle: int) -> list[int]:
+    """The fingerprint and further words of bits from the same hashes, each mixed anew."""
+    n, stretches = _hashes(text, shingle)
+    counts = np.zeros((WIDE, BITS), np.int64)
+    for h in stretches:
+        for k in range(WIDE):
+            counts[k] += _counts(h)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(_MIX)
+            h ^= h >> np.uint64(32)
+    return [_word(c, n) for c in counts]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) for every row; and wide, with all its words, if asked for."""
     source = id_and_text(docs, id_col, text_col)
 
     def run(batches):
         for batch in batches:
-            values = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
+            texts = batch.column(1).to_pylist()
+            if wide:
+                values = np.array([wide_fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, WIDE).view(np.int64)
+                words = pa.ListArray.from_arrays(pa.array(np.arange(0, WIDE * len(texts) + 1, WIDE), pa.int32()), pa.array(values.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values[:, 0]), words], ["doc_id", "fp", "wide"])
+            else:
+                values = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
 
     id_type = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {id_type}, fp long")
+    return source.mapInArrow(run, f"doc_id {id_type}, fp long" + ", wide array<long>" * wide)
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -92,10 +133,14 @@ def pivot_table(fps: DataFrame, references: list[int]) -> DataFrame:
     return fps.select("fp", F.array(*[_differing(F.col("fp"), F.lit(_signed(p))).cast("byte") for p in references]).alias("far"))
 
 
+def _gap() -> Column:
+    """Largest difference of the pivot coordinates far and far2."""
+    return F.aggregate(F.zip_with("far", "far2", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda x, y: F.greatest(x, y))
+
+
 def _surviving(pairs: DataFrame, radius: int) -> DataFrame:
     """Pairs (fp, far, fp2, far2) left by the pivot coordinates, then by the true distance."""
-    gap = F.aggregate(F.zip_with("far", "far2", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda x, y: F.greatest(x, y))
-    return pairs.where(gap <= radius).where(_differing(F.col("fp"), F.col("fp2")) <= radius).select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
+    return pairs.where(_gap() <= radius).where(_differing(F.col("fp"), F.col("fp2")) <= radius).select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
 
 
 def links(distinct: DataFrame, bucket: int = BUCKET, n_pivots: int = N_PIVOTS) -> DataFrame:
@@ -114,11 +159,37 @@ def links(distinct: DataFrame, bucket: int = BUCKET, n_pivots: int = N_PIVOTS) -
     return _surviving(pairs.unionByName(near), RADIUS)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fp, root, component_id for every row: root names the group, component_id is its smallest id."""
-    rows = durable(fingerprints(docs, id_col, text_col, shingle))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    groups = components(links(distinct.select("fp"), bucket)).select(F.col("node").alias("fp"), "root")
+def wide_links(distinct: DataFrame, n_pivots: int = N_PIVOTS) -> DataFrame:
+    """u, v: links of distinct fingerprints (fp, wide) to the least one that shares a band of 21 bits, within ``WIDE_RADIUS`` bits.
+
+    Every bucket links to its least member, so the rows are as many as fingerprints and bands however large a group is.
+    """
+    references = pivots(n_pivots * WIDE, SEED + 1)
+    word = lambda i: F.element_at("wide", i + 1)
+    total = lambda parts: reduce(add, parts)
+    far = F.array(*[total(_differing(word(i), F.lit(_signed(references[p * WIDE + i]))) for i in range(WIDE)) for p in range(n_pivots)])
+    whole = durable(distinct.select("fp", "wide", far.alias("far")))
+    keys = [F.struct(F.lit(3 * i + j).alias("band"), F.shiftrightunsigned(word(i), 21 * j).bitwiseAND(F.lit((1 << 21) - 1)).alias("key")) for i in range(WIDE) for j in range(3)]
+    bands = whole.select("fp", F.explode(F.array(*keys)).alias("b")).select("fp", "b.band", "b.key")
+    least = bands.groupBy("band", "key").agg(F.min("fp").alias("fp2"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = bands.join(least, ["band", "key"]).where("fp <> fp2").select("fp", "fp2").distinct()
+    both = pairs.join(whole, "fp").join(whole.select(F.col("fp").alias("fp2"), F.col("wide").alias("wide2"), F.col("far").alias("far2")), "fp2")
+    apart = F.aggregate(F.zip_with("wide", "wide2", _differing), F.lit(0), lambda x, y: x + y)
+    return both.where(_gap() <= WIDE_RADIUS).where(apart <= WIDE_RADIUS).select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET, wide: bool = False) -> DataFrame:
+    """doc_id, fp, root, component_id for every row: root names the group, component_id is its smallest id.
+
+    With ``wide``, fingerprints are also linked by their further words (see ``wide_links``), which
+    reach texts whose shingles are similar to 0.8 or so.
+    """
+    rows = durable(fingerprints(docs, id_col, text_col, shingle, wide))
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min("wide").alias("wide")] * wide)
+    found = links(distinct.select("fp"), bucket)
+    if wide:
+        found = found.unionByName(wide_links(distinct.select("fp", "wide")))
+    groups = components(found).select(F.col("node").alias("fp"), "root")
     linked = distinct.join(groups, "fp")
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(ids, "root").select("fp", "root", "component_id")
@@ -126,9 +197,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, wide: bool = True) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest id, all columns kept."""
-    named = near_duplicates(docs, id_col, text_col)
+    named = near_duplicates(docs, id_col, text_col, shingle, wide=wide)
     kept = named.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__foliate_id")).distinct()
     out = docs.join(kept, F.col(id_col) == F.col("__foliate_id")).drop("__foliate_id").dropDuplicates([id_col])
     # Groups without any id: their rows are found again by fingerprint, one row each.
@@ -136,7 +207,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if nameless.isEmpty():
         return out
     ids = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("doc_id")
-    roots = near_duplicates(docs.select(F.when(F.col(id_col).isNull(), ids).alias("doc_id"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("is_new")).where("is_new"))
+    roots = near_duplicates(docs.select(F.when(F.col(id_col).isNull(), ids).alias("doc_id"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("is_new")).where("is_new"), shingle=shingle, wide=wide)
     seen = named.where(F.col("component_id").isNotNull()).select("fp").distinct()
     one = roots.where(F.col("doc_id") == F.col("component_id")).join(seen, "fp", "left_anti").select(F.col("doc_id").alias("__foliate_key")).distinct()
     rest = nameless.withColumn("__foliate_key", ids).join(one, "__foliate_key").dropDuplicates(["__foliate_key"]).drop("__foliate_key")

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from foliate.llm import bpe, quality_cnn
 from tests.llm.helpers import awkward, nothing
-from tests.llm.test_dedup import _fingerprint, _roots
+from tests.llm.test_dedup import wide_groups
 from tests.llm.test_text_ops import _holding
 from tokenizers import Tokenizer
 
@@ -27,8 +27,7 @@ def test_run_same_as_brute_force(spark, sf_dir):
     net = quality_cnn.fit(read("documents"), read("labels"))
     scores = dict(zip(docs, quality_cnn.score_texts(net, [t for _, t in docs.values()])))
     kept = _without_boilerplate({d: x for d, x in docs.items() if scores[d] >= quality_cnn.KEEP})
-    fps = {d: _fingerprint(t) for d, t in kept.items()}
-    roots = _roots(sorted(kept), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    roots = wide_groups(kept)
     kept = {d: t for d, t in kept.items() if roots[d] == d}
     held = {d for d, _ in _holding(kept, {r["item_id"]: r["text"] for r in read("benchmark").collect()})}
     tokenizer = Tokenizer.from_file(bpe.default_path())
