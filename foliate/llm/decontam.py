@@ -11,8 +11,9 @@ searched, with the blocks' largest impacts to step over what can't reach it. Eve
 part at or above it is retrieved, and its item is verified: enough of the word 5-grams of the
 question, and of the answer, must be in the document.
 
-The index is broadcast in shards of ``SHARD_BYTES`` of item text, as many as the benchmark needs, with
-word counts over the whole benchmark; so its size never exceeds that bound, and the documents are never shuffled.
+The index is broadcast in shards of about ``SHARD_BYTES`` of item text, as many as the benchmark needs, with
+word counts over the whole benchmark. The documents are read once a shard, so no task holds more
+than one shard, and are never shuffled.
 
 Defined results: null or empty texts and items without words match nothing; repeated rows each
 give their rows; items with the same text are all reported; a null id is passed on; other columns
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from foliate.llm.common import as_text, id_and_text, table
+from foliate.llm.common import as_text, durable, id_and_text, table
 
 PART = 64
 K1, B = 1.2, 0.75
@@ -42,7 +44,7 @@ GRAM, OVERLAP = 5, 0.8
 REST = 0.3
 #: Postings a block.
 BLOCK = 32
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 
 #: ASCII letters and digits stay, other ASCII characters part words; other bytes belong to words.
 _WORD_BYTES = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
@@ -220,7 +222,7 @@ def parts_of(text: str) -> list[list[bytes]]:
 
 
 def _indexes(items: DataFrame, item_id: str, item_text: str, shard_bytes: int):
-    """The broadcast shards of the index, and the type of the item ids."""
+    """The broadcast shards of the index, one after the other."""
     spark = items.sparkSession
     items = items.select(F.col(item_id).alias("item_id"), as_text(F.col(item_text)).alias("text"))
 
@@ -237,44 +239,51 @@ def _indexes(items: DataFrame, item_id: str, item_text: str, shard_bytes: int):
     size = parts.groupBy("item", "part").agg(F.max("n_words").alias("n")).agg(F.count("n").alias("parts"), F.coalesce(F.avg("n"), F.lit(1.0)).alias("mean")).first()
     counts = parts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     shards = max(1, -(-total // shard_bytes))
-    indexes = []
     for k in range(shards):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k) if shards > 1 else items
         used = own.mapInArrow(part_words, schema).select("word").distinct()
         df = {bytes(r["word"]): r["df"] for r in counts.join(used, "word").collect()}
         rows = sorted(((r["item_id"], r["text"]) for r in own.collect()), key=repr)
-        indexes.append(spark.sparkContext.broadcast(Index(rows, df, size["parts"], size["mean"])))
-    return indexes, items.schema["item_id"].dataType
+        yield spark.sparkContext.broadcast(Index(rows, df, size["parts"], size["mean"]))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every verified match."""
-    indexes, id_type = _indexes(items, item_id, item_text, shard_bytes)
-    source = id_and_text(docs, id_col, text_col)
+    source, id_type = id_and_text(docs, id_col, text_col), items.schema[item_id].dataType
     doc_type, item_type = source.schema["doc_id"].dataType.simpleString(), to_arrow_type(id_type)
     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
 
-    def run(batches):
-        for batch in batches:
-            hits = [(k, *m) for k, t in enumerate(batch.column(1).to_pylist()) for index in indexes for m in index.value.matches(t, threshold, overlap)]
-            rows, items_, *numbers = list(zip(*hits)) or [[]] * 5
-            columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items_, item_type), *(pa.array(x, pa.float64()) for x in numbers)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+    def found(index):
+        def run(batches):
+            for batch in batches:
+                hits = [(k, *m) for k, t in enumerate(batch.column(1).to_pylist()) for m in index.value.matches(t, threshold, overlap)]
+                rows, items_, *numbers = list(zip(*hits)) or [[]] * 5
+                columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items_, item_type), *(pa.array(x, pa.float64()) for x in numbers)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        return source.mapInArrow(run, f"doc_id {doc_type}, item_id {id_type.simpleString()}, score double, question_overlap double, answer_overlap double")
 
-    return source.mapInArrow(run, f"doc_id {doc_type}, item_id {id_type.simpleString()}, score double, question_overlap double, answer_overlap double")
+    return reduce(DataFrame.unionByName, map(found, _indexes(items, item_id, item_text, shard_bytes)))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` without the rows that hold a test item; all columns are kept and nothing is shuffled."""
-    indexes, _ = _indexes(items, item_id, item_text, shard_bytes)
+    """``docs`` without the rows that hold a test item; all columns are kept and nothing is shuffled.
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            clean = [not (t and any(index.value.matches(t, threshold, overlap) for index in indexes)) for t in texts]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+    Between shards the rows left are written to the shared folder, so each pass holds one shard.
+    """
+
+    def without(index):
+        def run(batches):
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                yield batch.filter(pa.array([not (t and index.value.matches(t, threshold, overlap)) for t in texts], pa.bool_()))
+
+        return run
 
-    return docs.mapInArrow(run, docs.schema)
+    left = None
+    for index in _indexes(items, item_id, item_text, shard_bytes):
+        left = (docs if left is None else durable(left)).mapInArrow(without(index), docs.schema)
+    return left
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
