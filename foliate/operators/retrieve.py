@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.functions.ids import basename, cache_key, digest
 
-#: Rows of a query set that may be broadcast.
+#: Rows of a query set that are broadcast at once, about.
 QUERIES = 10_000
 
 
@@ -23,14 +25,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(_dot(a, b), _norm(a) * _norm(b))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float = 0.2) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float = 0.2, block: int = QUERIES) -> DataFrame:
     """query_id, vec_id, score, rank: the ``k`` nearest vectors of each query at or above the threshold.
 
-    The query set is stated and bounded; it goes to every task in one broadcast. Spark limits each query's rows
-    to ``k`` in every task before they are shuffled (a window group limit), so the vectors never are.
+    The query set goes to every task in blocks of about ``block`` rows, by hash of the id, one broadcast each; the
+    vectors are read once a block. Spark limits each query's rows to ``k`` in every task before they are shuffled
+    (a window group limit), so the vectors never are.
     """
-    if queries.limit(QUERIES + 1).count() > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries: search them in blocks")
+    n = max(1, -(-queries.count() // block))
+    return reduce(DataFrame.unionByName, [_top_k(queries if n == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i), vectors, k, threshold) for i in range(n)])
+
+
+def _top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: float) -> DataFrame:
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"), _norm(F.col("embedding")).alias("_nq"))
     v = vectors.select("vec_id", "embedding", _norm(F.col("embedding")).alias("_nv"))
     score = F.round(F.try_divide(_dot(F.col("_q"), F.col("embedding")), F.col("_nq") * F.col("_nv")), 6)
