@@ -424,6 +424,12 @@ def vlm_message_parts(spark, d):
     return docs.select("doc_id", F.array_join(F.transform(retrieve.vlm_parts(prompt), lambda x: F.concat(x["type"], F.lit(":"), x["value"])), "|").alias("parts"))
 
 
+@query("""SELECT doc_id, concat_ws('|', CASE WHEN trim(text, ' ' || chr(9) || chr(10)) <> '' THEN 'text:' || trim(text, ' ' || chr(9) || chr(10)) END, 'image:1|text:and|image:2') AS parts FROM documents""")
+def vlm_message_parts_whole(spark, d):
+    prompt = F.concat(F.coalesce("text", F.lit("")), F.lit("\n[VLM_IMAGE_1] and [VLM_IMAGE_2] "))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(retrieve.vlm_parts(prompt), lambda x: F.concat(x["type"], F.lit(":"), x["value"])), "|").alias("parts"))
+
+
 @query("""WITH e AS (SELECT doc_id, unnest(list_distinct(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: regexp_matches(w, '^[A-Z][a-z]{3,}[.,;:!?]*$')), lambda w: regexp_replace(w, '[.,;:!?]+$', '')))) AS entity FROM documents), m AS (SELECT doc_id, entity, 'Doc ' || doc_id AS owner FROM e)
     SELECT doc_id, entity AS src, owner AS tgt, 'belongs_to,part_of,contained_in' AS keywords, 10.0::DOUBLE AS weight, 'Entity ' || entity || ' belongs to ' || owner AS description, 'rel-' || md5(entity || owner) AS rel_id,
     'belongs_to,part_of,contained_in' || chr(9) || entity || chr(10) || owner || chr(10) || 'Entity ' || entity || ' belongs to ' || owner AS content FROM m""")
@@ -531,6 +537,11 @@ def base64_encode(spark, d):
     return table(spark, d, "documents").select("doc_id", text.base64_text(F.substring("text", 1, 60).cast("binary")).alias("b64"))
 
 
+@query("SELECT doc_id, coalesce(base64(encode(text)), '') AS b64 FROM documents")
+def base64_encode_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.base64_text(F.col("text").cast("binary")).alias("b64"))
+
+
 @query("SELECT page_id, page_id % 5 IN (2) AND page_id % 7 <> 0 AND length(html) * 20000 <= 52428800 AS valid FROM pages")
 def image_validity(spark, d):
     valid = retrieve.valid_image(F.col("path"), F.col("size"), F.col("page_id") % 7 == 0)

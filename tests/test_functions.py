@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from foliate import catalog
 from foliate.functions import ids, text
 from foliate.operators import blocks, control, retrieve
 from foliate.plans import markdown, matrix
@@ -172,3 +173,14 @@ def test_top_k_of_queries_in_blocks(spark):
     assert {r[0] for r in want} == set(range(60))
     many = spark.range(retrieve.QUERIES + 1).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
     assert retrieve.top_k(many, many.limit(2)).select("query_id").distinct().count() == retrieve.QUERIES + 1
+
+
+def test_whole_texts_with_blank_parts_and_line_feeds(spark, tmp_path):
+    import base64
+
+    texts = ["", None, " \n\t", "  a\nb  ", "x" * 200 + "\né", " one"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["b64"] for r in catalog.QUERIES["base64_encode_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: base64.b64encode((t or "").encode()).decode() for i, t in enumerate(texts)}
+    got = {r["doc_id"]: r["parts"] for r in catalog.QUERIES["vlm_message_parts_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: "|".join([f"text:{(t or str()).strip()}"] * bool((t or "").strip()) + ["image:1", "text:and", "image:2"]) for i, t in enumerate(texts)}
