@@ -66,14 +66,14 @@ TEMPLATES = {
     ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."),
 }
-#: Stems one of which is in every template: the licence vocabulary.
-VOCABULARY = ("licens", "redistribut", "permission", "copyright", "warrant")
+#: Stems one of which is in every template (a test sends each through the gate): the licence vocabulary.
+VOCABULARY = ("licens", "licenc", "redistribut", "permission", "copyright", "warrant", "public domain", "cc0", "rights reserved")
 #: Sentences with that vocabulary that grant nothing: they teach the unknown class.
 OTHERS = (
     "He lost his driving license after the accident.", "A fishing license costs ten dollars a year.", "The license plate was found near the river.", "Permission to enter the hall was refused.",
     "With the permission of the editor we print the letter.", "The television comes with a two year warranty.", "A search warrant was issued by the judge.", "The dispute was about copyright in old songs.",
     "Copyright law differs from country to country.", "The bar lost its liquor license in the spring.", "She asked for permission to leave early.", "All rights and the copyright stay with the publisher.",
-    "Software license fees rose again this year.", "The redistribution of land was slow.", "The doctor renewed her medical license.", "A license to print money, said the minister.",
+    "Software license fees rose again this year.", "The redistribution of land was slow.", "The doctor renewed her medical license.", "A license to print money, said the minister.", "The old songs are in the public domain now.", "All rights reserved.",
 )
 UNKNOWN = "unknown"
 N_GRAMS = 3
@@ -86,8 +86,8 @@ SHINGLE, SIMILAR = 5, 0.8
 
 
 def words(text: Column) -> Column:
-    """Lower-cased words of ASCII letters and digits; other characters but word letters part them."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Lower-cased words of letters and digits, parted by other characters; "licence" is spelt "license"."""
+    return F.filter(F.split(F.replace(F.lower(text), F.lit("licenc"), F.lit("licens")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def grams(w: Column, n: int) -> Column:

@@ -367,3 +367,11 @@ def test_known_and_unknown_paragraphs_are_told_apart(spark, model):
     frame = spark.createDataFrame([(t + " Thanks to all.", f) for t, f in known] + [(t, None) for t in license_scan.OTHERS], "text string, want string")
     rows = license_scan.classify(frame, model).collect()
     assert all(r["confirmed"] == (r["want"] is not None) and (r["want"] is None or r["family"] == r["want"]) for r in rows)
+
+
+def test_every_template_passes_the_gate(spark, model):
+    known = [t for texts in license_scan.TEMPLATES.values() for t in texts]
+    rows = list(enumerate(known)) + [(1000, "Released under the MIT Licence."), (1001, "All rights reserved.")]
+    want = [([f], 1) for f, texts in license_scan.TEMPLATES.items() for _ in texts] + [(["MIT"], 1), ([], 1)]
+    out = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [(r["families"], r["n_gated"]) for r in out] == want
