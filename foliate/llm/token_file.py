@@ -12,7 +12,7 @@ place of a document in the corpus is the sum of its part's place (one number a p
 driver), its segment's place in the part and its place in the segment.
 
 Defined results: a null or empty text has the end id alone; null ids come first, ties in id are
-ordered by text; repeated rows are all written; other columns are ignored.
+ordered by a hash of the text; repeated rows are all written; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,15 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.llm.common import ensure_checkpoint_dir, id_and_text, table
-from foliate.llm.pieces import PieceCache, cut
+from foliate.llm.pieces import PieceTable
 
 END_ID = 0
 CHUNK = 8
 #: Positions between entries of the rank directory; a multiple of 8.
 RANK = 512
 SEGMENT = 1 << 20
-#: Characters of texts tokenized at a time.
-STEP = 1 << 20
+#: Characters of texts tokenized at a time, and pieces in one call of the tokenizer.
+STEP = 1 << 22
+LINES = 200
 
 _ONES = np.array([i.bit_count() for i in range(256)], np.uint8)
 
@@ -96,69 +97,69 @@ class Codes:
         return out
 
 
-_loaded: dict[str, PieceCache] = {}
+_loaded: dict[str, PieceTable] = {}
 
 
-def _worker(text: str) -> PieceCache:
-    """One tokenizer of the tokenizers library a worker process; ids as little-endian 32-bit bytes."""
+def _worker(text: str) -> PieceTable:
+    """One tokenizer of the tokenizers library and its table of pieces a worker process."""
     key = hashlib.sha256(text.encode()).hexdigest()
     if key not in _loaded:
         from tokenizers import Tokenizer
 
         file = json.loads(text) | {"truncation": None, "padding": None}
         tokenizer = Tokenizer.from_str(json.dumps(file))
-
         line_feed = tokenizer.token_to_id("\u010a")
 
-        def ids_of(text: str) -> np.ndarray:
-            return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-        def encode(texts: list[str]) -> list[bytes]:
-            """Ids of some strings; pieces of a text go in one call, as lines, since a line feed parts them."""
+        def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Ids, places and numbers; pieces go as lines, since a line feed parts them."""
             if len(texts) < 2 or line_feed is None or any("\n" in t[1:] for t in texts):
-                return [ids_of(t).tobytes() for t in texts]
-            ids = ids_of("\n".join([t.removeprefix("\n") for t in texts]))
-            ends, data, start, out = np.flatnonzero(ids == line_feed).tolist() + [len(ids)], ids.tobytes(), 0, []
-            for text, end in zip(texts, ends):
-                own = data[4 * start : 4 * end]
-                out.append(line_feed.to_bytes(4, "little") + own if text[0] == "\n" else own)
-                start = end + 1
-            return out
-
-        _loaded[key] = PieceCache(encode, b"".join)
+                found = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                n = np.array([*map(len, found)], np.int64)
+                return np.array([i for ids in found for i in ids], np.uint32), np.cumsum(n) - n, n
+            lines = [t.removeprefix("\n") for t in texts]
+            calls = tokenizer.encode_batch_fast(["\n" + "\n".join(lines[i : i + LINES]) for i in range(0, len(lines), LINES)], add_special_tokens=False)
+            ids = np.array([i for x in calls for i in x.ids], np.uint32)
+            feeds = np.flatnonzero(ids == line_feed)
+            led = np.fromiter((t[0] == "\n" for t in texts), np.int64, len(texts))
+            return ids, feeds + 1 - led, np.append(feeds[1:], len(ids)) - (feeds + 1 - led)
+
+        _loaded[key] = PieceTable(encode, END_ID)
     return _loaded[key]
 
 
-def _segments(batches: Iterator, file: str) -> Iterator[tuple]:
+def _groups(batches: Iterator, pieces: PieceTable) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Document ids, ids and lengths of some rows at a time."""
+    for batch in batches:
+        texts, at = batch.column(1).to_pylist(), 0
+        while at < len(texts):
+            to, size = at + 1, len(texts[at])
+            while to < len(texts) and size < STEP:
+                to, size = to + 1, size + len(texts[to])
+            yield batch.column(0).slice(at, to - at), *pieces.ids_of(texts[at:to])
+            at = to
+
+
+def _segments(batches: Iterator, file: str) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
     """(seq, start in part, document ids, lengths, ids) of one task's sorted rows."""
-    pieces = _worker(file)
     seq = start = size = 0
-    names: list = []
-    lengths: list[int] = []
-    parts: list[bytes] = []
-    for batch in batches:
-        at = 0
-        texts = batch.column(1)
-        while at < batch.num_rows:
-            some: list[str] = []
-            room = STEP
-            while at + len(some) < batch.num_rows and room > 0:
-                some.append(texts[at + len(some)].as_py())
-                room -= len(some[-1])
-            keys = [cut(t) for t in some]
-            pieces.learn(set().union(*filter(None, keys)))
-            for k, text in enumerate(some):
-                ids = pieces.whole(text, keys[k]) + END_ID.to_bytes(4, "little")
-                names.append(batch.column(0)[at + k].as_py())
-                lengths.append(len(ids) // 4)
-                parts.append(ids)
-                size += lengths[-1]
-                if size >= SEGMENT:
-                    yield seq, start, names, lengths, np.frombuffer(b"".join(parts), "<u4")
-                    seq, start, size, names, lengths, parts = seq + 1, start + size, 0, [], [], []
-            at += len(some)
-    if names:
-        yield seq, start, names, lengths, np.frombuffer(b"".join(parts), "<u4")
+    held: list[tuple] = []
+
+    def segment():
+        names, ids, lengths = zip(*held)
+        return seq, start, pa.concat_arrays(names), np.concatenate(lengths), np.concatenate(ids)
+
+    for names, ids, lengths in _groups(batches, _worker(file)):
+        ends, at = np.cumsum(lengths), 0
+        while at < len(names):
+            before = int(ends[at - 1]) if at else 0
+            to = min(int(np.searchsorted(ends, before + SEGMENT - size)) + 1, len(names))
+            held.append((names.slice(at, to - at), ids[before : ends[to - 1]], lengths[at:to]))
+            size, at = size + int(ends[to - 1]) - before, to
+            if size >= SEGMENT:
+                yield segment()
+                seq, start, size, held = seq + 1, start + size, 0, []
+    if held:
+        yield segment()
 
 
 def default_path() -> str:
@@ -170,30 +171,34 @@ def default_path() -> str:
 def write_token_ids(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenize every text, append the end id and write the files into ``folder``.
 
-    One range shuffle of the texts puts them in order; nothing else moves.
+    One range shuffle of the texts puts them in order; nothing else moves. Rows of one id are told
+    apart by a hash of the text and a row number, so an id that many rows share is split too.
     """
     file = docs.sparkSession.sparkContext.broadcast(Path(path or default_path()).read_text(encoding="utf-8"))
-    source = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = id_and_text(docs, id_col, text_col).withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    source = keyed.repartitionByRange("doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row").select("doc_id", "text")
     id_type = source.schema["doc_id"].dataType.simpleString()
     level = pa.struct([("chunks", pa.binary()), ("bits", pa.binary()), ("ranks", pa.binary())])
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        kind = None
-
-        def typed():
-            nonlocal kind
-            for batch in batches:
-                kind = batch.schema.field(0).type
-                yield batch
-
-        for seq, start, names, lengths, ids in _segments(typed(), file.value):
+        for seq, start, names, lengths, ids in _segments(batches, file.value):
             levels = [dict(zip(("chunks", "bits", "ranks"), x)) for x in Codes.pack(ids)]
-            row = [pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (start, pa.int64()), (len(ids), pa.int64()), (names, pa.list_(kind)), (lengths, pa.list_(pa.int64())), (levels, pa.list_(level)))]
-            yield pa.RecordBatch.from_arrays(row, ["part", "seq", "start", "n_ids", "doc_ids", "lengths", "levels"])
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            row = [pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (start, pa.int64()), (len(ids), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*row, one(names), one(pa.array(lengths, pa.int64())), pa.array([levels], pa.list_(level))], ["part", "seq", "start", "n_ids", "doc_ids", "lengths", "levels"])
 
     schema = f"part int, seq int, start long, n_ids long, doc_ids array<{id_type}>, lengths array<long>, levels array<struct<chunks: binary, bits: binary, ranks: binary>>"
-    source.mapInArrow(run, schema).write.option("compression", "none").option("parquet.block.size", 32 << 20).parquet(folder)
+    rows = source.mapInArrow(run, schema).withColumns({"first_id": F.array_min("doc_ids"), "last_id": F.array_max("doc_ids")})
+    rows.write.option("compression", "none").option("parquet.block.size", 32 << 20).parquet(folder)
+
+
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def _codes(row: pa.RecordBatch) -> Codes:
+    return Codes([(x["chunks"], x["bits"], x["ranks"]) for x in _column(row, "levels")[0].as_py()])
 
 
 def read_token_ids(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
@@ -209,19 +214,39 @@ def read_token_ids(spark: SparkSession, folder: str, with_ids: bool = True) -> D
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                get = lambda name, row=row: row.column(row.schema.get_field_index(name))
-                codes = Codes([(x["chunks"], x["bits"], x["ranks"]) for x in get("levels")[0].as_py()])
-                lengths = get("lengths").flatten().to_numpy(zero_copy_only=False)
-                inside = np.cumsum(lengths) - lengths
-                ids = [codes.run(int(a), int(n)) for a, n in zip(inside, lengths)]
-                base = places.value[get("part")[0].as_py()] + get("start")[0].as_py()
-                columns = [get("doc_ids").flatten(), pa.array(inside + base, pa.int64()), pa.array(lengths, pa.int64())]
-                columns += [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))] * with_ids
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())], names)
+                lengths = _column(row, "lengths").flatten().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(lengths)
+                ids = _codes(row).run(0, int(ends[-1]))
+                base = places.value[_column(row, "part")[0].as_py()] + _column(row, "start")[0].as_py()
+                view, stops = memoryview(ids.astype("<u4").view(np.uint8)), (4 * ends).tolist()
+                sums = [zlib.crc32(view[a:b]) for a, b in zip([0, *stops], stops)]
+                columns = [_column(row, "doc_ids").flatten(), pa.array(ends - lengths + base, pa.int64()), pa.array(lengths, pa.int64())]
+                columns += [pa.ListArray.from_arrays(pa.array([0, *ends.tolist()], pa.int32()), pa.array(ids.astype(np.int32)))] * with_ids
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sums, pa.int64())], names)
 
     return files.select("part", "start", "doc_ids", "lengths", "levels").mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, {'ids array<int>, ' * with_ids}ids_crc32 long")
 
 
+def token_at(spark: SparkSession, folder: str, doc_id, position: int) -> int | None:
+    """The token at a position of a document (null if there is none): its segment is found by its ids, and nothing else is decoded.
+
+    Of several documents with that id, the first in the files that is long enough is taken.
+    """
+    files = spark.read.parquet(folder)
+    with_it = files.where((F.col("first_id") <= F.lit(doc_id)) & (F.col("last_id") >= F.lit(doc_id)))
+    inside = F.transform("doc_ids", lambda x, i: F.struct(x.alias("id"), F.get("lengths", i).alias("n"), F.aggregate(F.slice("lengths", 1, i), F.lit(0).cast("long"), lambda a, b: a + b).alias("at")))
+    found = F.get(F.filter(inside, lambda x: (x["id"] == F.lit(doc_id)) & (x["n"] > position)), F.lit(0))
+    row = with_it.select("part", "seq", "levels", (found["at"] + position).alias("place")).where("place IS NOT NULL").orderBy("part", "seq").limit(1)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array([_codes(batch.slice(k, 1)).at(_column(batch, "place")[k].as_py())], pa.int64())], ["token"])
+
+    one = row.mapInArrow(run, "token long").first()
+    return one["token"] if one else None
+
+
 def op8_token_file(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from files written to the shared folder."""
     ensure_checkpoint_dir(spark)
