@@ -145,21 +145,61 @@ def test_bpe_same_as_the_library(spark, sf_dir, docs, tokenizer):
     ["<|endoftext|>", " <|endoftext|> a", "a\n<|endoftext|>\nb", "x  y", "x \n y", "\n", "  ", "a ", "don't 's 'LL", "a\r\nb", "\x01a \x02b", "=" * 1000, "a" * 1001, "the" * 700, "-" * 333 + "=" * 777, "中文" * 500, "ÃÂ" * 400, "é　\n b", "a\x1cb \x85c", "١٢ ½ Ⅷ"],
 )
 def test_bpe_of_odd_texts(tokenizer, text):
-    vocabulary = bpe._worker(open(bpe.default_path(), encoding="utf-8").read())[0]
+    vocabulary, pieces = bpe._worker(open(bpe.default_path(), encoding="utf-8").read())
     ids = tokenizer.encode(text, add_special_tokens=False).ids
-    assert bpe.encoder(vocabulary).whole(text) == ",".join(map(str, ids))
+    assert pieces.ids_of([text])[0].tolist() == vocabulary.encode(text) == ids
     assert "".join(bpe.decode(vocabulary, np.array(ids))) == text
 
 
-def test_stream_in_constant_memory_and_broken_bytes(tokenizer):
+def test_pieces_of_many_texts(tokenizer):
+    file = open(bpe.default_path(), encoding="utf-8").read()
+    texts = [x for t in ["", "a word%%% b.\nc,d  e", "\x03", "don't! “q” <|endoftext|>", "é\n中 1½ " + "ab" * 90, prose(3, 80)] for x in (t, t + " " + prose(5, 40))]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for pieces, end in ((bpe._worker(file)[1], []), (token_file._worker(file), [0])):
+        for _ in range(2):
+            ids, n = pieces.ids_of(texts)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [w + end for w in want]
+    assert pieces.ids_of([])[1].tolist() == []
+
+
+def test_lookahead_is_sufficient_and_memory_constant(tokenizer):
+    vocabulary = bpe._worker(open(bpe.default_path(), encoding="utf-8").read())[0]
+    assert bpe.sufficient_lookahead([(b"a", b"b"), (b"c", b"ab"), (b"d", b"c")]) == 3  # bcd: "ab" in doubt makes "cab", then "dc"
+    draw = np.random.default_rng(3)
+    for k in range(60):
+        letters = [b"ab", b"thein", "ÃÂ".encode(), b"ionate", b"aeiou"][k % 5]
+        data = bytes(draw.choice(np.frombuffer(letters, np.uint8), 1500))
+        whole = vocabulary.merge(data)
+        ends = lambda ids: set(np.cumsum([len(vocabulary.bytes[i]) for i in ids]).tolist())
+        for cut in (700, 901, 1200):
+            far = cut - vocabulary.lookahead
+            assert {x for x in ends(vocabulary.merge(data[:cut])) if x <= far} == {x for x in ends(whole) if x <= far}
+    run, held = bpe.Transducer(vocabulary), 0
+    text = "xab" * 100_000
+    out = []
+    for i in range(0, len(text), 1000):
+        out += [t for ids in run.feed(text[i : i + 1000].encode()) for t in ids]
+        held = max(held, len(run.held))
+    assert held < run.window
+    assert out + run.end() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_broken_bytes_decode_as_in_the_library(tokenizer):
     vocabulary = bpe._worker(open(bpe.default_path(), encoding="utf-8").read())[0]
-    stream = vocabulary.stream(b"ab=" * 4000)
-    next(stream)
-    assert len(stream.gi_frame.f_locals["last"]) <= 3 * vocabulary.lookahead
     draw = np.random.default_rng(2)
     for _ in range(50):
         ids = draw.integers(0, 50257, 40)
         assert "".join(bpe.decode(vocabulary, ids)) == tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+    for data in (b"\xf0\x9f\x98", b"\xe0\x80a", b"\xed\xa0\x80", b"\xc3(\xf4\x90\x80", b"\xf0\x9f\x98\x80\xff\x80"):
+        machine = bpe.ByteToText()
+        assert "".join(machine.feed(bytes([b])) for b in data) + machine.end() == data.decode("utf-8", "replace")
+
+
+def test_long_texts_are_streamed(spark, monkeypatch):
+    frame = spark.createDataFrame([(1, LONG), (2, "ab " * 300), (None, None)], "doc_id long, text string")
+    want = sorted(map(str, bpe.encode_and_decode(frame).collect()))
+    monkeypatch.setattr(bpe, "LONG", 100)
+    assert sorted(map(str, bpe.encode_and_decode(frame).collect())) == want
 
 
 def test_codes():
@@ -193,6 +233,9 @@ def test_token_edges(spark, tokenizer, tmp_path):
     rows = token_file.read_token_ids(spark, str(tmp_path / "a")).orderBy("start").collect()
     assert sorted((str(r["doc_id"]), r["n_tokens"] - 1) for r in rows) == want
     assert [r["doc_id"] for r in rows][:4] == [None, None, 1, 1]
+    for r in rows:
+        if r["doc_id"] in (3, 6, 9):
+            assert [token_file.token_at(spark, str(tmp_path / "a"), r["doc_id"], k) for k in (0, r["n_tokens"] - 1, r["n_tokens"])] == [r["ids"][0], 0, None]
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:]))
     assert bpe.encode_and_decode(nothing(spark)).count() == 0
     token_file.write_token_ids(nothing(spark), str(tmp_path / "b"))
