@@ -47,10 +47,14 @@ def _top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: float) ->
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """query_id, src, tgt, weight: edges that touch the nodes (column node) of each query."""
+    """query_id, src, tgt, weight: edges that touch the nodes (column node) of each query.
+
+    An edge with both ends among a query's nodes counts once, by its source; repeated edges stay.
+    """
+    nodes = nodes.select("query_id", "node").distinct()
     out = nodes.join(edges, F.col("node") == F.col("src")).select("query_id", "src", "tgt", "weight")
     into = nodes.join(edges, F.col("node") == F.col("tgt")).select("query_id", "src", "tgt", "weight")
-    return out.unionByName(into).distinct()
+    return out.unionByName(into.join(nodes.withColumnRenamed("node", "src"), ["query_id", "src"], "left_anti").select("query_id", "src", "tgt", "weight"))
 
 
 def by_mode(mode: str, naive: DataFrame, local: DataFrame, global_: DataFrame) -> DataFrame:
