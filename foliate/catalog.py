@@ -396,9 +396,9 @@ def messages_passthrough(spark, d):
 # Graph and retrieval
 
 
-@query(f"""WITH {BLK} SELECT doc_id, 'User query: what is in ' || doc_id || chr(10) || string_agg(chr(10) || 'Related ' || type || ' content: ' || left(text, 40), chr(10) ORDER BY block_idx) || chr(10) || chr(10) || 'Please provide a comprehensive answer based on the user query and the provided multimodal content information.' AS query FROM blk WHERE type <> 'text' GROUP BY doc_id""")
+@query(f"""WITH {BLK} SELECT doc_id, 'User query: what is in ' || doc_id || chr(10) || string_agg(chr(10) || 'Related ' || type || ' content: ' || text, chr(10) ORDER BY block_idx) || chr(10) || chr(10) || 'Please provide a comprehensive answer based on the user query and the provided multimodal content information.' AS query FROM blk WHERE type <> 'text' GROUP BY doc_id""")
 def multimodal_query_text(spark, d):
-    items = fx.blocks(spark, d).where("type <> 'text'").withColumn("description", F.substring("text", 1, 40))
+    items = fx.blocks(spark, d).where("type <> 'text'").withColumn("description", F.col("text"))
     return retrieve.multimodal_query(items, F.concat(F.lit("what is in "), F.col("doc_id").cast("string")))
 
 
@@ -416,16 +416,8 @@ def image_marker_rewrite(spark, d):
     return retrieve.image_marks(lines, retrieve.safe_path(F.col("path"), ("/data",)) & (F.col("line_idx") % 2 == 0)).drop("path")
 
 
-@query("SELECT doc_id, 'text:' || left(text, 9) || '|image:1|text:and|image:2' AS parts FROM documents WHERE trim(left(text, 9)) = left(text, 9) AND left(text, 9) <> '' AND NOT contains(left(text, 9), chr(10))")
-def vlm_message_parts(spark, d):
-    head = F.substring("text", 1, 9)
-    docs = table(spark, d, "documents").where((F.trim(head) == head) & (head != "") & ~F.contains(head, F.lit("\n")))
-    prompt = F.concat(head, F.lit("\n[VLM_IMAGE_1] and [VLM_IMAGE_2] "))
-    return docs.select("doc_id", F.array_join(F.transform(retrieve.vlm_parts(prompt), lambda x: F.concat(x["type"], F.lit(":"), x["value"])), "|").alias("parts"))
-
-
 @query("""SELECT doc_id, concat_ws('|', CASE WHEN trim(text, ' ' || chr(9) || chr(10)) <> '' THEN 'text:' || trim(text, ' ' || chr(9) || chr(10)) END, 'image:1|text:and|image:2') AS parts FROM documents""")
-def vlm_message_parts_whole(spark, d):
+def vlm_message_parts(spark, d):
     prompt = F.concat(F.coalesce("text", F.lit("")), F.lit("\n[VLM_IMAGE_1] and [VLM_IMAGE_2] "))
     return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(retrieve.vlm_parts(prompt), lambda x: F.concat(x["type"], F.lit(":"), x["value"])), "|").alias("parts"))
 
@@ -532,13 +524,8 @@ def query_image_description(spark, d):
     return table(spark, d, "pages").select("page_id", described.alias("description"))
 
 
-@query("SELECT doc_id, base64(encode(left(text, 60))) AS b64 FROM documents")
-def base64_encode(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.base64_text(F.substring("text", 1, 60).cast("binary")).alias("b64"))
-
-
 @query("SELECT doc_id, coalesce(base64(encode(text)), '') AS b64 FROM documents")
-def base64_encode_whole(spark, d):
+def base64_encode(spark, d):
     return table(spark, d, "documents").select("doc_id", text.base64_text(F.col("text").cast("binary")).alias("b64"))
 
 

@@ -13,7 +13,7 @@ from foliate.functions.text import action_cell, decision_options, is_separator,
 
 #: Words that name a section, in either language.
 SECTIONS = {
-    "overview": ("概述", "overview", "描述"),
+    "overview": ("方案概述", "概述", "overview"),
     "matrix": ("coa矩阵", "coa matrix", "矩阵"),
     "effects": ("效果链", "effects"),
     "decisions": ("决策点", "decision"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions.ids import basename, suffix
 from foliate.schemas import CONTENT_LIST
+from foliate.sources.shared import durable
 
 # Suffixes by kind.
 OFFICE = (".doc", ".docx", ".ppt", ".pptx", ".xls", ".xlsx")
@@ -52,22 +53,22 @@ def read_content_lists(spark: SparkSession, path: str, base: str = "") -> DataFr
     )
 
 
-def flatten_nodes(nodes: DataFrame, root: str = "body", levels: int = 32) -> DataFrame:
+def flatten_nodes(nodes: DataFrame, root: str = "body") -> DataFrame:
     """doc_id, node_id, path of the leaves below ``root`` in depth-first order.
 
-    ``nodes`` has doc_id, node_id, parent_id, child_idx. Each level is one join; paths of padded child
-    numbers sort as a walk would. Levels end when no children are left, or at ``levels``.
+    ``nodes`` has doc_id, node_id, parent_id, child_idx. Each level is one join, written down; paths of padded child
+    numbers sort as a walk would. Levels end when no children are left. A circle below the root is an error: it has no leaf to end at.
     """
+    below = nodes.select("doc_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("child"), "child_idx")
+    parents, most = below.select("doc_id", "node_id").distinct(), nodes.count()
     at = nodes.where(F.col("node_id") == root).select("doc_id", "node_id", F.lit("").alias("path"))
-    out = None
-    for _ in range(levels):
-        below = nodes.select("doc_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("child"), "child_idx")
-        joined = at.join(below, ["doc_id", "node_id"])
-        leaves = at.join(below.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_anti")
-        out = leaves if out is None else out.unionByName(leaves)
-        at = joined.select("doc_id", F.col("child").alias("node_id"), F.concat("path", F.lpad(F.col("child_idx").cast("string"), 8, "0")).alias("path"))
-        if at.isEmpty():
-            break
+    out, level = at.where("false"), 0
+    while not at.isEmpty():
+        if level > most:
+            raise ValueError("the nodes hold a circle")
+        out = out.unionByName(at.join(parents, ["doc_id", "node_id"], "left_anti"))
+        step = F.concat("path", F.lpad(F.col("child_idx").cast("string"), 8, "0")).alias("path")
+        at, level = durable(at.join(below, ["doc_id", "node_id"]).select("doc_id", F.col("child").alias("node_id"), step)), level + 1
     return out
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliate.sources.shared import new_folder
+
 
 def read_events(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame:
     """A stream of event files with a watermark; naive timestamps are read in the session's zone."""
@@ -28,11 +28,19 @@ def latest_status(events: DataFrame, state: Column) -> DataFrame:
 
 
 def run_now(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives for the input that is there now, as a table."""
-    name = f"now_{uuid.uuid4().hex}"
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return stream.sparkSession.table(name)
+    """What a stream gives for the input that is there now, as a table.
+
+    Each batch's whole result is written by the tasks to the shared folder, the last one is read: no row passes through the driver.
+    """
+    spark = stream.sparkSession
+    folder, last = new_folder(spark, "stream"), []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{number}")
+        last[:] = [number]
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/{last[0]}") if last else spark.createDataFrame([], stream.schema)
 
 
 def run_daily_counts(spark: SparkSession, path: str) -> DataFrame:

@@ -71,9 +71,9 @@ PLAN = """# COA方案：Test
 About.
 
 ## COA矩阵
-| 单元 | 阶段1: 突防 *(敌被压制→)* *(瘫痪)* | 阶段 2: 压制 (Ingress & SEAD)<br>*(H-30min ~ H+05min)* |
+| 单元 | 阶段1: 出发 *(潮水退去→)* *(清点)* | 阶段 2: 返回 (Return & Count)<br>*(H-30min ~ H+05min)* |
 |---|---|---|
-| 电子战飞机 (EA-18G) *(电磁掩护)* | 1. A<br>2. B | - |
+| 测绘小队 (GEO-7B) *(岸线测绘)* | 1. A<br>2. B | - |
 |  | x | y |
 | 预备队 | A; B |
 
@@ -88,10 +88,10 @@ def test_plan(spark):
     plans = spark.createDataFrame([(1, PLAN), (2, "short")], "plan_id int, md string")
     parts = markdown.sections(plans)
     rows = markdown.table_rows(markdown.find_section(parts, *markdown.SECTIONS["matrix"]))
-    assert [tuple(r) for r in markdown.phases(rows).orderBy("ord").select("name", "trigger", "objective").collect()] == [("突防", "敌被压制→", "瘫痪"), ("压制", "H-30min ~ H+05min", "")]
-    assert [tuple(r) for r in markdown.units(rows).orderBy("ord").select("unit_id", "name", "role").collect()] == [("EA_18G", "电子战飞机 (EA-18G)", "电磁掩护"), ("Unit_2", "预备队", "")]
+    assert [tuple(r) for r in markdown.phases(rows).orderBy("ord").select("name", "trigger", "objective").collect()] == [("出发", "潮水退去→", "清点"), ("返回", "H-30min ~ H+05min", "")]
+    assert [tuple(r) for r in markdown.units(rows).orderBy("ord").select("unit_id", "name", "role").collect()] == [("GEO_7B", "测绘小队 (GEO-7B)", "岸线测绘"), ("Unit_2", "预备队", "")]
     cells = {(r["unit_id"], r["phase_id"]): r["actions"] for r in markdown.cells(rows).collect()}
-    assert cells == {("EA_18G", "Phase_1"): ["A", "B"], ("EA_18G", "Phase_2"): [], ("Unit_2", "Phase_1"): ["A; B"], ("Unit_2", "Phase_2"): []}
+    assert cells == {("GEO_7B", "Phase_1"): ["A", "B"], ("GEO_7B", "Phase_2"): [], ("Unit_2", "Phase_1"): ["A; B"], ("Unit_2", "Phase_2"): []}
     assert [tuple(r) for r in markdown.risks(parts).select("category", "description").collect()] == [("GENERAL", "storm")]
     assert {r["plan_id"]: r["name"] for r in markdown.titles(plans).collect()} == {1: "Test", 2: "Generated COA"}
     assert [r["ok"] for r in plans.orderBy("plan_id").select(markdown.accepted(F.col("md")).alias("ok")).collect()] == [True, False]
@@ -145,6 +145,42 @@ def test_flatten_nodes(spark):
     assert [r["node_id"] for r in files.flatten_nodes(nodes).orderBy("path").collect()] == ["t1", "t3", "t2"]
 
 
+def test_flatten_deep_chains_and_circles(spark):
+    chain = [(1, "body", None, 0)] + [(1, f"n{i}", f"n{i - 1}" if i else "body", 0) for i in range(41)]
+    schema = "doc_id long, node_id string, parent_id string, child_idx int"
+    assert [r["node_id"] for r in files.flatten_nodes(spark.createDataFrame(chain, schema)).collect()] == ["n40"]
+    with pytest.raises(ValueError, match="circle"):
+        files.flatten_nodes(spark.createDataFrame([(1, "body", None, 0), (1, "a", "body", 0), (1, "b", "a", 0), (1, "a", "b", 0)], schema))
+    assert files.flatten_nodes(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_repeated_edges_stay_and_inner_ones_count_once(spark):
+    nodes = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "b")], "query_id long, node string")
+    edges = spark.createDataFrame([("a", "x", 1), ("a", "x", 1), ("a", "b", 2), ("y", "b", 3), ("a", "a", 4)], "src string, tgt string, weight int")
+    want = [(1, "a", "a", 4), (1, "a", "b", 2), (1, "a", "x", 1), (1, "a", "x", 1), (1, "y", "b", 3), (2, "a", "b", 2), (2, "y", "b", 3)]
+    assert sorted(map(tuple, retrieve.neighbours(nodes, edges).collect())) == want
+
+
+def test_all_json_candidates_are_tried(spark):
+    read = lambda v: one(spark, v, lambda x: text.parse_json(x).cast("string"))
+    assert json.loads(read('text {not json} and {"a": {"b": 1}} end')) == {"a": {"b": 1}}
+    assert json.loads(read('{bad} {"a": 1,} {"c": 2}')) == {"c": 2}
+    assert json.loads(read('} {"a": {"b": 2}}')) == {"b": 2}
+    candidates = one(spark, '```json\n{"x": 1}\n``` {a{b}} {', lambda x: F.to_json(text.json_candidates(x)))
+    assert json.loads(candidates) == ['{"x": 1}', '{"x": 1}', "{a{b}}", '{"x": 1}\n``` {a{b}}']
+
+
+def test_replies_are_parsed_once(spark):
+    plan = spark.range(1).select(F.col("id").cast("string").alias("r")).select(text.modal_entity(F.col("r"), F.lit("image")).alias("m")).select("m.*")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("try_parse_json") + plan._jdf.queryExecution().optimizedPlan().toString().count("ParseJson") <= 8
+
+
+def test_options_without_a_side(spark):
+    read = lambda v: [tuple(o) for o in one(spark, v, text.decision_options)]
+    assert read("IF x THEN y; : z; w:") == [("x", "y"), ("default", ": z"), ("default", "w:")]
+    assert read("若（晚）则（快）") == [("晚", "快")]
+
+
 def test_ocr_lines_stay(spark):
     pages = spark.createDataFrame([(1, 7, [("Same", 0.9), ("Same", 0.8), (" ", 0.1)])], "doc_id long, page_idx long, lines array<struct<text: string, confidence: double>>")
     assert [r["text"] for r in files.ocr_blocks(pages).collect()] == ["Same", "Same"]
@@ -180,7 +216,7 @@ def test_whole_texts_with_blank_parts_and_line_feeds(spark, tmp_path):
 
     texts = ["", None, " \n\t", "  a\nb  ", "x" * 200 + "\né", " one"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["b64"] for r in catalog.QUERIES["base64_encode_whole"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["b64"] for r in catalog.QUERIES["base64_encode"](spark, str(tmp_path)).collect()}
     assert got == {i: base64.b64encode((t or "").encode()).decode() for i, t in enumerate(texts)}
-    got = {r["doc_id"]: r["parts"] for r in catalog.QUERIES["vlm_message_parts_whole"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["parts"] for r in catalog.QUERIES["vlm_message_parts"](spark, str(tmp_path)).collect()}
     assert got == {i: "|".join([f"text:{(t or str()).strip()}"] * bool((t or "").strip()) + ["image:1", "text:and", "image:2"]) for i, t in enumerate(texts)}
