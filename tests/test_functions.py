@@ -167,12 +167,12 @@ def test_all_json_candidates_are_tried(spark):
     assert json.loads(read('{bad} {"a": 1,} {"c": 2}')) == {"c": 2}
     assert json.loads(read('} {"a": {"b": 2}}')) == {"b": 2}
     candidates = one(spark, '```json\n{"x": 1}\n``` {a{b}} {', lambda x: F.to_json(text.json_candidates(x)))
-    assert json.loads(candidates) == ['{"x": 1}', '{"x": 1}', "{a{b}}", '{"x": 1}\n``` {a{b}}']
+    assert json.loads(candidates) == ['{"x": 1}', "{a{b}}", '{"x": 1}\n``` {a{b}}']
 
 
 def test_replies_are_parsed_once(spark):
     plan = spark.range(1).select(F.col("id").cast("string").alias("r")).select(text.modal_entity(F.col("r"), F.lit("image")).alias("m")).select("m.*")
-    assert plan._jdf.queryExecution().optimizedPlan().toString().count("try_parse_json") + plan._jdf.queryExecution().optimizedPlan().toString().count("ParseJson") <= 8
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 3  # one a repair
 
 
 def test_options_without_a_side(spark):
