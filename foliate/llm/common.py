@@ -27,6 +27,31 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key with more than one in so many rows is hot; so there are at most so many hot keys.
+HOT = 4096
+#: No key with fewer rows is hot.
+HOT_LEAST = 64
+
+
+def split_join(rows: DataFrame, each: DataFrame, key: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``each`` (one row a key at most), hot keys split over many tasks.
+
+    A key that more than one in ``HOT`` rows hold is split by a hash of column ``by``, and its row of ``each`` is
+    repeated for every part. Only the hot keys with their number of parts, ``HOT`` rows at most, go through the
+    driver and are broadcast. ``rows`` should be durable: it is counted first.
+    """
+    limit = max(rows.count() // HOT, HOT_LEAST)
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    hot = sizes.select(*key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
+    found = hot.collect()
+    if not found:
+        return rows.join(each, key, how)
+    few = F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema))
+    dealt = rows.join(few, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    repeated = each.join(few, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(repeated, [*key, "_part"], how).drop("_part")
+
+
 def as_text(column: Column) -> Column:
     """A text column with null as the empty string."""
     return F.coalesce(column.cast("string"), F.lit(""))

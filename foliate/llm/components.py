@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import durable
+from foliate.llm.common import durable, split_join
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -18,17 +18,18 @@ def components(links: DataFrame) -> DataFrame:
     """node, root for every node of ``links`` (two columns ``u`` and ``v`` of longs); root is the smallest node reached.
 
     Alternating large and small stars: each round hangs every node below the smallest neighbour
-    seen, by a partial minimum and a join, so that hubs combine before the shuffle and chains
-    shorten by a factor a round. Rounds go on until nothing changes. Self links and repeats do no harm.
+    seen, by a partial minimum and a join that splits hubs, so that no task holds a large group, and chains
+    shorten by a factor a round. Rounds go on until nothing changes. Self links and repeats do no harm;
+    links with a null end are left out, as null names no node.
     """
     star = durable(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(star)
     while mark[0]:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = durable(split_join(both, least, ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = split_join(large, least, ["u"], "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         star = durable(small.distinct())
         if mark == (mark := _mark(star)):
             break

@@ -5,8 +5,8 @@ learned filters; each filter's maximum over a chunk (with the chunk's length and
 each hidden unit's maximum over all chunks feeds one logistic output: the probability of label 1.
 Few distinct maxima in a chunk tell repetition, high ones tell junk patterns.
 
-The network is fitted on the driver on a bounded sample of labelled rows, ``SAMPLE`` a class at most, with
-``CHUNKS`` chunks each; scoring runs on whole texts in Arrow batches and shuffles nothing.
+The network is fitted on the driver on a bounded sample of labelled rows, ``SAMPLE`` a class at most, on all chunks
+of their whole texts; scoring runs on whole texts in Arrow batches and shuffles nothing.
 
 Defined results: null and empty texts are scored as one empty chunk; without labelled rows of both
 classes the score is the share of label 1 among them (0.5 without any); labels that contradict
@@ -30,10 +30,10 @@ from foliate.llm.common import as_text, table
 CHUNK, OVERLAP = 512, 64
 #: Embedding size, bytes a filter spans, its step, filters and hidden units.
 DIM, WIDTH, STEP, FILTERS, HIDDEN = 8, 8, 4, 32, 16
-#: Bound of the training sample: labelled rows a class, and chunks of each, evenly spread over the text.
-SAMPLE, CHUNKS = 1600, 8
+#: Bound of the training sample: labelled rows a class.
+SAMPLE = 1600
 #: Passes over the sample, and the least number of steps, which small samples reach by more passes.
-EPOCHS, STEPS, BATCH, RATE, SEED = 16, 320, 64, 0.004, 7
+EPOCHS, STEPS, BATCH, RATE, SEED = 12, 320, 64, 0.004, 7
 KEEP = 0.3
 #: Bytes of text that are scored at a time.
 GROUP = 1 << 18
@@ -121,10 +121,7 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Network:
     examples = []
     for text in texts:
         data = text.encode("utf-8", "surrogatepass")
-        starts = chunk_starts(len(data))
-        if len(starts) > CHUNKS:
-            starts = [starts[i * (len(starts) - 1) // (CHUNKS - 1)] for i in range(CHUNKS)]
-        examples.append(chunks_of(data, starts))
+        examples.append(chunks_of(data, chunk_starts(len(data))))
     targets = np.array(labels, np.float32)
     draw = np.random.default_rng(seed)
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}

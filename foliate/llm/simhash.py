@@ -13,29 +13,26 @@ points at distance one: two fingerprints within two bits have a common point at
 most, and no point has more than 65 such neighbours. Nothing is capped or dropped.
 
 For texts that are similar to 0.8 or so in their 5-word shingles, 64 bits within two are too strict. ``similar`` adds
-links of texts whose shingle sets are similar to 0.8 or more, each verified on the whole sets (see ``similar_links``);
-the pipeline uses it. ``wide`` adds five words of bits instead; texts that share one of eighteen bands with its least
-member and differ in 60 of the 384 bits at most are linked too. That is a coarse scheme: at a similarity of 0.8 to 0.85 it
-found 7 of 24 pairs of sf0.1, and fewer where buckets hold unrelated texts.
+links of texts whose shingle sets are similar to 0.8 or more, each verified on the whole sets (see ``similar``);
+the pipeline uses it. Texts with one fingerprint but different sets stay apart as nodes of those links.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; repeated rows
 and ties share a group; a null id keeps its row, and a group's id is its smallest id that is not
-null (null if it has none); other columns are ignored.
+null (null if it has none); other columns are ignored. ``keep_one`` keeps the row with a group's smallest id
+(rows without id come last; of one id the text with the least hash, then the row with the least hash); different texts that share an id are rows of their own.
 """
 
 from __future__ import annotations
 
 import random
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliate.llm.common import durable, id_and_text, table
+from foliate.llm.common import as_text, durable, id_and_text, split_join, table
 from foliate.llm.components import components
 from foliate.llm.similar import keys, shingle_set, similar_links
 
@@ -45,9 +42,8 @@ RADIUS = 2
 SHINGLE = 3
 BUCKET = 32
 N_PIVOTS = 16
-#: Wide fingerprints: words, the most differing bits of two that are linked, and the odd number that mixes hashes.
-WIDE, WIDE_RADIUS, WIDE_SHINGLE = 6, 60, 5
-_MIX = 0x9E3779B97F4A7C15
+#: Words of the shingles whose sets are compared.
+SIMILAR_SHINGLE = 5
 #: Bit bands (shift, width): one more than the differing bits allowed.
 BANDS = ((0, 21), (21, 21), (42, 22))
 
@@ -96,45 +92,35 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return _word(sum((_counts(h) for h in stretches), np.zeros(BITS, np.int64)), n)
 
 
-def wide_fingerprint(text: str, shingle: int) -> list[int]:
-    """The fingerprint and further words of bits from the same hashes, each mixed anew."""
-    n, stretches = _hashes(text, shingle)
-    counts = np.zeros((WIDE, BITS), np.int64)
-    for h in stretches:
-        for k in range(WIDE):
-            counts[k] += _counts(h)
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(_MIX)
-            h ^= h >> np.uint64(32)
-    return [_word(c, n) for c in counts]
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, wide: bool = False, similar: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for every row; and, if asked for, wide with all its words, or keys and shingles."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) for every row; and, if asked for, a hash of the text, and node, keys and shingles of its set."""
     source = id_and_text(docs, id_col, text_col)
+    if similar:
+        source = source.withColumn("hash", F.xxhash64("text"))
 
     def lists(values):
         ends = np.cumsum([0, *map(len, values)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
 
+    def sets_of(batch):
+        hashes = [np.concatenate(list(_hashes(t, shingle)[1])) for t in batch.column(1).to_pylist()]
+        values = np.array([_word(_counts(h), len(h)) for h in hashes], np.uint64).view(np.int64)
+        sets = [shingle_set(h) for h in hashes]
+        nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+        columns = [batch.column(0), pa.array(values), batch.column(2), pa.array(nodes), lists([keys(h) for h in hashes]), lists(sets)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "hash", "node", "keys", "shingles"])
+
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            if wide:
-                values = np.array([wide_fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, WIDE).view(np.int64)
-                words = pa.ListArray.from_arrays(pa.array(np.arange(0, WIDE * len(texts) + 1, WIDE), pa.int32()), pa.array(values.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values[:, 0]), words], ["doc_id", "fp", "wide"])
-            elif similar:
-                if not texts:
-                    continue
-                hashes = [np.concatenate(list(_hashes(t, shingle)[1])) for t in texts]
-                values = np.array([_word(_counts(h), len(h)) for h in hashes], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), lists([keys(h) for h in hashes]), lists([shingle_set(h) for h in hashes])], ["doc_id", "fp", "keys", "shingles"])
+            if similar:
+                for at in range(0, batch.num_rows, 1000):
+                    yield sets_of(batch.slice(at, 1000))
             else:
-                values = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+                values = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
 
     id_type = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {id_type}, fp long" + ", wide array<long>" * wide + ", keys array<long>, shingles array<int>" * similar)
+    return source.mapInArrow(run, f"doc_id {id_type}, fp long" + ", hash long, node long, keys array<long>, shingles array<int>" * similar)
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -162,7 +148,7 @@ def links(distinct: DataFrame, bucket: int = BUCKET, n_pivots: int = N_PIVOTS) -
     key = lambda at, width: F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
     bands = durable(table_.select("fp", "far", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), key(*b).alias("key")) for i, b in enumerate(BANDS)])).alias("b")).select("fp", "far", "b.band", "b.key"))
     sizes = bands.groupBy("band", "key").count().where("count > 1")
-    members = durable(bands.join(sizes, ["band", "key"]))
+    members = durable(split_join(bands, sizes, ["band", "key"], "fp"))
     few = members.where(F.col("count") <= bucket).groupBy("band", "key").agg(F.collect_list(F.struct("fp", "far")).alias("all"))
     pairs = few.select("all", F.explode("all").alias("a")).select(F.col("a.fp").alias("fp"), F.col("a.far").alias("far"), F.explode(F.filter("all", lambda x: x["fp"] < F.col("a.fp"))).alias("b")).select("fp", "far", F.col("b.fp").alias("fp2"), F.col("b.far").alias("far2"))
     crowded = members.where(F.col("count") > bucket).select("fp", "far").dropDuplicates(["fp"])
@@ -172,63 +158,48 @@ def links(distinct: DataFrame, bucket: int = BUCKET, n_pivots: int = N_PIVOTS) -
     return _surviving(pairs.unionByName(near), RADIUS)
 
 
-def wide_links(distinct: DataFrame, n_pivots: int = N_PIVOTS) -> DataFrame:
-    """u, v: links of distinct fingerprints (fp, wide) to the least one that shares a band of 21 bits, within ``WIDE_RADIUS`` bits.
-
-    Every bucket links to its least member, so the rows are as many as fingerprints and bands however large a group is.
-    """
-    references = pivots(n_pivots * WIDE, SEED + 1)
-    word = lambda i: F.element_at("wide", i + 1)
-    total = lambda parts: reduce(add, parts)
-    far = F.array(*[total(_differing(word(i), F.lit(_signed(references[p * WIDE + i]))) for i in range(WIDE)) for p in range(n_pivots)])
-    whole = durable(distinct.select("fp", "wide", far.alias("far")))
-    keys = [F.struct(F.lit(3 * i + j).alias("band"), F.shiftrightunsigned(word(i), 21 * j).bitwiseAND(F.lit((1 << 21) - 1)).alias("key")) for i in range(WIDE) for j in range(3)]
-    bands = whole.select("fp", F.explode(F.array(*keys)).alias("b")).select("fp", "b.band", "b.key")
-    least = bands.groupBy("band", "key").agg(F.min("fp").alias("fp2"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = bands.join(least, ["band", "key"]).where("fp <> fp2").select("fp", "fp2").distinct()
-    both = pairs.join(whole, "fp").join(whole.select(F.col("fp").alias("fp2"), F.col("wide").alias("wide2"), F.col("far").alias("far2")), "fp2")
-    apart = F.aggregate(F.zip_with("wide", "wide2", _differing), F.lit(0), lambda x, y: x + y)
-    return both.where(_gap() <= WIDE_RADIUS).where(apart <= WIDE_RADIUS).select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET, wide: bool = False, similar: bool = False) -> DataFrame:
-    """doc_id, fp, root, component_id for every row: root names the group, component_id is its smallest id.
-
-    With ``wide``, fingerprints are also linked by their further words (see ``wide_links``), which
-    reach texts whose shingles are similar to 0.8 or so. With ``similar``, texts are also linked if
-    their shingle sets are similar to 0.8 or more (see ``similar_links``).
-    """
-    rows = durable(fingerprints(docs, id_col, text_col, shingle, wide, similar))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min("wide").alias("wide")] * wide, *[F.min("keys").alias("keys")] * similar)
-    found = links(distinct.select("fp"), bucket)
-    if wide:
-        found = found.unionByName(wide_links(distinct.select("fp", "wide")))
-    if similar:
-        found = durable(found)
-        found = found.unionByName(similar_links(distinct.select("fp", "keys"), rows.select("fp", "shingles"), found))
-    groups = components(found).select(F.col("node").alias("fp"), "root")
-    linked = distinct.join(groups, "fp")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, fp, root, component_id for every row: root names the group, component_id is its smallest id."""
+    rows = durable(fingerprints(docs, id_col, text_col, shingle))
+    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    named = _named(distinct, "fp", components(links(distinct.select("fp"), bucket)))
+    return split_join(rows, named, ["fp"], "doc_id", "left").select("doc_id", "fp", "root", "component_id")
+
+
+def _named(distinct: DataFrame, node: str, groups: DataFrame) -> DataFrame:
+    """node, root, component_id of distinct nodes with their least id: the least of their group."""
+    linked = durable(distinct.join(groups.select(F.col("node").alias(node), "root"), node))
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(ids, "root").select("fp", "root", "component_id")
-    named = durable(distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")))
-    return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, wide: bool = False, similar: bool = True) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the smallest id, all columns kept."""
-    named = near_duplicates(docs, id_col, text_col, shingle, wide=wide, similar=similar)
-    kept = named.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__foliate_id")).distinct()
-    out = docs.join(kept, F.col(id_col) == F.col("__foliate_id")).drop("__foliate_id").dropDuplicates([id_col])
-    # Groups without any id: their rows are found again by fingerprint, one row each.
-    nameless = docs.where(F.col(id_col).isNull())
-    if nameless.isEmpty():
-        return out
-    ids = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("doc_id")
-    roots = near_duplicates(docs.select(F.when(F.col(id_col).isNull(), ids).alias("doc_id"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("is_new")).where("is_new"), shingle=shingle, wide=wide, similar=similar)
-    seen = named.where(F.col("component_id").isNotNull()).select("fp").distinct()
-    one = roots.where(F.col("doc_id") == F.col("component_id")).join(seen, "fp", "left_anti").select(F.col("doc_id").alias("__foliate_key")).distinct()
-    rest = nameless.withColumn("__foliate_key", ids).join(one, "__foliate_key").dropDuplicates(["__foliate_key"]).drop("__foliate_key")
-    return out.unionByName(rest)
+    linked = split_join(linked, ids, ["root"], node).select(node, "root", "component_id")
+    alone = distinct.join(linked.select(node), node, "left_anti").select(node, F.col(node).alias("root"), F.col("least").alias("component_id"))
+    return durable(linked.unionByName(alone))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, hash (of the text), root, component_id for every row: groups by near fingerprints and by similar shingle sets."""
+    rows = durable(fingerprints(docs, id_col, text_col, shingle, similar=True))
+    sets = durable(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("shingles").alias("shingles")))
+    # Sets with one fingerprint hang below the least of them, which stands for the fingerprint.
+    heads = durable(sets.groupBy("fp").agg(F.min("node").alias("head")))
+    pairs = durable(links(heads.select("fp"), bucket))
+    head = lambda end: heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_head"))
+    near = split_join(split_join(pairs, head("u"), ["u"], "v"), head("v"), ["v"], "u").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
+    same = split_join(sets.select("node", "fp"), heads, ["fp"], "node").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    known = durable(near.unionByName(same))
+    found = similar_links(sets.select("node", "keys", "shingles"), known, bucket)
+    named = _named(sets.select("node", "least"), "node", components(found.unionByName(known)))
+    return split_join(rows.select("doc_id", "hash", "node"), named, ["node"], "doc_id", "left").select("doc_id", "hash", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, all columns kept; see above for the choice."""
+    named = similar_groups(docs, id_col, text_col, shingle, bucket)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "hash")
+    kept = named.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__foliate_id"), F.col("k.hash").alias("__foliate_hash"))
+    hashed = docs.withColumn("__foliate_text", F.xxhash64(as_text(F.col(text_col))))
+    found = hashed.join(kept, F.col(id_col).eqNullSafe(F.col("__foliate_id")) & (F.col("__foliate_text") == F.col("__foliate_hash")), "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_col, "__foliate_text").orderBy(F.xxhash64(*docs.columns)))
+    return found.withColumn("__foliate_n", first).where("__foliate_n = 1").select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

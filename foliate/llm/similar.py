@@ -5,8 +5,10 @@ shingles in common only, so buckets don't fill as the input grows, and the share
 similarity alone: 1 - (1 - s^ROWS)^BANDS, 0.998 at 0.8.
 
 First every bucket links to its least member; then the members of each bucket that are still in different
-components are compared with each other. Buckets over ``BUCKET`` members are split by a second key first; a part
-that is larger still is compared with its least members by ``LEADERS`` orders, so work stays linear in it.
+components are compared with each other. Members of buckets over ``BUCKET`` go to an exact way instead (``crowd_links``),
+which finds each link among them whatever the keys are: two sets that are similar to 0.8 share a
+shingle among the rarest fifth of either, so only texts with a rare shingle in common are compared, again
+first with the least of them, then in blocks if they are still in different components. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -17,13 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import durable
+from foliate.llm.common import durable, split_join
 from foliate.llm.components import components
 
 SIMILAR = 0.8
 BANDS, ROWS = 20, 6
 BUCKET = 32
-LEADERS = 4
 _DRAW = np.random.default_rng(42)
 _XOR = _DRAW.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None]
 _ODD = _DRAW.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None] << np.uint64(1) | np.uint64(1)
@@ -47,46 +48,70 @@ def shingle_set(hashes: np.ndarray) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """u, v: the pairs (u, v) whose shingle sets (fp, shingles) have at least that share of their union in common."""
-    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("_a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("_b")), "v")
-    shared = F.size(F.array_intersect("_a", "_b"))
+    """u, v: the pairs (u, v) whose shingle sets (node, shingles) have at least that share of their union in common."""
+    size = lambda end: sets.select(F.col("node").alias(end), F.size("shingles").alias(f"_{end}"))
     # The size of the smaller set bounds what they share: most other pairs need no look at the sets.
-    may = F.least(F.size("_a"), F.size("_b")) >= least * F.greatest(F.size("_a"), F.size("_b"))
-    return both.where(may).where(shared >= least * (F.size("_a") + F.size("_b") - shared)).select("u", "v")
+    sized = split_join(split_join(durable(pairs), size("u"), ["u"], "v"), size("v"), ["v"], "u")
+    close = durable(sized.where(F.least("_u", "_v") >= least * F.greatest("_u", "_v")).select("u", "v"))
+    whole = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"_{end}"))
+    both = split_join(split_join(close, whole("v"), ["v"], "u"), whole("u"), ["u"], "v")
+    shared = F.size(F.array_intersect("_u", "_v"))
+    return both.where(shared >= least * (F.size("_u") + F.size("_v") - shared)).select("u", "v")
 
 
 def _all_pairs(members: DataFrame, key: list[str]) -> DataFrame:
-    all_ = members.groupBy(*key).agg(F.collect_list(F.struct("fp", "root")).alias("all"))
-    others = F.filter("all", lambda x: (x["fp"] < F.col("a.fp")) & (x["root"] != F.col("a.root")))
-    return all_.select("all", F.explode("all").alias("a")).select(F.col("a.fp").alias("u"), F.explode(others).alias("b")).select("u", F.col("b.fp").alias("v"))
+    """u, v: pairs of a bucket's members (node, root) in different components."""
+    all_ = members.groupBy(*key).agg(F.collect_list(F.struct("node", "root")).alias("all"))
+    others = F.filter("all", lambda x: (x["node"] < F.col("a.node")) & (x["root"] != F.col("a.root")))
+    return all_.select("all", F.explode("all").alias("a")).select(F.col("a.node").alias("u"), F.explode(others).alias("b")).select("u", F.col("b.node").alias("v"))
 
 
 def _counted(members: DataFrame, key: list[str]) -> DataFrame:
     """Members of the buckets with more than one component, and the size of their bucket."""
     sizes = members.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").drop("low", "high")
-    return members.join(sizes, key)
-
-
-def similar_links(distinct: DataFrame, rows: DataFrame, known: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    return split_join(members, sizes, key, "node")
+
+
+def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with the root of their node's component by the links."""
+    roots = components(links).withColumnRenamed("node", "_node")
+    return members.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node")
+
+
+def crowd_links(sets: DataFrame, known: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """u, v: links that, with the ``known`` ones, connect exactly the similar sets (node, shingles)."""
+    tokens = durable(sets.select("node", F.explode("shingles").alias("shingle")))
+    counts = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
+    ordered = split_join(tokens, counts, ["shingle"], "node").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("all"))
+    n = F.size("all")
+    rare = F.slice("all", F.lit(1), (n - F.ceil(F.lit(SIMILAR) * n) + 1).cast("int"))
+    members = durable(ordered.select("node", F.explode(rare).alias("s")).select("node", "s.shingle"))
+    stars = members.groupBy("shingle").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    pairs = split_join(members, stars, ["shingle"], "node").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    first = durable(verified(pairs, sets))
+    rest = durable(_counted(durable(_rooted(members, first.unionByName(known))), ["shingle"]))
+    # Each member of a bucket goes to the pairs of blocks that hold its own: all pairs meet once, in small lists.
+    blocks = F.ceil(F.col("n") / bucket).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = rest.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("shingle", "node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return first.unionByName(verified(_all_pairs(dealt, ["shingle", "i", "j"]).distinct(), sets))
+
+
+def similar_links(sets: DataFrame, known: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """u, v: links that, with the ``known`` ones, connect similar texts.
 
-    distinct has fp and keys; rows has fp and shingles of texts, with repeats.
+    ``sets`` has node, keys and shingles, one row a node.
     """
-    keyed = distinct.select("fp", "keys", F.explode("keys").alias("key"))
-    stars = keyed.groupBy("key").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = durable(keyed.join(stars, "key").select("key", "fp", "v", "keys"))
-    sets = durable(rows.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("shingles").alias("shingles")))
-    first = durable(verified(members.where("fp <> v").select(F.col("fp").alias("u"), "v").distinct(), sets))
-    roots = durable(components(first.unionByName(known)))
-    members = members.drop("v").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    members = durable(_counted(members, ["key"]))
-    few = _all_pairs(members.where(F.col("n") <= bucket), ["key"])
-    split = members.where(F.col("n") > bucket).select("key", "fp", "root", F.explode("keys").alias("key2")).where("key <> key2")
-    split = durable(_counted(split, ["key", "key2"]))
-    small = _all_pairs(split.where(F.col("n") <= bucket), ["key", "key2"])
-    large = split.where(F.col("n") > bucket)
-    orders = [F.min_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
-    leaders = large.groupBy("key", "key2").agg(*orders).select("key", "key2", F.explode(F.array(*[f"l{k}" for k in range(LEADERS)])).alias("l")).select("key", "key2", F.col("l.fp").alias("v"), F.col("l.root").alias("root2")).distinct()
-    led = large.join(leaders, ["key", "key2"]).where("root <> root2").select(F.greatest("fp", "v").alias("u"), F.least("fp", "v").alias("v"))
-    rest = reduce(DataFrame.unionByName, [few, small, led]).distinct()
-    return first.unionByName(verified(rest, sets))
+    keyed = durable(sets.select("node", F.explode("keys").alias("key")))
+    stars = keyed.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = durable(split_join(keyed, stars, ["key"], "node"))
+    held = durable(sets.select("node", "shingles").join(members.select("node").distinct(), "node", "left_semi"))
+    first = durable(verified(members.where("node <> v").select(F.col("node").alias("u"), "v").distinct(), held))
+    members = durable(_counted(durable(_rooted(members.drop("v"), first.unionByName(known))), ["key"]))
+    few = _all_pairs(members.where(F.col("n") <= bucket), ["key"]).distinct()
+    found = durable(first.unionByName(verified(few, held)))
+    crowd = members.where(F.col("n") > bucket).select("node").distinct()
+    if crowd.isEmpty():
+        return found
+    return reduce(DataFrame.unionByName, [found, crowd_links(durable(held.join(crowd, "node", "left_semi")), found.unionByName(known), bucket)])

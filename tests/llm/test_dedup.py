@@ -115,35 +115,22 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(nothing(spark)).count() == 0
 
 
-def wide_groups(texts):
-    """Brute force of the wide scheme: root document of each."""
-    words = {d: simhash.wide_fingerprint(t or "", 5) for d, t in texts.items()}
-    signed = {d: simhash._signed(w[0]) for d, w in words.items()}
-    buckets = {}
-    for d, w in words.items():
-        for i in range(simhash.WIDE):
-            for j in range(3):
-                buckets.setdefault((i, j, w[i] >> 21 * j & (1 << 21) - 1), set()).add(d)
-    linked = set()
-    for members in buckets.values():
-        least = min(members, key=lambda d: signed[d])
-        linked |= {(min(d, least), max(d, least)) for d in members if sum((a ^ b).bit_count() for a, b in zip(words[d], words[least])) <= simhash.WIDE_RADIUS}
-    return _roots(sorted(texts), lambda a, b: (a, b) in linked or (words[a][0] ^ words[b][0]).bit_count() <= 2)
-
-
-def test_wide_groups_same_as_brute_force_and_reach_near_copies(spark):
+def test_texts_that_share_an_id_stay_apart(spark):
     from tests.llm.helpers import prose
 
-    draw, texts = random.Random(4), {}
-    for g in range(12):
-        words = prose(g * 13 + 1, 150 + g).split()
-        for k in range(8):
-            copy = list(words)
-            for _ in range(2 if k else 0):
-                copy[draw.randrange(len(copy))] = f"new{draw.randrange(1000)}"
-            texts[g * 100 + k] = " ".join(copy)
-    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame, shingle=5, wide=True).collect()}
-    assert got == wide_groups(texts)
-    assert all(a // 100 == b // 100 for a, b in got.items())
-    assert sum(got[d] == d // 100 * 100 for d in texts) > 0.7 * len(texts)
+    rows = [(1, prose(1, 90)), (1, prose(2, 90)), (2, prose(3, 90)), (2, prose(1, 90)), (None, prose(4, 90)), (None, prose(4, 90)), (None, prose(1, 90)), (3, prose(2, 90))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, kept.collect())) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in [(1, prose(1, 90)), (1, prose(2, 90)), (2, prose(3, 90)), (None, prose(4, 90))])
+
+
+def test_hot_keys_are_split_without_loss(spark, monkeypatch):
+    from foliate.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 3), (3, 1), (4, 20)) for i in range(n)], "k long, i long").repartition(3)
+    each = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d")], "k long, x string")
+    want = sorted(map(str, rows.join(each, ["k"], "left").collect()))
+    assert sorted(map(str, common.split_join(rows, each, ["k"], "i", "left").collect())) == want
+    assert common.split_join(rows, each, ["k"], "i").count() == 73
+    star = spark.createDataFrame([(i, 0) for i in range(1, 200)] + [(i, i + 1) for i in range(300, 340)], "u long, v long")
+    assert {r["node"]: r["root"] for r in components(star).collect()} == {**{i: 0 for i in range(200)}, **{i: 300 for i in range(300, 341)}}

@@ -3,6 +3,8 @@
 import random
 
 from foliate.llm import simhash
+from foliate.llm.components import components
+from foliate.llm.similar import crowd_links
 from tests.llm.helpers import prose
 from tests.llm.test_dedup import _roots
 
@@ -36,5 +38,27 @@ def test_small_buckets_compare_all_members_and_larger_ones_are_split(spark):
     texts = _texts()
     want = _roots(sorted(texts), _similar(texts))
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame, shingle=5, bucket=2, similar=True).collect()}
-    assert got == want
+    for bucket in (1, 2, 1000):
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame, bucket=bucket).collect()} == want
+
+
+def test_crowds_lose_no_link(spark):
+    """Texts of one form: most pairs are similar to 0.7 or so and share keys, some to 0.8; every link counts."""
+    draw, texts = random.Random(9), {}
+    form = prose(3, 200).split()
+    for d in range(60):
+        words = list(form)
+        for _ in range(draw.randint(3, 4)):
+            words[draw.randrange(len(words))] = f"own{draw.randrange(10_000)}"
+        texts[d] = " ".join(words)
+    similar = _similar(texts)
+    want = _roots(sorted(texts), similar)
+    assert 1 < len(set(want.values())) < 60
+    words = {d: t.split() for d, t in texts.items()}
+    number = {}
+    sets = [(d, sorted({number.setdefault(tuple(w[i : i + 5]), len(number)) for i in range(len(w) - 4)})) for d, w in words.items()]
+    frame = spark.createDataFrame(sets, "node long, shingles array<int>")
+    none = spark.createDataFrame([], "u long, v long")
+    for bucket in (4, 32):
+        got = {d: d for d in texts} | {r["node"]: r["root"] for r in components(crowd_links(frame, none, bucket)).collect()}
+        assert got == want
