@@ -29,18 +29,21 @@ def durable(df: DataFrame) -> DataFrame:
 
 #: A key with more than one in so many rows is hot; so there are at most so many hot keys.
 HOT = 4096
-#: No key with fewer rows is hot.
-HOT_LEAST = 64
+#: No key with fewer rows is hot: one task takes that many narrow rows in a moment.
+HOT_LEAST = 100_000
 
 
-def split_join(rows: DataFrame, each: DataFrame, key: list[str], by: str, how: str = "inner") -> DataFrame:
+def split_join(rows: DataFrame, each: DataFrame, key: list[str], by: str, how: str = "inner", least: int | None = None) -> DataFrame:
     """``rows`` joined with ``each`` (one row a key at most), hot keys split over many tasks.
 
     A key that more than one in ``HOT`` rows hold is split by a hash of column ``by``, and its row of ``each`` is
     repeated for every part. Only the hot keys with their number of parts, ``HOT`` rows at most, go through the
     driver and are broadcast. ``rows`` should be durable: it is counted first.
     """
-    limit = max(rows.count() // HOT, HOT_LEAST)
+    n, least = rows.count(), HOT_LEAST if least is None else least
+    if n <= least:
+        return rows.join(each, key, how)
+    limit = max(n // HOT, least)
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
     hot = sizes.select(*key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
     found = hot.collect()

@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = durable(fingerprints(docs, id_col, text_col, shingle))
     distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     named = _named(distinct, "fp", components(links(distinct.select("fp"), bucket)))
-    return split_join(rows, named, ["fp"], "doc_id", "left").select("doc_id", "fp", "root", "component_id")
+    return split_join(rows, named, ["fp"], "doc_id", "left", least=64).select("doc_id", "fp", "root", "component_id")
 
 
 def _named(distinct: DataFrame, node: str, groups: DataFrame) -> DataFrame:
@@ -177,8 +177,10 @@ def _named(distinct: DataFrame, node: str, groups: DataFrame) -> DataFrame:
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """doc_id, hash (of the text), root, component_id for every row: groups by near fingerprints and by similar shingle sets."""
-    rows = durable(fingerprints(docs, id_col, text_col, shingle, similar=True))
-    sets = durable(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("shingles").alias("shingles")))
+    rows = durable(fingerprints(docs, id_col, text_col, shingle, similar=True).withColumn("row", F.monotonically_increasing_id()))
+    sets = durable(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), F.min("row").alias("row")))
+    firsts = rows.join(sets.select("row"), "row", "left_semi")
+    sets_of = lambda some: rows.join(sets.join(some, "node", "left_semi").select("row"), "row", "left_semi").select("node", "shingles")
     # Sets with one fingerprint hang below the least of them, which stands for the fingerprint.
     heads = durable(sets.groupBy("fp").agg(F.min("node").alias("head")))
     pairs = durable(links(heads.select("fp"), bucket))
@@ -186,7 +188,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = split_join(split_join(pairs, head("u"), ["u"], "v"), head("v"), ["v"], "u").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
     same = split_join(sets.select("node", "fp"), heads, ["fp"], "node").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
     known = durable(near.unionByName(same))
-    found = similar_links(sets.select("node", "keys", "shingles"), known, bucket)
+    found = similar_links(firsts.select("node", "keys"), sets_of, known, bucket)
     named = _named(sets.select("node", "least"), "node", components(found.unionByName(known)))
     return split_join(rows.select("doc_id", "hash", "node"), named, ["node"], "doc_id", "left").select("doc_id", "hash", "root", "component_id")
 

@@ -13,7 +13,7 @@ first with the least of them, then in blocks if they are still in different comp
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -49,14 +49,13 @@ def shingle_set(hashes: np.ndarray) -> np.ndarray:
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
     """u, v: the pairs (u, v) whose shingle sets (node, shingles) have at least that share of their union in common."""
-    size = lambda end: sets.select(F.col("node").alias(end), F.size("shingles").alias(f"_{end}"))
-    # The size of the smaller set bounds what they share: most other pairs need no look at the sets.
-    sized = split_join(split_join(durable(pairs), size("u"), ["u"], "v"), size("v"), ["v"], "u")
-    close = durable(sized.where(F.least("_u", "_v") >= least * F.greatest("_u", "_v")).select("u", "v"))
+    pairs = durable(pairs)
     whole = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"_{end}"))
-    both = split_join(split_join(close, whole("v"), ["v"], "u"), whole("u"), ["u"], "v")
+    both = split_join(pairs, whole("v"), ["v"], "u").join(whole("u"), "u")
     shared = F.size(F.array_intersect("_u", "_v"))
-    return both.where(shared >= least * (F.size("_u") + F.size("_v") - shared)).select("u", "v")
+    # The size of the smaller set bounds what they share: most other pairs need no look at the sets.
+    may = F.least(F.size("_u"), F.size("_v")) >= least * F.greatest(F.size("_u"), F.size("_v"))
+    return both.where(may).where(shared >= least * (F.size("_u") + F.size("_v") - shared)).select("u", "v")
 
 
 def _all_pairs(members: DataFrame, key: list[str]) -> DataFrame:
@@ -98,15 +97,16 @@ def crowd_links(sets: DataFrame, known: DataFrame, bucket: int = BUCKET) -> Data
     return first.unionByName(verified(_all_pairs(dealt, ["shingle", "i", "j"]).distinct(), sets))
 
 
-def similar_links(sets: DataFrame, known: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], known: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """u, v: links that, with the ``known`` ones, connect similar texts.
 
-    ``sets`` has node, keys and shingles, one row a node.
+    ``nodes`` has node and keys, one row a node; ``sets_of`` gives the sets (node, shingles) of some nodes (node):
+    only those of candidates move.
     """
-    keyed = durable(sets.select("node", F.explode("keys").alias("key")))
+    keyed = durable(nodes.select("node", F.explode("keys").alias("key")))
     stars = keyed.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = durable(split_join(keyed, stars, ["key"], "node"))
-    held = durable(sets.select("node", "shingles").join(members.select("node").distinct(), "node", "left_semi"))
+    held = durable(sets_of(members.select("node").distinct()))
     first = durable(verified(members.where("node <> v").select(F.col("node").alias("u"), "v").distinct(), held))
     members = durable(_counted(durable(_rooted(members.drop("v"), first.unionByName(known))), ["key"]))
     few = _all_pairs(members.where(F.col("n") <= bucket), ["key"]).distinct()
@@ -114,4 +114,4 @@ def similar_links(sets: DataFrame, known: DataFrame, bucket: int = BUCKET) -> Da
     crowd = members.where(F.col("n") > bucket).select("node").distinct()
     if crowd.isEmpty():
         return found
-    return reduce(DataFrame.unionByName, [found, crowd_links(durable(held.join(crowd, "node", "left_semi")), found.unionByName(known), bucket)])
+    return found.unionByName(crowd_links(durable(held.join(crowd, "node", "left_semi")), found.unionByName(known), bucket))

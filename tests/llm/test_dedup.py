@@ -127,6 +127,7 @@ def test_hot_keys_are_split_without_loss(spark, monkeypatch):
     from foliate.llm import common
 
     monkeypatch.setattr(common, "HOT_LEAST", 3)
+    monkeypatch.setattr(common, "HOT", 40)
     rows = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 3), (3, 1), (4, 20)) for i in range(n)], "k long, i long").repartition(3)
     each = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d")], "k long, x string")
     want = sorted(map(str, rows.join(each, ["k"], "left").collect()))
