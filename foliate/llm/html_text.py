@@ -1,12 +1,15 @@
 """Main text of HTML pages by tree scoring.
 
-A page's tags are read once into a tree with the implied ends of HTML. Parts that are no article by
-their element, role or name (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) are cut. Every paragraph of the rest passes points for its length and commas to its
-ancestors, fewer the farther they are; a container's points are discounted by its share of link
+A page's tags are read once into a tree with the implied ends of HTML. Elements and roles that are never part of an
+article (menus, footers, scripts, styles and so on) are cut. Every paragraph passes points for its length and commas to its
+parent, half of them to the next ancestor and so on; a container's points are discounted by its share of link
 text. The best container is kept, widened to the article element around it if there is one, with
 those siblings that score well or read like text.
 
+Names (classes and ids such as sidebar, cookie-notice, comments) and forms are signs only: such a part is cut if the rest of
+the page has text of its own. Where the rest is worth less than ``REST_SHARE`` of it, it is a wrapper around the article, as
+layouts name them, and stays; what reads as comments or adverts stays only if nothing else is there.
+
 Character references are decoded once; white space in a block becomes one space; blocks are joined
 in page order by one space. Nothing is capped.
 
@@ -30,7 +33,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CUT_ELEMENTS = frozenset("head nav footer aside form button select dialog menu search canvas object audio video fieldset label".split()) | RAW
+CUT_ELEMENTS = frozenset("head nav footer aside button select dialog menu search canvas object audio video fieldset label".split()) | RAW
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 CUT_NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs byline
@@ -40,6 +43,10 @@ CUT_NAMES = frozenset(
     sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar
     widget widgets alert aside rail teaser trending gdpr responses response search searchbox feedback""".split()
 )
+#: A name with one of these tells a state of the page and names no part: no-sidebar, comments-open.
+STATES = frozenset("no has with without is not non open opened closed enabled disabled on off free none hidden count".split())
+#: Share of a named part's points below which the rest of the page is no article: the part stays.
+REST_SHARE = 0.25
 #: Elements that a name cuts only if it is one of readers' comments or adverts.
 FIRM = frozenset("html body main article".split())
 FIRM_CUTS = frozenset("ad ads advert advertisement comment comments commentlist reply replies sponsored promo related teaser".split())
@@ -63,8 +70,8 @@ LENGTH_STEP, LENGTH_MOST = 100, 3
 #: Link share above which a list or box inside the article is cut, and below which a sibling reads like text.
 LINKS_CUT, LINKS_TEXT = 0.5, 0.25
 SIBLING_SHARE = 0.2
-#: Levels that points are passed up: what is left of them there decides nothing.
-FARTHEST = 64
+#: How sure a cut is: not cut, by a name or form, by a name of comments or adverts, by the element itself.
+STAYS, NAMED, FIRMLY, SURE = range(4)
 
 _TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|/[^>]*(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -72,25 +79,28 @@ _NAME = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _cut(tag: str, attributes: str) -> bool:
-    """Whether an element is no part of an article by its own tag and attributes."""
+def _cut(tag: str, attributes: str) -> int:
+    """How sure it is that an element is no part of an article, by its own tag and attributes."""
     if tag in CUT_ELEMENTS:
-        return True
+        return SURE
+    sign = NAMED if tag == "form" else STAYS
     if not attributes or attributes.isspace():
-        return False
+        return sign
     firm = tag in FIRM
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), unescape(a or b or c)
         if name == "role" and not firm and value.strip().lower() in CUT_ROLES:
-            return True
+            return SURE
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
-            return not firm or tag == "article"
-        if name in ("class", "id"):
-            parts = {x.lower() for x in _NAME.findall(value)}
-            cuts = parts & (FIRM_CUTS if firm or tag in HEADINGS else CUT_NAMES)
-            if cuts and tag not in ("html", "body") and not (cuts <= HEAD_NAMES and (tag == "header" or parts & OWN_NAMES)):
-                return True
-    return False
+            if not firm or tag == "article":
+                return SURE
+        if name in ("class", "id") and tag not in ("html", "body"):
+            for token in value.split():
+                parts = {x.lower() for x in _NAME.findall(token)}
+                cuts = parts & (FIRM_CUTS if firm or tag in HEADINGS else CUT_NAMES)
+                if cuts and not parts & STATES and not (cuts <= HEAD_NAMES and (tag == "header" or parts & OWN_NAMES)):
+                    sign = max(sign, FIRMLY if cuts & FIRM_CUTS else NAMED)
+    return sign
 
 
 class Tree:
@@ -98,7 +108,7 @@ class Tree:
 
     def __init__(self, html: str) -> None:
         self.tag, self.parent, self.end = ["#root"], [0], [0]
-        self.cut, self.link, self.block = [False], [False], [0]
+        self.cut, self.sign, self.link, self.block = [False], [STAYS], [False], [0]
         self.texts: list[tuple[int, str]] = []
         self._read(html)
 
@@ -109,7 +119,9 @@ class Tree:
         self.tag.append(tag)
         self.parent.append(up)
         self.end.append(node + 1)
-        self.cut.append(self.cut[up] or header or _cut(tag, attributes))
+        sign = SURE if header else _cut(tag, attributes)
+        self.cut.append(self.cut[up] or sign == SURE)
+        self.sign.append(sign)
         self.link.append(self.link[up] or tag == "a")
         self.block.append(node if tag in BLOCKS else self.block[up])
         return node
@@ -199,18 +211,14 @@ class Tree:
                 commas[block] += text.count(",") + text.count("，") + text.count("、")
                 if self.link[node]:
                     links[block] += length
+        worth = [(1 + commas[k] + min(size[k] // LENGTH_STEP, LENGTH_MOST)) * (1 - links[k] / size[k]) * min(1.0, size[k] / 25) if size[k] else 0.0 for k in range(n)]
+        self._cut_named(worth)
+        for k in range(n):
+            if self.cut[k]:
+                size[k] = links[k] = worth[k] = 0
         points = [0.0] * n
-        for k in range(1, n):
-            if size[k] and not self.cut[k]:
-                worth = (1 + commas[k] + min(size[k] // LENGTH_STEP, LENGTH_MOST)) * (1 - links[k] / size[k]) * min(1.0, size[k] / 25)
-                up, share = self.parent[k], 1.0
-                level = 1
-                while True:
-                    points[up] += worth * share
-                    if not up or level == FARTHEST:
-                        break
-                    up, level = self.parent[up], level + 1
-                    share = 0.5 if level == 2 else 1 / (3 * level)
+        for k in range(n - 1, 0, -1):
+            points[self.parent[k]] += worth[k] + points[k] / 2
         total, linked = size[:], links[:]
         for k in range(n - 1, 0, -1):
             total[self.parent[k]] += total[k]
@@ -238,11 +246,33 @@ class Tree:
                     drop.append((k, self.end[k]))
         inside = bytearray(n)
         for a, b in chosen:
-            inside[a:b] = b"\x01" * (b - a)
+            inside[a:b] = bytes(not self.cut[k] for k in range(a, b))
         for a, b in drop:
             inside[a:b] = bytes(b - a)
         return " ".join("".join([t for node, t in self.texts if inside[node] or t == " "]).split())
 
+    def _cut_named(self, worth: list[float]) -> None:
+        """Cut the parts that their names tell, but for wrappers around what the page is about."""
+        n = len(self.tag)
+        whole = worth[:]
+        for k in range(n - 1, 0, -1):
+            whole[self.parent[k]] += whole[k]
+        while True:
+            outer, k = [], 1
+            while k < n:
+                if self.sign[k] in (NAMED, FIRMLY) and not self.cut[k]:
+                    outer.append(k)
+                    k = self.end[k]
+                else:
+                    k += 1
+            rest = whole[0] - sum(whole[k] for k in outer)
+            best = max(outer, key=lambda k: (whole[k], -k), default=0)
+            if not best or not whole[best] or rest > (1e-9 if self.sign[best] == FIRMLY else REST_SHARE * whole[best]):
+                break
+            self.sign[best] = STAYS
+        for k in outer:
+            self.cut[k : self.end[k]] = [True] * (self.end[k] - k)
+
     def _siblings(self, node: int, n: int) -> list[int]:
         up, out = self.parent[node], []
         k = up + 1

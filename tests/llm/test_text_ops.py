@@ -115,6 +115,40 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+STORY = [f"Paragraph {i} of the story, with a clause, and another one, tells what was seen there in some detail." for i in range(6)]
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        '<div class="content-sidebar wrapper">{}</div>',
+        '<div class="no-sidebar">{}</div>',
+        '<div class="has-fixed-header">{}</div>',
+        '<div class="elementor-widget">{}</div>',
+        '<div class="ad-free-story">{}</div>',
+        '<div class="court-response">{}</div>',
+        '<article class="post comments-open">{}</article>',
+        '<article class="post related-enabled">{}</article>',
+        '<form action="/p">{}</form>',
+        '<div id="page"><form><div class="layout sidebar-right"><div class="col">{}</div><div class="sidebar"><p>Other, things, here</p></div></div></form></div>',
+        '<div class="col">{}</div><div class="comments"><p>I, think, so, too</p><p>No, you, do, not</p></div>',
+        '<div class="col">{}</div><ol class="commentlist"><li><p>Some, long, talk, that, goes, on, for, a, while, and, so, on, and, on, and, on, and, on</p></li></ol>',
+        '<div class="widget"><p>Win, a, prize</p></div><div class="main-col">{}</div><div class="cookie-notice">We use cookies, all of them</div>',
+        "<section><div>{}</div></section>",
+    ],
+)
+def test_names_are_signs_only(body):
+    page = "<html><body><nav><a href=/>Home</a> <a href=/x>News</a></nav>" + body.format("".join(f"<p>{p}</p>" for p in STORY)) + "<footer>f</footer></body></html>"
+    assert html_text.main_text(page) == " ".join(STORY)
+
+
+def test_articles_without_the_element(spark, sf_dir):
+    """The same pages with plain boxes for the article element: the scores find the text."""
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").limit(60).collect():
+        plain = r["html"].replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html_text.main_text(plain) == html_text.main_text(r["html"])
+
+
 def test_articles_of_the_pages(spark, sf_dir):
     got = {r["page_id"]: r for r in html_text.op2_html_text(spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
