@@ -2,14 +2,14 @@
 
 A paragraph is a line. A multinomial logistic regression on hashed word n-grams (n from 1 to 3),
 sparse by its elastic net, tells licence families from an unknown class. It is fitted on licence
-templates, on shortened variants of them and on a bounded sample of other paragraphs; a logistic
-curve on rows kept from the fit calibrates how far the best family leads the unknown class. A prediction counts if
-the calibrated probability reaches ``CALIBRATED`` and a template of that family confirms it: 5-word
-shingles of the shorter of both are in the longer one to ``SIMILAR`` or more.
+templates, on shortened variants of them and on a bounded sample of other paragraphs, those with the words of licences
+among them; a logistic curve on templates and paragraphs kept whole from a first fit calibrates how far the best family leads the
+unknown class. A prediction counts if the calibrated probability reaches ``CALIBRATED`` and a template of that family confirms
+it: 5-word shingles of the shorter of both are in the longer one to ``SIMILAR`` or more.
 
-A word of the licence vocabulary must be in a paragraph for the classifier to look at it: the words of
-``VOCABULARY`` are a gate that is part of the model, and every template holds one. Texts are read once and never
-shuffled; only gated paragraphs are exploded.
+A confirmed paragraph shares a shingle with a telling word: ``gate_words`` makes these from the templates, and each template
+has shingles with them. So paragraphs without any telling word could not be confirmed and don't reach the classifier.
+Texts are never shuffled; only the other paragraphs are exploded.
 
 Defined results: null and empty texts hold no licence; repeated rows and ties give the same result
 each; families come in alphabetical order; a null id is passed on; other columns are ignored.
@@ -17,9 +17,11 @@ each; families come in alphabetical order; a null id is passed on; other columns
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import reduce
 from math import exp
-from operator import or_
+from operator import and_, or_
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -66,7 +68,7 @@ TEMPLATES = {
     ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."),
 }
-#: Stems one of which is in every template (a test sends each through the gate): the licence vocabulary.
+#: Stems of the licence vocabulary; the gate lets these through as well, and they come first where it is made.
 VOCABULARY = ("licens", "licenc", "redistribut", "permission", "copyright", "warrant", "public domain", "cc0", "rights reserved")
 #: Sentences with that vocabulary that grant nothing: they teach the unknown class.
 OTHERS = (
@@ -75,6 +77,8 @@ OTHERS = (
     "Copyright law differs from country to country.", "The bar lost its liquor license in the spring.", "She asked for permission to leave early.", "All rights and the copyright stay with the publisher.",
     "Software license fees rose again this year.", "The redistribution of land was slow.", "The doctor renewed her medical license.", "A license to print money, said the minister.", "The old songs are in the public domain now.", "All rights reserved.",
 )
+#: Letters of a telling word of a template.
+RARE = 8
 UNKNOWN = "unknown"
 N_GRAMS = 3
 FEATURES = 1 << 14
@@ -101,9 +105,29 @@ def _features(w: Column) -> Column:
     return F.concat(*[grams(w, n) for n in range(1, N_GRAMS + 1)])
 
 
+def gate_words(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> tuple[str, ...]:
+    """The vocabulary, and the words of ``RARE`` letters or more of templates' shingles without it: those that hit most shingles before others, until no shingle with such a word is left."""
+    low = lambda t: re.sub(r"[\W_]+", " ", t.lower().replace("licenc", "licens")).split()
+    left = {tuple(w[i : i + SHINGLE]) for texts in templates.values() for w in map(low, texts) for i in range(max(1, len(w) - SHINGLE + 1))}
+    left = {s for s in left if not any(v in " ".join(s) for v in VOCABULARY)}
+    telling = list(VOCABULARY)
+    while counts := Counter(w for s in left for w in set(s) if len(w) >= RARE):
+        telling.append(max(counts, key=lambda w: (counts[w], len(w), w)))
+        left = {s for s in left if telling[-1] not in s}
+    return tuple(telling)
+
+
 def _gate(text: Column) -> Column:
-    low = F.lower(text)
-    return reduce(or_, (low.contains(v) for v in VOCABULARY))
+    words_ = gate_words()
+    return F.exists(F.array(F.lower(text)), lambda low: reduce(or_, (low.contains(w) for w in words_)))
+
+
+def _gated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, doc_id, all: the lines that the gate lets through with their numbers, of every row. Texts are looked at once."""
+    text = as_text(F.col(text_col))
+    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
+    passing = F.filter(numbered, lambda p: _gate(p["text"]))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.when(_gate(text), passing).otherwise(F.filter(numbered, lambda p: F.lit(False))).alias("all"))
 
 
 class LicenceModel:
@@ -122,24 +146,24 @@ class LicenceModel:
         return out.withColumn("calibrated", 1 / (1 + F.exp(-(F.lit(a) * F.col("_lead") + F.lit(b))))).drop("_grams", "_hashed", "_logits", "_lead", "_p", "_guess")
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> LicenceModel:
+def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, id_col: str = "doc_id", gated: DataFrame | None = None) -> LicenceModel:
     """Fit on templates, their variants and a bounded sample of the corpus's other paragraphs."""
     spark = docs.sparkSession
+    gated = durable(_gated(docs, id_col, text_col)) if gated is None else gated
     families = [UNKNOWN, *sorted(TEMPLATES)]
     rows = []
     for family, texts in TEMPLATES.items():
         for text in texts:
-            w = text.split()
-            rows += [(family, text)] + [(family, " ".join(w[i : i + max(5, 3 * len(w) // 4)])) for i in range(0, max(1, len(w) // 4 + 1), 2)]
-            rows += [(family, "Copyright (c) 2020 the authors. " + text), (family, text + " See the file for details."), (family, "This file: " + text.lower())]
-    rows += [(UNKNOWN, t) for t in OTHERS for _ in range(3)]
-    known = spark.createDataFrame([(families.index(f), t) for f, t in rows], "label int, text string").coalesce(1)
-    text = as_text(F.col(text_col))
-    plain = docs.select(F.filter(F.split(text, "\n"), lambda x: ~_gate(x) & (F.trim(x) != "")).alias("all"))
-    lines = plain.where(F.size("all") > 0).select(F.element_at("all", (F.pmod(F.xxhash64("all"), F.size("all")) + 1).cast("int")).alias("text"))
-    other = lines.orderBy(F.xxhash64("text"), "text").limit(sample).select(F.lit(0).alias("label"), "text")
+            w, own = text.split(), text
+            made = [text] + [" ".join(w[i : i + max(5, 3 * len(w) // 4)]) for i in range(0, max(1, len(w) // 4 + 1), 2)]
+            made += ["Copyright (c) 2020 the authors. " + text, text + " See the file for details.", "This file: " + text.lower()]
+            rows += [(family, x, own) for x in made]
+    rows += [(UNKNOWN, t, t) for t in OTHERS for _ in range(3)]
+    known = spark.createDataFrame([(families.index(f), t, own) for f, t, own in rows], "label int, text string, own string").coalesce(1)
     hashing = HashingTF(inputCol="_grams", outputCol="_hashed", numFeatures=FEATURES, binary=True)
-    data = durable(known.unionByName(other).coalesce(2).withColumn("_held", F.pmod(F.xxhash64("text"), F.lit(4)) == 0).withColumn("_words", words(F.col("text"))))
+    other = _others(docs, gated, text_col, sample).select(F.lit(0).alias("label"), "text", F.col("text").alias("own"))
+    # What is held out is held with all its variants: whole templates and whole paragraphs.
+    data = durable(known.unionByName(other).coalesce(2).withColumn("_held", F.pmod(F.xxhash64("own"), F.lit(4)) == 0).withColumn("_words", words(F.col("text"))))
     ready = hashing.transform(data.withColumn("_grams", _features(F.col("_words")))).cache()
     learner = LogisticRegression(featuresCol="_hashed", labelCol="label", rawPredictionCol="_logits", probabilityCol="_p", predictionCol="_guess", family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=ITERATIONS)
     first = learner.fit(ready.where(~F.col("_held")))
@@ -151,6 +175,26 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Licenc
     return LicenceModel(model, calibrate(pairs), families, hashing)
 
 
+def _others(docs: DataFrame, gated: DataFrame, text_col: str, sample: int) -> DataFrame:
+    """text: ``sample`` paragraphs without the gate's words, and as many with them that no template is like, at most.
+
+    One paragraph of a document each; a hash of the paragraph below a threshold from the number of rows leaves about twice the
+    sample, copies fold into one before anything moves, and only these are sorted.
+    """
+
+    def drawn(lines: DataFrame, n: int) -> DataFrame:
+        picked = lines.where(F.size("all") > 0).select(F.element_at("all", (F.pmod(F.xxhash64("all"), F.size("all")) + 1).cast("int")).alias("text"))
+        return picked.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(2 * sample / max(n, 1) * (1 << 40))).distinct()
+
+    some = lambda lines: lines.orderBy(F.xxhash64("text"), "text").limit(sample)
+    lines = docs.select(F.filter(F.split(as_text(F.col(text_col)), "\n"), lambda x: F.trim(x) != "").alias("all"))
+    telling = gated.where(F.size("all") > 0).select(F.col("all.text").alias("all"))
+    near = drawn(telling, telling.count()).withColumn("_s", _shingles(words(F.col("text"))))
+    templates = F.flatten(F.map_values(_template_shingles(docs.sparkSession)))
+    like = F.array_max(F.transform(templates, lambda t: F.size(F.array_intersect("_s", t)) / F.least(F.size("_s"), F.size(t))))
+    return some(drawn(lines, docs.count()).where(~_gate(F.col("text")))).unionByName(some(near.where(like < SIMILAR / 2).select("text")))
+
+
 def calibrate(pairs: list[tuple[float, int]]) -> tuple[float, float]:
     """Slope and offset of a logistic curve through (lead, is a licence), by Newton steps with a weak prior."""
     a, b = 1.0, 0.0
@@ -186,8 +230,11 @@ def classify(gated: DataFrame, model: LicenceModel) -> DataFrame:
     """``gated`` (one paragraph a row, in column ``text``) with family, calibrated, similarity and confirmed."""
     found = model.predict(gated.withColumn("_words", words(F.col("text")))).withColumn("_s", _shingles(F.col("_words")))
     shared = lambda t: F.size(F.array_intersect("_s", t)) / F.least(F.size("_s"), F.size(t))
-    similar = F.array_max(F.transform(F.element_at(_template_shingles(gated.sparkSession), F.col("family")), shared))
-    found = found.withColumn("similarity", similar).withColumn("confirmed", (F.col("calibrated") >= CALIBRATED) & (F.col("similarity") >= SIMILAR))
+    own = F.element_at(_template_shingles(gated.sparkSession), F.col("family"))
+    similar = F.array_max(F.transform(own, shared))
+    # A telling word must be in what is shared: runs of plain words alone confirm nothing.
+    telling = F.exists(F.array_intersect("_s", F.flatten(own)), _gate)
+    found = found.withColumn("similarity", similar).withColumn("confirmed", (F.col("calibrated") >= CALIBRATED) & (F.col("similarity") >= SIMILAR) & telling)
     return found.drop("_words", "_s")
 
 
@@ -197,11 +244,9 @@ def scan(docs: DataFrame, model: LicenceModel | None = None, id_col: str = "doc_
     families are the confirmed ones, in alphabetical order; spans tells (line number, family,
     calibrated, similarity, confirmed) of every paragraph that the gate lets through, in order.
     """
-    model = fit(docs, text_col) if model is None else model
-    text = as_text(F.col(text_col))
-    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
-    # Row numbers are given once and written down with the gated paragraphs; other rows need none.
-    gated = durable(docs.where(_gate(text)).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.filter(numbered, lambda p: _gate(p["text"])).alias("all")))
+    # Row numbers are given once and written down with the gated paragraphs.
+    gated = durable(_gated(docs, id_col, text_col))
+    model = fit(docs, text_col, gated=gated) if model is None else model
     each = classify(gated.select("row", "doc_id", F.explode("all").alias("p")).select("row", "doc_id", "p.line", "p.text"), model)
     span = F.struct("line", "family", "calibrated", "similarity", "confirmed")
     out = each.groupBy("row").agg(
@@ -212,7 +257,7 @@ def scan(docs: DataFrame, model: LicenceModel | None = None, id_col: str = "doc_
         F.array_sort(F.collect_list(span)).alias("spans"),
     ).drop("row")
     kind = dict(out.dtypes)
-    rest = docs.where(~_gate(text)).select(F.col(id_col).alias("doc_id"), F.array().cast(kind["families"]).alias("families"), F.lit(0).cast("long").alias("n_gated"), F.lit(0).cast("long").alias("n_confirmed"), F.array().cast(kind["spans"]).alias("spans"))
+    rest = gated.where(F.size("all") == 0).select("doc_id", F.array().cast(kind["families"]).alias("families"), F.lit(0).cast("long").alias("n_gated"), F.lit(0).cast("long").alias("n_confirmed"), F.array().cast(kind["spans"]).alias("spans"))
     return out.unionByName(rest)
 
 
