@@ -1,14 +1,15 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Patterns find candidates in every whole text. The digest of each candidate value is counted over
-the corpus by distinct owners (the ``source`` column: a repository or its owner): a value that more
-than ``EXAMPLE_OWNERS`` owners hold is a widely copied example, and one that few hold, with the
-randomness of a credential, is live. Live spans are added to the base spans, which all stay.
+the corpus by distinct repositories (the ``source`` column) and by distinct owners (a repository's name up to its first
+slash; the whole name without one). A value that more than ``EXAMPLE_OWNERS`` owners or ``EXAMPLE_REPOSITORIES`` repositories
+hold is a widely copied example; one that few hold, with the look of a live credential (see ``live_looking``), is live.
+Live spans are added to the base spans, which all stay.
 
 Only candidates move: texts are read once and never shuffled. A value in very many rows combines by
 (value, owner) before the shuffle.
 
-Defined results: null and empty texts have no spans; a null owner is an owner of its own; repeated
+Defined results: null and empty texts have no spans; a null repository is one of its own, with an owner of its own; repeated
 rows count once an owner and each give their row; a null id is passed on; other columns are ignored.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm.common import as_text, durable, table
+from foliate.llm.common import as_text, durable, split_join, table
 
 #: Kinds in order, their patterns, and the least characters of the value.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -31,9 +32,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
-#: Owners that a live credential has at most, and the least bits a character of its value.
-EXAMPLE_OWNERS = 2
-LEAST_ENTROPY = 2.0
+#: Owners and repositories that a live credential has at most.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 2, 8
+#: Least characters of a live value, and the least share of the bits a character that its length allows (16 symbols count at most).
+LIVE_LEAST, LIVE_SHARE = 12, 0.75
+#: Words of values that stand in for a credential.
+PLACEHOLDERS = ("password", "passwd", "changeme", "change_me", "example", "sample", "placeholder", "dummy", "your", "test", "secret", "token", "xxxx", "none", "null", "default", "redacted", "123456", "abcdef")
 
 
 def candidates(text: str) -> list[tuple[str, int, int, str]]:
@@ -52,6 +56,16 @@ def entropy(value: str) -> float:
     return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
 
 
+def live_looking(value: str) -> bool:
+    """Whether a value looks like a credential in use: long enough, no placeholder, letters and digits or both cases, and random for its length."""
+    low = value.lower()
+    if len(value) < LIVE_LEAST or any(w in low for w in PLACEHOLDERS):
+        return False
+    if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) and (low == value or value.upper() == value):
+        return False
+    return entropy(value) >= LIVE_SHARE * math.log2(min(len(value), 16))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """doc_id, owner, found (kind, start, end, value digest, random) of every row."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), as_text(F.col(text_col)).alias("text"))
@@ -59,7 +73,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
     def run(batches):
         for batch in batches:
-            rows = [[{"kind": k, "start": a, "end": b, "value": hashlib.sha256(v.encode()).hexdigest()[:32], "random": entropy(v) >= LEAST_ENTROPY} for k, a, b, v in candidates(t)] for t in batch.column(2).to_pylist()]
+            rows = [[{"kind": k, "start": a, "end": b, "value": hashlib.sha256(v.encode()).hexdigest()[:32], "random": live_looking(v)} for k, a, b, v in candidates(t)] for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(span))], ["doc_id", "owner", "found"])
 
     id_type = source.schema["doc_id"].dataType.simpleString()
@@ -67,20 +81,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """value, owners: the number of distinct owners of each candidate value."""
-    held = scanned.select("owner", F.explode("found.value").alias("value")).groupBy("value", "owner").agg(F.lit(1).alias("one"))
-    return held.groupBy("value").agg(F.count("one").alias("owners"))
+    """value, owners, repositories: the number of distinct ones that hold each candidate value, a null counted as one."""
+    held = scanned.select(F.coalesce(F.concat(F.lit("+"), "owner"), F.lit("-")).alias("repository"), F.explode("found.value").alias("value")).distinct()
+    by_owner = held.groupBy("value", F.substring_index("repository", "/", 1).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """doc_id, owner, spans of every row: an array of (start, kind order, kind, end, owners, status).
 
-    status is example (many owners), live (few owners, random value) or weak (few owners, not random).
+    status is example (many owners or repositories), live (few, and it looks like a credential) or weak (few, and it does not).
     """
     scanned = durable(scan(docs, id_col, text_col, owner_col).withColumn("row", F.monotonically_increasing_id()))
-    each = scanned.select("row", F.explode("found").alias("x")).join(ownership(scanned).withColumnRenamed("value", "_value"), F.col("x.value") == F.col("_value"))
+    found = durable(scanned.select("row", F.explode("found").alias("x")).withColumn("value", F.col("x.value")))
+    each = split_join(found, ownership(scanned), ["value"], "row")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("x.kind")).cast("int")
-    status = F.when(F.col("owners") > example_owners, "example").when(F.col("x.random"), "live").otherwise("weak")
+    status = F.when((F.col("owners") > example_owners) | (F.col("repositories") > example_repositories), "example").when(F.col("x.random"), "live").otherwise("weak")
     spans = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("x.start").alias("start"), order.alias("at"), F.col("x.kind").alias("kind"), F.col("x.end").alias("end"), "owners", status.alias("status")))).alias("spans"))
     with_any = scanned.where(F.size("found") > 0).select("row", "doc_id", "owner").join(spans, "row").select("doc_id", "owner", "spans")
     kind = with_any.schema["spans"].dataType.simpleString()
