@@ -5,7 +5,8 @@ time a row and share of rejected rows are estimated; rules then run in the order
 per time, and the first that rejects ends a row's cascade. The order changes the work only: a row
 is kept if no rule rejects it.
 
-The sample is ``SAMPLE`` rows at most, drawn by a hash of the text, so any layout of the table gives the same rows.
+The sample is about ``SAMPLE`` rows: those whose hash of id and text is below a threshold from the number of rows. Any layout of the
+table gives the same rows, and each is measured in the task that reads it.
 
 Defined results: a null or empty text has no words and fails the base rule; repeated rows get the
 same verdict; ties in rejection per cost go by name; with an empty sample rules run by name;
@@ -109,14 +110,17 @@ RULES: dict[str, Callable[[Text, Counts], bool]] = {
 }
 
 
-def order_of(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, rules: dict | None = None) -> tuple[list[str], dict]:
+def order_of(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, rules: dict | None = None, id_col: str = "doc_id") -> tuple[list[str], dict]:
     """Rule names by rejections per time, and (share rejected, seconds a row) of each, from a sample of rows."""
     rules = RULES if rules is None else rules
-    text = as_text(F.col(text_col))
-    rows = docs.select(text.alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample)
+    share = sample / max(docs.count(), 1)
+    drawn = F.pmod(F.xxhash64(*[c for c in (id_col, text_col) if c in docs.columns]), F.lit(1 << 40)) < int(share * (1 << 40))
+    rows = docs.where(drawn).select(as_text(F.col(text_col)).alias("text"))
 
     def run(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             texts = [Text(t) for t in batch.column(0).to_pylist()]
             counts = [measure(x) for x in texts]
             out = []
@@ -134,7 +138,7 @@ def order_of(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, rule
 
 def judge(docs: DataFrame, order: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the counts, base_failed, kept and rejected_by (the rule that ended the cascade, "base" or null) of every row."""
-    order = order_of(docs, text_col)[0] if order is None else order
+    order = order_of(docs, text_col, id_col=id_col)[0] if order is None else order
     source = id_and_text(docs, id_col, text_col)
     names = ["doc_id", *Counts._fields, "base_failed", "kept", "rejected_by"]
     types = [*[pa.int64()] * len(Counts._fields), pa.bool_(), pa.bool_(), pa.string()]
