@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliate import fixtures as fx
 from foliate.fixtures import BLK, COUNTS, REPLY, ROUNDS, table
 from foliate.functions import ids, text
-from foliate.operators import blocks, control, graph, retrieve
+from foliate.operators import batch, blocks, control, graph, retrieve
 from foliate.plans import markdown, matrix
 from foliate.sources import files
 from foliate.streaming import status
@@ -72,18 +72,26 @@ def context_truncate(spark, d):
     return table(spark, d, "documents").select("doc_id", text.truncate_context(F.col("text"), 500).alias("context"))
 
 
-@query(f"""WITH {BLK} SELECT doc_id, block_idx, md5(CASE type
+_CHUNK = """CASE type
     WHEN 'image' THEN chr(10) || 'Image Content Analysis:' || chr(10) || 'Image Path: ' || doc_id || '.png' || chr(10) || 'Captions: ' || CASE WHEN block_idx % 2 = 0 THEN 'c' || block_idx ELSE 'None' END || chr(10) || 'Footnotes: None' || chr(10) || chr(10) || 'Visual Analysis: ' || left(text, 100)
     WHEN 'table' THEN 'Table Analysis:' || chr(10) || 'Image Path: ' || doc_id || '.png' || chr(10) || 'Caption: ' || CASE WHEN block_idx % 2 = 0 THEN 'c' || block_idx ELSE 'None' END || chr(10) || 'Structure: ' || text || chr(10) || 'Footnotes: None' || chr(10) || chr(10) || 'Analysis: ' || left(text, 100)
     WHEN 'equation' THEN 'Mathematical Equation Analysis:' || chr(10) || 'Equation: ' || text || chr(10) || 'Format: latex' || chr(10) || chr(10) || 'Mathematical Analysis: ' || left(text, 100)
-    ELSE 'Custom_Type Content Analysis:' || chr(10) || 'Content: ' || text || chr(10) || chr(10) || 'Analysis: ' || left(text, 100) END) AS chunk FROM blk WHERE type <> 'text'""")
+    ELSE 'Custom_Type Content Analysis:' || chr(10) || 'Content: ' || text || chr(10) || chr(10) || 'Analysis: ' || left(text, 100) END"""
+
+
+@query(f"WITH {BLK} SELECT doc_id, block_idx, md5({_CHUNK}) AS chunk FROM blk WHERE type <> 'text'")
 def chunk_templates(spark, d):
-    b = fx.blocks(spark, d).where("type <> 'text'")
-    caption = F.when(F.col("block_idx") % 2 == 0, F.concat(F.lit("c"), F.col("block_idx").cast("string")))
-    chunk = blocks.chunk_text(F.col("type"), F.col("text"), F.concat(F.col("doc_id").cast("string"), F.lit(".png")), caption, F.lit(None).cast("string"), F.lit("latex"), F.substring("text", 1, 100))
+    b = _captioned(spark, d).where("type <> 'text'")
+    chunk = blocks.chunk_text(*map(F.col, ("type", "text", "path", "caption", "footnote", "format", "description")))
     return b.select("doc_id", "block_idx", ids.digest(chunk).alias("chunk"))
 
 
+def _captioned(spark, d):
+    """Blocks with a path, captions on even ones, and their first characters as the description."""
+    caption = F.when(F.col("block_idx") % 2 == 0, F.concat(F.lit("c"), F.col("block_idx").cast("string")))
+    return fx.blocks(spark, d).withColumns({"path": F.concat(F.col("doc_id").cast("string"), F.lit(".png")), "caption": caption, "footnote": F.lit(None).cast("string"), "format": F.lit("latex"), "description": F.substring("text", 1, 100)})
+
+
 @query(f"""WITH {BLK} SELECT doc_id, block_idx, CASE type WHEN 'text' THEN CASE WHEN block_idx % 3 > 0 THEN repeat('#', (block_idx % 3)::INT) || ' ' || text ELSE text END
     WHEN 'image' THEN '[Image: ' || left(text, 20) || ']' WHEN 'table' THEN '[Table: ' || left(text, 20) || ']' ELSE '' END AS item FROM blk WHERE text <> ''""")
 def item_to_text(spark, d):
@@ -555,6 +563,134 @@ def graph_neighbours(spark, d):
     return retrieve.neighbours(nodes, edges).groupBy(F.col("query_id").alias("node")).agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("tgt").alias("n_neighbours"))
 
 
+# Chains, assembled records and lists
+
+
+_NAMES = "list_distinct(list_transform(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: regexp_matches(w, '^[A-Z][a-z]{{3,}}[.,;:!?]*$')), lambda w: regexp_replace(w, '[.,;:!?]+$', '')))"
+_FOUND = f"e AS (SELECT doc_id, unnest({_NAMES.format('text')}) AS entity FROM documents)"
+
+
+@query(f"""WITH {_FOUND}, o AS (SELECT DISTINCT doc_id, 'Doc ' || doc_id AS modal_entity FROM labels)
+    SELECT doc_id, entity, modal_entity, 'rel-' || md5(entity || modal_entity) AS rel_id FROM e LEFT JOIN o USING (doc_id)""")
+def chunk_result_owner(spark, d):
+    owners = table(spark, d, "labels").select("doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("modal_entity"), F.lit(0).alias("ord"))
+    found = graph.with_owner(graph.capitalised(table(spark, d, "documents")), owners, ["doc_id"])
+    return found.withColumn("rel_id", ids.relation_id(F.col("entity"), F.col("modal_entity")))
+
+
+@query(f"""WITH {_FOUND}, u AS (SELECT * FROM e UNION SELECT doc_id, 'Label ' || quality FROM labels UNION SELECT doc_id, 'Known' FROM labels)
+    SELECT doc_id, string_agg(entity, ',' ORDER BY entity) AS entity_names, count(*) AS n FROM u GROUP BY doc_id""")
+def entity_names_union(spark, d):
+    names = F.array(F.concat(F.lit("Label "), F.col("quality").cast("string")), F.lit("Known"))
+    stored = table(spark, d, "labels").select("doc_id", F.explode(names).alias("entity"))
+    return graph.with_stored(graph.capitalised(table(spark, d, "documents")), stored)
+
+
+@query("SELECT c_custkey, n_name AS model, r_name AS provider FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def agent_settings(spark, d):
+    models = table(spark, d, "region").select(F.col("r_regionkey").alias("model_id"), F.col("r_name").alias("provider"))
+    agents = table(spark, d, "nation").select(F.col("n_nationkey").alias("agent_id"), F.col("n_name").alias("model"), F.col("n_regionkey").alias("model_id"))
+    customers = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("agent_id"))
+    return control.settings_of(control.settings_of(customers, agents, "agent_id"), models, "model_id").select("c_custkey", "model", "provider")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'none' END AS brand, p_size::VARCHAR AS size, 'none' AS absent, NULL::VARCHAR AS nothing FROM part")
+def nested_setting(spark, d):
+    part = table(spark, d, "part")
+    limits = F.concat(F.lit('"limits": {"size": '), F.col("p_size").cast("string"), F.lit("}"))
+    brand = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('"brand": "'), "p_brand", F.lit('", '))).otherwise(F.lit(""))
+    settings = part.select("p_partkey", F.concat(F.lit('{"model": {'), brand, limits, F.lit("}}")).alias("s"))
+    get = lambda path, default=None: text.config_value(F.col("s"), path, default)
+    return settings.select("p_partkey", get("model.brand", "none").alias("brand"), get("model.limits.size").alias("size"), get("model.limits.size.unit", "none").alias("absent"), get("other").alias("nothing"))
+
+
+@query(f"WITH {_TASKS}, e AS (SELECT unit, task_id, unnest(CASE WHEN start_condition = '' AND end_condition = '' AND location = '' THEN ['GENERAL'] ELSE list_filter(list_distinct([start_condition, end_condition, CASE WHEN location <> '' THEN 'at_' || location ELSE '' END]), lambda x: x <> '') END) AS event FROM tasks) SELECT unit AS entity, event, task_id FROM e")
+def event_matrix_tasks(spark, d):
+    return matrix.event_tasks(_tasks(spark, d))
+
+
+@query(_CELLS + f""", c1 AS (SELECT plan_id, n_nationkey, phase_id, string_agg(action, '; ' ORDER BY k) AS a FROM c GROUP BY ALL), n AS (SELECT DISTINCT r_regionkey::BIGINT AS plan_id, r_name, n_nationkey, n_name FROM counts),
+    u AS (SELECT plan_id, any_value(r_name) AS name, string_agg('N_' || n_nationkey, ',' ORDER BY n_nationkey) AS units, string_agg('E' || n_nationkey, ',' ORDER BY n_nationkey) AS effects, string_agg('D' || n_nationkey || ':3', ',' ORDER BY n_nationkey) AS decisions, string_agg('delay in ' || n_name, ',' ORDER BY n_nationkey) AS risks FROM n GROUP BY plan_id),
+    h AS (SELECT plan_id, string_agg(p, ',' ORDER BY p) AS phases FROM (SELECT DISTINCT r_regionkey::BIGINT AS plan_id, o_orderpriority AS p FROM counts) GROUP BY plan_id),
+    m AS (SELECT plan_id, string_agg('N_' || n_nationkey || '/' || phase_id || '=' || a, chr(10) ORDER BY n_nationkey, phase_id) AS cells FROM c1 GROUP BY plan_id)
+    SELECT plan_id, name, 'Orders of ' || name AS overview, units, phases, cells, effects, decisions, risks FROM u JOIN h USING (plan_id) JOIN m USING (plan_id)""")
+def plan_record(spark, d):
+    joined = lambda name, f, sep=",": F.array_join(F.transform(name, f), sep).alias(name)
+    return markdown.assemble(fx.plans(spark, d)).select(
+        "plan_id", "name", "overview", joined("units", lambda u: u["unit_id"]), joined("phases", lambda p: p["name"]),
+        joined("cells", lambda c: F.concat(c["unit_id"], F.lit("/"), c["phase_id"], F.lit("="), F.array_join(c["actions"], "; ")), "\n"),
+        joined("effects", lambda e: e["effect_id"]), joined("decisions", lambda x: F.concat(x["dp_id"], F.lit(":"), F.size(x["options"]).cast("string"))), joined("risks", lambda r: r["description"]),
+    )
+
+
+@query(f"""WITH {BLK}, i AS (SELECT doc_id, md5(string_agg(type || ':' || text, chr(10) ORDER BY block_idx)) AS content, string_agg(chr(10) || 'Related ' || type || ' content: ' || text, chr(10) ORDER BY block_idx) AS body FROM blk WHERE type <> 'text' AND doc_id % 4 <> 0 GROUP BY doc_id),
+    q AS (SELECT d.doc_id, 'what is in ' || lang AS query, body, CASE WHEN content IS NOT NULL THEN 'multimodal_query:' || md5('content=' || content || chr(10) || 'mode=mix' || chr(10) || 'query=what is in ' || lang) END AS key FROM documents d LEFT JOIN i USING (doc_id)), c AS (SELECT DISTINCT key FROM q WHERE doc_id % 3 = 0 AND key IS NOT NULL)
+    SELECT doc_id, q.key AS key, c.key IS NOT NULL AS hit, CASE WHEN c.key IS NOT NULL THEN 'stored' WHEN q.key IS NULL THEN md5(query) ELSE md5('User query: ' || query || chr(10) || body || '{retrieve.SUFFIX}') END AS answer FROM q LEFT JOIN c ON q.key = c.key""")
+def multimodal_query_chain(spark, d):
+    queries = table(spark, d, "documents").select("doc_id", F.concat(F.lit("what is in "), "lang").alias("query"), F.lit("mix").alias("mode"))
+    items = fx.blocks(spark, d).where("type <> 'text' AND doc_id % 4 <> 0").withColumn("description", F.col("text"))
+    keyed = retrieve.keyed_queries(queries, items)
+    cache = keyed.where("doc_id % 3 = 0 AND key IS NOT NULL").select("key", F.lit("stored").alias("answer"))
+    return retrieve.answered(keyed, cache, lambda rows: rows.withColumn("answer", ids.digest(F.col("text"))))[0]
+
+
+@query(f"""WITH {BLK}, c AS (SELECT doc_id, block_idx, {_CHUNK} AS chunk FROM blk WHERE type <> 'text'), e AS (SELECT doc_id, sum(len({_NAMES.format('chunk')}))::BIGINT AS n_edges FROM (SELECT DISTINCT doc_id, chunk FROM c) GROUP BY doc_id)
+    SELECT c.doc_id, md5('first,' || string_agg('chunk-' || md5(chunk), ',' ORDER BY block_idx)) AS chunks, count(*) + 1 AS n_chunks, 1::BIGINT AS first_index, count(*) AS n_nodes, n_edges FROM c JOIN e USING (doc_id) GROUP BY c.doc_id, n_edges""")
+def multimodal_batch(spark, d):
+    status = table(spark, d, "documents").select("doc_id", F.array(F.lit("first")).alias("chunks"), F.lit(1).cast("long").alias("n_chunks"))
+    extract = lambda c: graph.capitalised(c.select(F.struct("doc_id", "chunk_id").alias("doc_id"), "text")).select("doc_id.*", "entity")
+    name = F.concat_ws(" ", "type", "doc_id", "block_idx")
+    out = batch.process(_captioned(spark, d), status, lambda rows: rows, extract, name)
+    chunks = out["chunks"].groupBy("doc_id").agg(F.min("ord").alias("first_index"))
+    nodes = out["nodes"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+    edges = out["edges"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    found = chunks.join(nodes, "doc_id").join(edges, "doc_id", "left").fillna(0, ["n_edges"])
+    return found.join(out["status"], "doc_id").withColumn("chunks", ids.digest(F.array_join("chunks", ",")))
+
+
+@query(f"""WITH {BLK} SELECT doc_id, list_transform(list_sort(list({{'b': block_idx, 'c': 'chunk-' || md5(text)}}) FILTER (type = 'text')), lambda x: x.c) IS NOT NULL AS has_text, md5(concat_ws(',', string_agg('chunk-' || md5(text), ',' ORDER BY block_idx) FILTER (type = 'text'), string_agg('chunk-' || md5(text), ',' ORDER BY block_idx) FILTER (type <> 'text'))) AS chunks, count(*) AS n_chunks FROM blk GROUP BY doc_id""")
+def doc_status_chunks(spark, d):
+    b = fx.blocks(spark, d).withColumns({"chunk_id": ids.prefixed("chunk-", F.col("text")), "ord": F.col("block_idx")})
+    none = b.select("doc_id").distinct().select("doc_id", F.array().cast("array<string>").alias("chunks"), F.lit(0).cast("long").alias("n_chunks"))
+    texts = control.append_chunks(none, b.where("type = 'text'"))
+    out = control.append_chunks(texts, b.where("type <> 'text'"))
+    has = texts.select("doc_id", (F.size("chunks") > 0).alias("has_text"))
+    return out.join(has, "doc_id").select("doc_id", "has_text", ids.digest(F.array_join("chunks", ",")).alias("chunks"), "n_chunks")
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed, round(100.0 * count(*) FILTER (event_type <> 'error') / count(*), 6)::DOUBLE AS success_rate,
+    count(*) FILTER (event_type <> 'error' AND event_id % 5 > 0) AS inserted, count(*) FILTER (event_type <> 'error' AND event_id % 5 = 0) AS insert_failed FROM events""")
+def parse_then_insert(spark, d):
+    return control.parse_then_insert(table(spark, d, "events"), F.col("event_type") != "error", F.col("event_id") % 5 > 0)
+
+
+@query(f"""WITH {BLK} SELECT doc_id, block_idx, CASE WHEN block_idx % 2 = 0 THEN 'own' ELSE text END AS item FROM blk WHERE type <> 'text'""")
+def wrapped_item(spark, d):
+    b = fx.blocks(spark, d).where("type <> 'text'")
+    wrapped = text.wrapped_item(F.when(F.col("block_idx") % 2 == 0, F.lit(' {"item": "own"}')).otherwise(F.col("text")), F.col("type"))
+    value = F.coalesce(*[F.get_json_object("w", f"$.{key}") for key in ("item", *text.WRAPPERS.values(), text.WRAPPER)])
+    return b.select("doc_id", "block_idx", wrapped.alias("w")).select("doc_id", "block_idx", value.alias("item"))
+
+
+@query(f"WITH {BLK} SELECT doc_id, block_idx, CASE WHEN block_idx % 2 = 0 THEN 'seen ' || type ELSE type || ' content: ' || left(text, 100) END AS description FROM blk WHERE type <> 'text'")
+def query_item_description(spark, d):
+    described = F.when(F.col("block_idx") % 2 == 0, F.concat(F.lit("seen "), "type"))
+    return fx.blocks(spark, d).where("type <> 'text'").select("doc_id", "block_idx", text.query_description(F.col("type"), F.col("text"), described).alias("description"))
+
+
+@query("""SELECT page_id, md5('file_path=' || url || chr(10) || CASE WHEN page_id % 2 = 0 THEN 'lang=en' || chr(10) ELSE '' END || 'mtime=' || page_id || chr(10) || 'parse_method=auto' || chr(10) || 'parser=own' || CASE WHEN page_id % 2 = 1 THEN chr(10) || 'start_page=' || (page_id % 9) ELSE '' END) AS key FROM pages""")
+def parse_cache_key(spark, d):
+    even = F.create_map(F.lit("lang"), F.lit("en"), F.lit("colour"), F.lit("red"))
+    odd = F.create_map(F.lit("start_page"), (F.col("page_id") % 9).cast("string"), F.lit("workers"), F.lit("4"))
+    key = ids.parse_key(F.col("url"), F.col("page_id"), F.lit("own"), F.lit("auto"), F.when(F.col("page_id") % 2 == 0, even).otherwise(odd))
+    return table(spark, d, "pages").select("page_id", key.alias("key"))
+
+
+@query(f"WITH {BLK}, p AS (SELECT DISTINCT CASE WHEN type IN ('image', 'equation') THEN type ELSE 'generic' END AS processor FROM blk WHERE type <> 'table'), f(processor, feature) AS (VALUES {', '.join(f'({k!r}, {x!r})' for k, v in blocks.SUPPORTS.items() for x in v)}) SELECT processor, feature FROM p JOIN f USING (processor)")
+def processor_features(spark, d):
+    return blocks.features(fx.blocks(spark, d).select(blocks.processor_of(F.col("type"), ("table",)).alias("processor")))
+
+
 # Streaming, with the batch result in SQL
 
 

@@ -56,3 +56,13 @@ def suffix(path: Column) -> Column:
 def output_name(path: Column) -> Column:
     """Stem and the start of the path's digest: one folder a file, whatever its name."""
     return F.concat(stem(path), F.lit("_"), F.substring(digest(path), 1, 8))
+
+
+#: The options that the cache key of a parse depends on.
+PARSE_OPTIONS = ("lang", "device", "start_page", "end_page", "formula", "table", "backend", "source")
+
+
+def parse_key(path: Column, mtime: Column, parser: Column, method: Column, options: Column) -> Column:
+    """Cache key of a parsed file: path, time, parser, method and those options (a map) that change what it gives."""
+    kept = {name: F.try_element_at(options, F.lit(name)) for name in PARSE_OPTIONS}
+    return cache_key({"file_path": path, "mtime": mtime, "parser": parser, "parse_method": method, **kept})

@@ -120,5 +120,11 @@ def processor_of(type_: Column, disabled: tuple[str, ...] = ()) -> Column:
     return F.when(type_.isin(*disabled), None).otherwise(F.coalesce(F.try_element_at(own, type_), F.lit("generic")))
 
 
+def features(processors: DataFrame) -> DataFrame:
+    """processor, feature: what each distinct processor supports; null ones are disabled and support nothing."""
+    known = F.create_map(*[y for k, v in SUPPORTS.items() for y in (F.lit(k), F.array(*map(F.lit, v)))])
+    return processors.select("processor").where("processor IS NOT NULL").distinct().select("processor", F.explode(F.try_element_at(known, F.col("processor"))).alias("feature"))
+
+
 def short_digest(x: Column) -> Column:
     return F.substring(digest(x), 1, 8)

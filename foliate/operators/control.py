@@ -35,8 +35,35 @@ def fully_processed(status: Column, multimodal: Column) -> Column:
 
 def batch_summary(files: DataFrame, ok: Column) -> DataFrame:
     """Totals, failures and the rate of success (0 without files)."""
+    return files.agg(*_summary(ok))
+
+
+def _summary(ok: Column) -> list[Column]:
     n, good = F.count(F.lit(1)), F.count_if(ok)
-    return files.agg(n.alias("total"), good.alias("succeeded"), (n - good).alias("failed"), F.round(F.coalesce(F.try_divide(good * F.lit(100.0), n), F.lit(0.0)), 6).alias("success_rate"))
+    return [n.alias("total"), good.alias("succeeded"), (n - good).alias("failed"), F.round(F.coalesce(F.try_divide(good * F.lit(100.0), n), F.lit(0.0)), 6).alias("success_rate")]
+
+
+def parse_then_insert(files: DataFrame, parsed: Column, inserted: Column) -> DataFrame:
+    """The summary of a batch's parsing, and how many of the parsed files then went in or failed; others are not tried."""
+    good = F.coalesce(parsed, F.lit(False))
+    went = F.coalesce(inserted, F.lit(False))
+    return files.agg(*_summary(parsed), F.count_if(good & went).alias("inserted"), F.count_if(good & ~went).alias("insert_failed"))
+
+
+def append_chunks(status: DataFrame, added: DataFrame) -> DataFrame:
+    """doc_id, chunks, n_chunks: a document's chunk ids with the added ones (chunk_id, ord) behind them; repeats stay."""
+    more = added.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "chunk_id"))).alias("_more"))
+    ids = F.transform(F.coalesce("_more", F.array().cast("array<struct<ord:bigint,chunk_id:string>>")), lambda x: x["chunk_id"])
+    return status.join(more, "doc_id", "left").select("doc_id", F.concat("chunks", ids).alias("chunks"), (F.col("n_chunks") + F.size(ids)).alias("n_chunks"))
+
+
+def settings_of(rows: DataFrame, settings: DataFrame, key: str) -> DataFrame:
+    """Rows with the settings (columns besides ``key``) of their key; a row whose key has none, or is null, fails the job."""
+    named = [c for c in settings.columns if c != key]
+    joined = rows.join(settings.select(F.col(key).alias("_key"), F.struct(*named).alias("_s")), F.col(key) == F.col("_key"), "left")
+    missing = F.raise_error(F.concat(F.lit("no settings for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    checked = joined.withColumn("_s", F.when(F.col("_key").isNotNull(), F.col("_s")).otherwise(missing))
+    return checked.select(*rows.columns, *[F.col("_s")[c].alias(c) for c in named])
 
 
 def unfinished(submitted: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -51,3 +51,17 @@ def entity_names(entities: DataFrame) -> DataFrame:
     """doc_id, entity_names in order, count: a document's own set."""
     names = F.array_sort(F.collect_set("entity"))
     return entities.groupBy("doc_id").agg(F.array_join(names, ",").alias("entity_names"), F.countDistinct("entity").alias("n"))
+
+
+def with_owner(found: DataFrame, owners: DataFrame, keys: list[str], owner: str = "modal_entity") -> DataFrame:
+    """What was extracted from chunks, with the entity of the block that a chunk came from (null for other chunks).
+
+    Of several owners of one key the last by ``ord`` wins; rows of ``found`` are neither lost nor multiplied.
+    """
+    last = owners.groupBy(*keys).agg(F.max_by(owner, "ord").alias(owner))
+    return found.join(last, keys, "left")
+
+
+def with_stored(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """doc_id, entity_names, n: the stored names of each document together with those that were found."""
+    return entity_names(stored.select("doc_id", "entity").unionByName(found.select("doc_id", "entity")))

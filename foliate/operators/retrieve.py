@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,6 +80,33 @@ def multimodal_query(items: DataFrame, query: Column, suffix: str = SUFFIX) -> D
     return items.groupBy("doc_id").agg(F.concat(F.lit("User query: "), F.first(query), F.lit("\n"), joined, F.lit(suffix)).alias("query"))
 
 
+def keyed_queries(queries: DataFrame, items: DataFrame, suffix: str = SUFFIX) -> DataFrame:
+    """doc_id, key, text of multimodal queries (doc_id, query, mode) with their items (doc_id, block_idx, type, description).
+
+    The key covers the trimmed query, the mode and the items in order. A query without items is asked as it is and has no key.
+    """
+    in_order = F.array_sort(F.collect_list(F.struct("block_idx", "type", "description")))
+    content = digest(F.array_join(F.transform("_items", lambda x: F.concat(x["type"], F.lit(":"), x["description"])), "\n"))
+    related = F.array_join(F.transform("_items", lambda x: F.concat(F.lit("\nRelated "), x["type"], F.lit(" content: "), x["description"])), "\n")
+    asked = queries.join(items.groupBy("doc_id").agg(in_order.alias("_items")), "doc_id", "left")
+    key = F.when(F.col("_items").isNotNull(), cache_key({"query": F.btrim("query"), "mode": F.col("mode"), "content": content}, "multimodal_query:"))
+    text = F.when(F.col("_items").isNotNull(), F.concat(F.lit("User query: "), F.col("query"), F.lit("\n"), related, F.lit(suffix))).otherwise(F.col("query"))
+    return asked.select("doc_id", key.alias("key"), text.alias("text"))
+
+
+def answered(keyed: DataFrame, cache: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key, hit, answer of keyed queries; and the cache (key, answer) with the new answers.
+
+    ``answer`` is the model's slot: it gets the rows that the cache has no answer for, and adds a column answer. Empty
+    stored answers are no hits; of several answers for one key the least is stored.
+    """
+    stored = cache.where(F.coalesce("answer", F.lit("")) != "").groupBy("key").agg(F.min("answer").alias("answer"))
+    hits = keyed.join(stored, "key").select("doc_id", "key", F.lit(True).alias("hit"), "answer")
+    missed = answer(keyed.join(stored, "key", "left_anti")).select("doc_id", "key", F.lit(False).alias("hit"), "answer")
+    new = missed.where("key IS NOT NULL").groupBy("key").agg(F.min("answer").alias("answer"))
+    return hits.unionByName(missed), stored.unionByName(new)
+
+
 def query_key(query: Column, mode: Column, path: Column, table: Column) -> Column:
     """Cache key of a multimodal query: trimmed query, mode, base name of paths, digest of long tables."""
     short = F.when(F.length(table) > 200, F.concat(F.lit("hash:"), digest(table))).otherwise(table)

@@ -103,10 +103,11 @@ def _holder(key: str):
 
 
 def records(bodies: DataFrame, columns: dict[str, tuple[str, ...]]) -> DataFrame:
-    """plan_id, row_idx and a column for each name, found by the first header that equals or holds one of its keywords; placeholders are null."""
+    """plan_id, row_idx and a column for each name, found by the first header that equals or holds one of its keywords; of repeated headers the last counts; placeholders are null."""
     rows = table_rows(bodies)
     header = rows.where("row_idx = 0").select("plan_id", F.col("cells").alias("header"))
-    data = rows.where("row_idx > 0").join(header, "plan_id")
+    last = F.transform("header", lambda h: F.coalesce(F.get("cells", (F.size("header") - F.array_position(F.reverse("header"), h)).cast("int")), F.lit("")))
+    data = rows.where("row_idx > 0").join(header, "plan_id").withColumn("cells", last)
 
     def value(keys: tuple[str, ...]) -> Column:
         tries = []
@@ -132,3 +133,33 @@ def decisions(parts: DataFrame) -> DataFrame:
 def risks(parts: DataFrame) -> DataFrame:
     found = records(find_section(parts, *SECTIONS["risks"]), {"category": ("类别", "category"), "description": ("描述", "description"), "mitigation": ("缓解", "mitigation")})
     return found.where("description IS NOT NULL").select("plan_id", "row_idx", F.coalesce("category", F.lit("GENERAL")).alias("category"), "description", F.coalesce("mitigation", F.lit("")).alias("mitigation"))
+
+
+def rejected(plans: DataFrame) -> DataFrame:
+    """Plans that are null or too short to be one."""
+    return plans.where(~F.coalesce(accepted(F.col("md")), F.lit(False)))
+
+
+def _listed(child: DataFrame, name: str, order: str) -> DataFrame:
+    fields = [c for c in child.columns if c not in ("plan_id", order)]
+    return child.groupBy("plan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, *fields))), lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name))
+
+
+def assemble(plans: DataFrame) -> DataFrame:
+    """A row for each accepted plan: plan_id, name, overview and its units, phases, cells, effects, decisions and risks in order.
+
+    A part that a plan lacks is empty. Rejected plans have no row (see ``rejected``).
+    """
+    plans = plans.where(accepted(F.col("md")))
+    parts = sections(plans)
+    rows = table_rows(find_section(parts, *SECTIONS["matrix"]))
+    grid = cells(rows).select("plan_id", F.struct("unit_ord", "phase_ord").alias("ord"), "unit_id", "phase_id", "actions")
+    children = {
+        "units": (units(rows).drop("row_idx"), "ord"), "phases": (phases(rows), "ord"), "cells": (grid, "ord"),
+        "effects": (effects(parts), "row_idx"), "decisions": (decisions(parts), "row_idx"), "risks": (risks(parts), "row_idx"),
+    }
+    out = titles(plans).join(find_section(parts, *SECTIONS["overview"]).withColumnRenamed("body", "overview"), "plan_id", "left").withColumn("overview", F.coalesce("overview", F.lit("")))
+    for name, (child, order) in children.items():
+        listed = _listed(child, name, order)
+        out = out.join(listed, "plan_id", "left").withColumn(name, F.coalesce(name, F.array().cast(listed.schema[name].dataType)))
+    return out

@@ -45,13 +45,21 @@ def risk_summary(risks: DataFrame) -> DataFrame:
     return counts.withColumn("total", F.sum("n").over(Window.partitionBy("plan_id")))
 
 
-def event_matrix(tasks: DataFrame) -> DataFrame:
-    """entity, event, tasks: the tasks of a unit at each of its events (start, end, place), GENERAL for tasks without any."""
+def event_tasks(tasks: DataFrame) -> DataFrame:
+    """entity, event, task_id: the tasks of a unit at each of its events (start, end, place), GENERAL for tasks without any.
+
+    A row a task: the list of one unit and event may be as long as the table, so it is never gathered into one row.
+    """
     given = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
     place = F.when(given("location").isNotNull(), F.concat(F.lit("at_"), F.col("location")))
     events = F.array_distinct(F.filter(F.array(given("start_condition"), given("end_condition"), place), lambda x: x.isNotNull()))
     each = tasks.withColumn("event", F.explode(F.when(F.size(events) > 0, events).otherwise(F.array(F.lit("GENERAL")))))
-    return each.groupBy(F.col("unit").alias("entity"), "event").agg(F.count(F.lit(1)).alias("n_tasks"), F.min("task_id").alias("first_task"), F.max("task_id").alias("last_task"))
+    return each.select(F.col("unit").alias("entity"), "event", "task_id")
+
+
+def event_matrix(tasks: DataFrame) -> DataFrame:
+    """entity, event and the number, first and last of the tasks there."""
+    return event_tasks(tasks).groupBy("entity", "event").agg(F.count(F.lit(1)).alias("n_tasks"), F.min("task_id").alias("first_task"), F.max("task_id").alias("last_task"))
 
 
 def entities_and_events(tasks: DataFrame) -> DataFrame:
