@@ -55,6 +55,16 @@ def split_join(rows: DataFrame, each: DataFrame, key: list[str], by: str, how: s
     return dealt.join(repeated, [*key, "_part"], how).drop("_part")
 
 
+#: So many rows of a few longs may be broadcast.
+FEW = 1_000_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` (columns of fixed width only), written once and counted; to be broadcast in a join if they are ``FEW`` at most."""
+    rows = durable(rows)
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def as_text(column: Column) -> Column:
     """A text column with null as the empty string."""
     return F.coalesce(column.cast("string"), F.lit(""))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliate.llm.common import as_text, durable, id_and_text, split_join, table
+from foliate.llm.common import as_text, durable, few, id_and_text, split_join, table
 from foliate.llm.components import components
 from foliate.llm.similar import keys, shingle_set, similar_links
 
@@ -92,35 +92,51 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return _word(sum((_counts(h) for h in stretches), np.zeros(BITS, np.int64)), n)
 
 
+def _lists(values: list) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
+
+
+def _all_hashes(text: str, shingle: int) -> np.ndarray:
+    return np.concatenate(list(_hashes(text, shingle)[1]))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for every row; and, if asked for, a hash of the text, and node, keys and shingles of its set."""
+    """doc_id, fp (the fingerprint as a signed long) for every row; and, if asked for, a hash of the text, and node and keys of its shingle set."""
     source = id_and_text(docs, id_col, text_col)
     if similar:
         source = source.withColumn("hash", F.xxhash64("text"))
 
-    def lists(values):
-        ends = np.cumsum([0, *map(len, values)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
-
-    def sets_of(batch):
-        hashes = [np.concatenate(list(_hashes(t, shingle)[1])) for t in batch.column(1).to_pylist()]
+    def with_keys(batch):
+        hashes = [_all_hashes(t, shingle) for t in batch.column(1).to_pylist()]
         values = np.array([_word(_counts(h), len(h)) for h in hashes], np.uint64).view(np.int64)
-        sets = [shingle_set(h) for h in hashes]
-        nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-        columns = [batch.column(0), pa.array(values), batch.column(2), pa.array(nodes), lists([keys(h) for h in hashes]), lists(sets)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "hash", "node", "keys", "shingles"])
+        nodes = np.array([xxhash.xxh64_intdigest(shingle_set(h).tobytes(), SEED) for h in hashes], np.uint64).view(np.int64)
+        columns = [batch.column(0), pa.array(values), batch.column(2), pa.array(nodes), _lists([keys(h) for h in hashes])]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "hash", "node", "keys"])
 
     def run(batches):
         for batch in batches:
             if similar:
                 for at in range(0, batch.num_rows, 1000):
-                    yield sets_of(batch.slice(at, 1000))
+                    yield with_keys(batch.slice(at, 1000))
             else:
                 values = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
 
     id_type = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {id_type}, fp long" + ", hash long, node long, keys array<long>, shingles array<int>" * similar)
+    return source.mapInArrow(run, f"doc_id {id_type}, fp long" + ", hash long, node long, keys array<long>" * similar)
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, shingles (see ``similar``) of the rows (node, text), one row a node."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingle_set(_all_hashes(t, shingle)) for t in part.column(1).to_pylist()])], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<int>").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -177,10 +193,16 @@ def _named(distinct: DataFrame, node: str, groups: DataFrame) -> DataFrame:
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """doc_id, hash (of the text), root, component_id for every row: groups by near fingerprints and by similar shingle sets."""
-    rows = durable(fingerprints(docs, id_col, text_col, shingle, similar=True).withColumn("row", F.monotonically_increasing_id()))
-    sets = durable(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), F.min("row").alias("row")))
-    firsts = rows.join(sets.select("row"), "row", "left_semi")
-    sets_of = lambda some: rows.join(sets.join(some, "node", "left_semi").select("row"), "row", "left_semi").select("node", "shingles")
+    rows = durable(fingerprints(docs, id_col, text_col, shingle, similar=True))
+    # One text of each set, named by hashes of its id and of itself, has its shingles read again if the set is a candidate.
+    one = F.min(F.struct(F.xxhash64("doc_id").alias("id_hash"), "hash")).alias("one")
+    sets = durable(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), one, F.first("keys").alias("keys")))
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        wanted = few(sets.join(some, "node", "left_semi").select("node", "one.id_hash", "one.hash"))
+        texts = id_and_text(docs, id_col, text_col).select(F.xxhash64("doc_id").alias("id_hash"), F.xxhash64("text").alias("hash"), "text")
+        return shingle_sets(texts.join(wanted, ["id_hash", "hash"]), shingle)
+
     # Sets with one fingerprint hang below the least of them, which stands for the fingerprint.
     heads = durable(sets.groupBy("fp").agg(F.min("node").alias("head")))
     pairs = durable(links(heads.select("fp"), bucket))
@@ -188,7 +210,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = split_join(split_join(pairs, head("u"), ["u"], "v"), head("v"), ["v"], "u").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
     same = split_join(sets.select("node", "fp"), heads, ["fp"], "node").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
     known = durable(near.unionByName(same))
-    found = similar_links(firsts.select("node", "keys"), sets_of, known, bucket)
+    found = similar_links(sets.select("node", "keys"), sets_of, known, bucket)
     named = _named(sets.select("node", "least"), "node", components(found.unionByName(known)))
     return split_join(rows.select("doc_id", "hash", "node"), named, ["node"], "doc_id", "left").select("doc_id", "hash", "root", "component_id")
 
@@ -197,10 +219,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """``docs`` with one row of each near-duplicate group, all columns kept; see above for the choice."""
     named = similar_groups(docs, id_col, text_col, shingle, bucket)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "hash")
-    kept = named.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__foliate_id"), F.col("k.hash").alias("__foliate_hash"))
-    hashed = docs.withColumn("__foliate_text", F.xxhash64(as_text(F.col(text_col))))
-    found = hashed.join(kept, F.col(id_col).eqNullSafe(F.col("__foliate_id")) & (F.col("__foliate_text") == F.col("__foliate_hash")), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col, "__foliate_text").orderBy(F.xxhash64(*docs.columns)))
+    kept = named.groupBy("root").agg(F.min(order).alias("k")).select(F.xxhash64("k.doc_id").alias("__foliate_id"), F.col("k.hash").alias("__foliate_text"))
+    # The join and the window have the same keys, so the texts move once.
+    key = ["__foliate_id", "__foliate_text"]
+    hashed = docs.withColumn("__foliate_id", F.xxhash64(id_col)).withColumn("__foliate_text", F.xxhash64(as_text(F.col(text_col))))
+    found = hashed.join(kept, key, "left_semi")
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns)))
     return found.withColumn("__foliate_n", first).where("__foliate_n = 1").select(*docs.columns)
 
 
