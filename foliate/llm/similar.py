@@ -8,7 +8,7 @@ First every bucket links to its least member; then the members of each bucket th
 components are compared with each other. Members of buckets over ``BUCKET`` go to an exact way instead (``crowd_links``),
 which finds each link among them whatever the keys are: two sets that are similar to 0.8 share a
 shingle among the rarest fifth of either, so only texts with a rare shingle in common are compared, again
-first with the least of them, then in blocks if they are still in different components. Nothing is capped.
+first with the least of them, then, in blocks, the members outside a shingle's largest component with all. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -88,13 +88,30 @@ def crowd_links(sets: DataFrame, known: DataFrame, bucket: int = BUCKET) -> Data
     stars = members.groupBy("shingle").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     pairs = split_join(members, stars, ["shingle"], "node").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
     first = durable(verified(pairs, sets))
-    rest = durable(_counted(durable(_rooted(members, first.unionByName(known))), ["shingle"]))
-    # Each member of a bucket goes to the pairs of blocks that hold its own: all pairs meet once, in small lists.
-    blocks = F.ceil(F.col("n") / bucket).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = rest.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("shingle", "node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return first.unionByName(verified(_all_pairs(dealt, ["shingle", "i", "j"]).distinct(), sets))
+    rest = _rooted(members, first.unionByName(known))
+    return first.unionByName(verified(_pairs_across(durable(rest), bucket), sets))
+
+
+def _pairs_across(members: DataFrame, bucket: int) -> DataFrame:
+    """u, v: pairs of members (shingle, node, root) with one shingle in different components, made in blocks of ``bucket`` or so.
+
+    The largest component of a shingle needs no pairs of its own: each member of the others (``minor``) meets all
+    members. Members are dealt to blocks by a hash, and every block of all meets every block of the minor once.
+    """
+    roots = members.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = roots.groupBy("shingle").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("large")).where(F.col("n") > F.col("large.n"))
+    sizes = sizes.select("shingle", F.col("large.root").alias("large"), F.ceil(F.col("n") / bucket).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("large.n")) / bucket).cast("int").alias("minor_blocks"))
+    rest = durable(split_join(members, sizes, ["shingle"], "node").withColumn("minor", F.col("root") != F.col("large")))
+    own = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    member = F.struct("node", "root", "minor")
+    any_ = rest.select("shingle", own("all_blocks").alias("i"), every("minor_blocks").alias("j"), member.alias("a"), F.lit(None).cast(rest.select(member).schema[0].dataType).alias("b"))
+    minor = rest.where("minor").select("shingle", own("minor_blocks").alias("j"), every("all_blocks").alias("i"), member.alias("b"), F.lit(None).cast(rest.select(member).schema[0].dataType).alias("a"))
+    met = any_.unionByName(minor).groupBy("shingle", "i", "j").agg(F.collect_list("a").alias("as"), F.collect_list("b").alias("bs"))
+    # Two minor members meet from either side; one of these is enough.
+    others = F.filter("as", lambda x: (x["root"] != F.col("b.root")) & (~x["minor"] | (x["node"] < F.col("b.node"))))
+    pairs = met.select("as", F.explode("bs").alias("b")).select(F.col("b.node").alias("u"), F.explode(others).alias("a")).select("u", F.col("a.node").alias("v"))
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], known: DataFrame, bucket: int = BUCKET) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from foliate.llm import simhash
 from foliate.llm.components import components
-from foliate.llm.similar import crowd_links
+from foliate.llm.similar import _pairs_across, crowd_links
 from tests.llm.helpers import prose
 from tests.llm.test_dedup import _roots
 
@@ -62,3 +62,14 @@ def test_crowds_lose_no_link(spark):
     for bucket in (4, 32):
         got = {d: d for d in texts} | {r["node"]: r["root"] for r in components(crowd_links(frame, none, bucket)).collect()}
         assert got == want
+
+
+def test_members_outside_the_largest_component_meet_all_others_once(spark):
+    """A shingle with one large component and some others gives each pair across components once, and no others."""
+    draw = random.Random(2)
+    members = [(s, d, 0 if d < 40 else d % 5) for s in (7, 8) for d in range(60) if draw.random() < 0.8] + [(9, d, 3) for d in range(50)]
+    want = {(a, b) for s, a, ra in members for t, b, rb in members if s == t and a < b and ra != rb}
+    frame = spark.createDataFrame(members, "shingle int, node long, root long")
+    for bucket in (1, 4, 100):
+        got = [tuple(r) for r in _pairs_across(frame, bucket).select("u", "v").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
