@@ -12,7 +12,7 @@ from foliate.fixtures import BLK, COUNTS, REPLY, ROUNDS, table
 from foliate.functions import ids, text
 from foliate.operators import batch, blocks, control, graph, retrieve
 from foliate.plans import markdown, matrix
-from foliate.sources import files
+from foliate.sources import files, ocr
 from foliate.streaming import status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -702,3 +702,26 @@ def stream_daily_counts(spark, d):
 @query(f"SELECT user_id, arg_max({_STATE}, (ts, event_id)) AS status, count(*) AS n FROM events GROUP BY user_id")
 def stream_status(spark, d):
     return status.run_latest_status(spark, f"{d}/events.parquet", F.expr(_STATE))
+
+
+_PATH = "concat('/in/', source, '/', doc_id, CASE doc_id % 6 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '.docx' WHEN 3 THEN '.md' WHEN 4 THEN '.zip' ELSE '' END)"
+
+
+@query(f"""SELECT {_PATH} AS path, CASE doc_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'office' ELSE 'text' END AS parser, concat('/out/', source, '/', doc_id) AS folder FROM documents WHERE doc_id % 6 < 4""")
+def batch_dry_run(spark, d):
+    return files.batch_plan(table(spark, d, "documents").select(F.expr(_PATH).alias("path")), "path", "/in", "/out/")
+
+
+@query("""SELECT doc_id, md5(concat_ws('|', lang, CASE WHEN trim(text, ' ' || chr(9) || chr(10)) <> '' THEN trim(text, ' ' || chr(9) || chr(10)) END, source, 'end')) AS lines FROM documents""")
+def ocr_result_lines(spark, d):
+    record = F.struct(F.array(F.col("lang")).alias("rec_texts"), F.col("text"))
+    result = F.concat(F.lit("[["), F.to_json(record), F.lit(',{"page":[[[[0,0],[9,9]],["'), F.col("source"), F.lit('",0.9]],null,["end",1]]}]]'))
+    return table(spark, d, "documents").select("doc_id", ids.digest(F.array_join(ocr.ocr_lines(result), "|")).alias("lines"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'vision' ELSE 'plain' END AS via, CASE WHEN doc_id % 3 = 0 THEN 'text|image|text' ELSE lang END AS answer FROM documents""")
+def vision_query_fallback(spark, d):
+    prompt = F.when(F.col("doc_id") % 3 == 0, F.concat("lang", F.lit("\n[VLM_IMAGE_1]\nwhat is this"))).otherwise(F.col("lang"))
+    prompts = table(spark, d, "documents").select("doc_id", prompt.alias("prompt"))
+    shown = lambda rows: rows.withColumn("answer", F.array_join(F.transform("parts", lambda x: x["type"]), "|"))
+    return retrieve.vision_or_plain(prompts, shown, lambda rows: rows.withColumn("answer", F.col("prompt")))

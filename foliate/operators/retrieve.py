@@ -107,6 +107,16 @@ def answered(keyed: DataFrame, cache: DataFrame, answer: Callable[[DataFrame], D
     return hits.unionByName(missed), stored.unionByName(new)
 
 
+def vision_or_plain(prompts: DataFrame, vision: Callable[[DataFrame], DataFrame], plain: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, via, answer of marked prompts (doc_id, prompt): by the vision slot where an image is marked, else by the plain one.
+
+    Both slots add a column answer; the vision slot also finds the column parts (see ``vlm_parts``). A null prompt is plain.
+    """
+    seen = F.coalesce(F.col("prompt").rlike(r"\[VLM_IMAGE_\d+\]"), F.lit(False))
+    shown = vision(prompts.where(seen).withColumn("parts", vlm_parts(F.col("prompt")))).select("doc_id", F.lit("vision").alias("via"), "answer")
+    return shown.unionByName(plain(prompts.where(~seen)).select("doc_id", F.lit("plain").alias("via"), "answer"))
+
+
 def query_key(query: Column, mode: Column, path: Column, table: Column) -> Column:
     """Cache key of a multimodal query: trimmed query, mode, base name of paths, digest of long tables."""
     short = F.when(F.length(table) > 200, F.concat(F.lit("hash:"), digest(table))).otherwise(table)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from foliate.functions.ids import basename, suffix
 from foliate.schemas import CONTENT_LIST
@@ -34,9 +36,44 @@ def scan_folder(spark: SparkSession, folder: str, recursive: bool = True, conten
     return supported(found if content else found.drop("content"), "path")
 
 
-def decode_text(content: Column) -> Column:
-    """Bytes as text: UTF-8 if valid, else Latin-1, which any bytes are; Spark decodes no GBK."""
-    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
+@F.pandas_udf(StringType())
+def _gbk(content: pd.Series) -> pd.Series:
+    """Spark's own decoders have no GBK."""
+
+    def decode(raw):
+        try:
+            return None if raw is None else bytes(raw).decode("gbk")
+        except UnicodeDecodeError:
+            return None
+
+    return content.map(decode, na_action=None)
+
+
+def batch_plan(paths: DataFrame, col: str, root: str, out: str, recursive: bool = True) -> DataFrame:
+    """path, parser, folder of what a batch would parse, as a dry run: supported files below ``root`` only.
+
+    The folder mirrors the file's place below the root and ends in its name without suffix. Not ``recursive``: files of the root itself.
+    """
+    base = root.rstrip("/") + "/"
+    inner = F.substr(F.col(col), F.lit(len(base) + 1))
+    below = supported(paths, col).where(F.startswith(F.col(col), F.lit(base)))
+    if not recursive:
+        below = below.where(~F.contains(inner, F.lit("/")))
+    return below.select(F.col(col).alias("path"), route(F.col(col)).alias("parser"), F.concat(F.lit(out.rstrip("/") + "/"), F.regexp_replace(inner, r"\.[^./]*$", "")).alias("folder"))
+
+
+def split_results(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The results without an error, and those with one (column error)."""
+    return results.where("error IS NULL").drop("error"), results.where("error IS NOT NULL")
+
+
+def decode_text(content: Column, gbk: bool = False) -> Column:
+    """Bytes as text: UTF-8 if valid, else (with ``gbk``) GBK if valid, else Latin-1, which any bytes are.
+
+    Many Latin-1 texts are valid GBK, so that step is for those who expect it. Only bytes that are no UTF-8 are decoded in Python.
+    """
+    valid, latin = F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1")
+    return F.coalesce(valid, _gbk(F.when(valid.isNull(), content)), latin) if gbk else F.coalesce(valid, latin)
 
 
 def read_content_lists(spark: SparkSession, path: str, base: str = "") -> DataFrame:

@@ -9,7 +9,7 @@ from foliate import catalog
 from foliate.functions import ids, text
 from foliate.operators import blocks, control, retrieve
 from foliate.plans import markdown, matrix
-from foliate.sources import files
+from foliate.sources import files, ocr
 
 
 def one(spark, value, column, kind="string"):
@@ -220,3 +220,35 @@ def test_whole_texts_with_blank_parts_and_line_feeds(spark, tmp_path):
     assert got == {i: base64.b64encode((t or "").encode()).decode() for i, t in enumerate(texts)}
     got = {r["doc_id"]: r["parts"] for r in catalog.QUERIES["vlm_message_parts"](spark, str(tmp_path)).collect()}
     assert got == {i: "|".join([f"text:{(t or str()).strip()}"] * bool((t or "").strip()) + ["image:1", "text:and", "image:2"]) for i, t in enumerate(texts)}
+
+
+def test_decode_text_gbk(spark):
+    rows = spark.createDataFrame([("é中".encode(),), ("中文".encode("gbk"),), (b"\xff\xff",), (b"",), (None,)], "c binary")
+    assert [r["t"] for r in rows.select(files.decode_text(F.col("c"), gbk=True).alias("t")).collect()] == ["é中", "中文", "ÿÿ", "", None]
+
+
+def test_ocr_lines_of_any_nesting(spark):
+    cases = {
+        json.dumps([[[[0, 0], [9, 9]], ["one", 0.9]], [[[1, 1]], ["two", 0.8]]]): ["one", "two"],
+        json.dumps({"more": {"text": " c "}, "texts": ["b", {"text": "d"}], "rec_texts": ["a", "a"]}): ["a", "a", "b", "d", "c"],
+        json.dumps([{"text": ["no"]}, None, ["x", 0.5], ["y"], ["p", "q"], 3]): ["x", "y", "p", "q"],
+        " no JSON {": ["no JSON {"], "": [], "[]": [], "[" * 100_000: ["[" * 100_000], None: [],
+    }
+    rows = spark.createDataFrame([(i, case) for i, case in enumerate(cases)], "i int, c string")
+    assert [r["t"] for r in rows.select("i", ocr.ocr_lines(F.col("c")).alias("t")).orderBy("i").collect()] == list(cases.values())
+
+
+def test_batch_plan_mirrors_folders(spark):
+    paths = spark.createDataFrame([("/in/a.pdf",), ("/in/x.y/b.c.TXT",), ("/in/d.zip",), ("/else/e.pdf",), (None,)], "path string")
+    plan = {r["path"]: (r["parser"], r["folder"]) for r in files.batch_plan(paths, "path", "/in/", "/out").collect()}
+    assert plan == {"/in/a.pdf": ("pdf", "/out/a"), "/in/x.y/b.c.TXT": ("text", "/out/x.y/b.c")}
+    assert [r["path"] for r in files.batch_plan(paths, "path", "/in", "/out", recursive=False).collect()] == ["/in/a.pdf"]
+    done, failed = files.split_results(spark.createDataFrame([("a", None), ("b", "broken")], "path string, error string"))
+    assert [tuple(r) for r in done.collect()] == [("a",)] and [tuple(r) for r in failed.collect()] == [("b", "broken")]
+
+
+def test_vision_or_plain(spark):
+    prompts = spark.createDataFrame([(1, "see [VLM_IMAGE_1]"), (2, "see"), (3, None)], "doc_id long, prompt string")
+    say = lambda word: lambda rows: rows.withColumn("answer", F.lit(word))
+    got = {tuple(r) for r in retrieve.vision_or_plain(prompts, say("v"), say("p")).collect()}
+    assert got == {(1, "vision", "v"), (2, "plain", "p"), (3, "plain", "p")}
