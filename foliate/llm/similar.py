@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliate.llm.common import durable, split_join
@@ -84,19 +84,23 @@ def crowd_links(sets: DataFrame, known: DataFrame, bucket: int = BUCKET) -> Data
     ordered = split_join(tokens, counts, ["shingle"], "node").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("all"))
     n = F.size("all")
     rare = F.slice("all", F.lit(1), (n - F.ceil(F.lit(SIMILAR) * n) + 1).cast("int"))
-    members = durable(ordered.select("node", F.explode(rare).alias("s")).select("node", "s.shingle"))
+    members = durable(ordered.select("node", n.alias("size"), F.posexplode(rare).alias("pos", "s")).select("node", "size", "pos", "s.shingle"))
     stars = members.groupBy("shingle").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = split_join(members, stars, ["shingle"], "node").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    pairs = split_join(members.select("node", "shingle"), stars, ["shingle"], "node").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
     first = durable(verified(pairs, sets))
     rest = _rooted(members, first.unionByName(known))
-    return first.unionByName(verified(_pairs_across(durable(rest), bucket), sets))
+    return first.unionByName(verified(_pairs_across(durable(rest), bucket, SIMILAR), sets))
 
 
-def _pairs_across(members: DataFrame, bucket: int) -> DataFrame:
+def _pairs_across(members: DataFrame, bucket: int, least: float | None = None) -> DataFrame:
     """u, v: pairs of members (shingle, node, root) with one shingle in different components, made in blocks of ``bucket`` or so.
 
     The largest component of a shingle needs no pairs of its own: each member of the others (``minor``) meets all
     members. Members are dealt to blocks by a hash, and every block of all meets every block of the minor once.
+
+    With ``least``, members also have the size of their set and the position, from 0, of the shingle in it, rarest first.
+    What follows the first shingle that two sets share bounds what they share, so a pair that the bound keeps
+    below that similarity at this shingle is left out: at the first shared one of a similar pair it is not.
     """
     roots = members.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
     sizes = roots.groupBy("shingle").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("large")).where(F.col("n") > F.col("large.n"))
@@ -104,12 +108,19 @@ def _pairs_across(members: DataFrame, bucket: int) -> DataFrame:
     rest = durable(split_join(members, sizes, ["shingle"], "node").withColumn("minor", F.col("root") != F.col("large")))
     own = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    member = F.struct("node", "root", "minor")
+    member = F.struct("node", "root", "minor", *["size", "pos"] * (least is not None))
     any_ = rest.select("shingle", own("all_blocks").alias("i"), every("minor_blocks").alias("j"), member.alias("a"), F.lit(None).cast(rest.select(member).schema[0].dataType).alias("b"))
     minor = rest.where("minor").select("shingle", own("minor_blocks").alias("j"), every("all_blocks").alias("i"), member.alias("b"), F.lit(None).cast(rest.select(member).schema[0].dataType).alias("a"))
     met = any_.unionByName(minor).groupBy("shingle", "i", "j").agg(F.collect_list("a").alias("as"), F.collect_list("b").alias("bs"))
     # Two minor members meet from either side; one of these is enough.
-    others = F.filter("as", lambda x: (x["root"] != F.col("b.root")) & (~x["minor"] | (x["node"] < F.col("b.node"))))
+    def may(x: Column) -> Column:
+        across = (x["root"] != F.col("b.root")) & (~x["minor"] | (x["node"] < F.col("b.node")))
+        if least is None:
+            return across
+        shared = F.least(x["size"] - x["pos"], F.col("b.size") - F.col("b.pos"))
+        return across & (shared * (1 + least) >= (x["size"] + F.col("b.size")) * least - 1e-6)
+
+    others = F.filter("as", may)
     pairs = met.select("as", F.explode("bs").alias("b")).select(F.col("b.node").alias("u"), F.explode(others).alias("a")).select("u", F.col("a.node").alias("v"))
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
