@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliate.llm import bpe, decontam, html_text, license_scan, line_dedup, quality_cnn, quality_rules, search, secrets, simhash, token_file
+from foliate.llm import bpe, decontam, html_text, license_scan, line_dedup, quality_cnn, quality_rules, search, secrets, simhash, token_file, warc
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_token_file": token_file.op8_token_file,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_warc": warc.op11_warc,
         "op13_search": search.op13_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.ORACLE_SQL, "op13_search": search.ORACLE_SQL}
+    return {"op10_line_dedup": line_dedup.ORACLE_SQL, "op11_warc": warc.ORACLE_SQL, "op13_search": search.ORACLE_SQL}
