@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliate.llm import bpe, decontam, html_text, license_scan, line_dedup, quality_cnn, quality_rules, search, secrets, simhash, token_file, warc
+from foliate.llm import bpe, decontam, html_text, license_scan, line_dedup, prefix_trie, quality_cnn, quality_rules, search, secrets, simhash, token_file, warc
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_line_dedup": line_dedup.op10_line_dedup,
         "op11_warc": warc.op11_warc,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
         "op13_search": search.op13_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.ORACLE_SQL, "op11_warc": warc.ORACLE_SQL, "op13_search": search.ORACLE_SQL}
+    return {"op10_line_dedup": line_dedup.ORACLE_SQL, "op11_warc": warc.ORACLE_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL, "op13_search": search.ORACLE_SQL}
