@@ -13,7 +13,8 @@ from foliate.functions import ids, text
 from foliate.operators import batch, blocks, control, graph, retrieve
 from foliate.plans import markdown, matrix
 from foliate.sources import files, ocr
-from foliate.streaming import status
+from foliate.sources.shared import new_folder
+from foliate.streaming import machine, status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -725,3 +726,20 @@ def vision_query_fallback(spark, d):
     prompts = table(spark, d, "documents").select("doc_id", prompt.alias("prompt"))
     shown = lambda rows: rows.withColumn("answer", F.array_join(F.transform("parts", lambda x: x["type"]), "|"))
     return retrieve.vision_or_plain(prompts, shown, lambda rows: rows.withColumn("answer", F.col("prompt")))
+
+
+_RULES = ", ".join(f"('{a or ''}', '{b}')" for a, after in machine.RULES.items() for b in after)
+_LIMIT = int(machine.LIMITS["handling"] * 3_600_000_000)
+
+
+@query(f"""WITH RECURSIVE rules(a, b) AS (VALUES {_RULES}), cut AS (SELECT epoch_us(max(ts)) // 1000 * 1000 - 86400000000 AS cut FROM events),
+    e AS (SELECT user_id, epoch_us(ts) AS tm, {_STATE} AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events, cut WHERE epoch_us(ts) <= cut),
+    s(user_id, i, status, since, ok, bad, late) AS (SELECT DISTINCT user_id, 0::BIGINT, '', 0::BIGINT, 0, 0, 0 FROM e UNION ALL
+        SELECT user_id, i, CASE WHEN ok THEN status ELSE was END, CASE WHEN ok THEN tm WHEN timed THEN since + {_LIMIT} ELSE since END, n + ok::INT, bad + (NOT ok AND status <> was)::INT, late + timed::INT
+        FROM (SELECT *, (was, status) IN (SELECT (a, b) FROM rules) AS ok FROM (SELECT e.*, s.since, s.ok AS n, s.bad, s.late, s.status = 'handling' AND s.since + {_LIMIT} < e.tm AS timed, CASE WHEN s.status = 'handling' AND s.since + {_LIMIT} < e.tm THEN 'failed' ELSE s.status END AS was
+            FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1))),
+    f AS (SELECT * FROM s WHERE i > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1)
+    SELECT user_id::VARCHAR AS doc_id, nullif(CASE WHEN status = 'handling' AND since + {_LIMIT} < cut THEN 'failed' ELSE status END, '') AS status, ok::BIGINT AS n_changes, bad::BIGINT AS n_forbidden, 0::BIGINT AS n_late, (late + (status = 'handling' AND since + {_LIMIT} < cut)::INT)::BIGINT AS n_timeouts FROM f, cut""")
+def stream_status_machine(spark, d):
+    events = status.read_events(spark, f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("doc_id"), "event_id", "ts", F.expr(_STATE).alias("status"))
+    return machine.final_status(machine.run_changes(spark, events, new_folder(spark, "machine")))
