@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliate import fixtures as fx
 from foliate.fixtures import BLK, COUNTS, REPLY, ROUNDS, table
 from foliate.functions import ids, text
-from foliate.operators import batch, blocks, control, graph, retrieve
+from foliate.operators import batch, blocks, control, graph, nearest, retrieve
 from foliate.plans import markdown, matrix
 from foliate.sources import files, ocr
 from foliate.sources.shared import new_folder
@@ -58,7 +58,7 @@ def chunk_dedup_last_wins(spark, d):
     FROM blk a JOIN blk b ON a.doc_id = b.doc_id AND b.page_idx BETWEEN a.page_idx - 1 AND a.page_idx + 1 AND b.type = 'text' AND trim(b.text) <> '' GROUP BY ALL)
     SELECT b.doc_id, b.block_idx, md5(coalesce(t.context, '')) AS context FROM blk b LEFT JOIN t USING (doc_id, block_idx)""")
 def page_window_context(spark, d):
-    return blocks.page_context(fx.blocks(spark, d)).withColumn("context", ids.digest(F.col("context")))
+    return blocks.page_context(fx.blocks(spark, d), use=ids.digest)
 
 
 @query(f"""WITH {BLK}, t AS (SELECT a.doc_id, a.block_idx, string_agg(b.text, chr(10) ORDER BY b.block_idx) AS context FROM blk a JOIN blk b ON a.doc_id = b.doc_id AND b.block_idx BETWEEN a.block_idx - 2 AND a.block_idx + 2 AND b.block_idx <> a.block_idx AND b.type = 'text' AND trim(b.text) <> '' GROUP BY ALL)
@@ -470,7 +470,7 @@ _GLOBAL = "global_ AS (SELECT DISTINCT query_id, src AS item FROM naive JOIN edg
 
 def _found(spark, d):
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return retrieve.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors)
+    return nearest.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors)
 
 
 def _by_mode(spark, d, mode):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,18 +42,34 @@ def item_text(type_: Column, text: Column, level: Column, caption: Column, heade
     return F.coalesce(F.when(type_ == "text", heading).when(type_ == "image", named("Image")).when(type_ == "table", named("Table")), F.lit(""))
 
 
-def page_context(blocks: DataFrame, pages: int = 1, types: tuple[str, ...] = ("text",), most: int | None = None) -> DataFrame:
-    """doc_id, block_idx, context: texts of the pages around each block, other pages marked.
+def page_contexts(blocks: DataFrame, pages: int = 1, types: tuple[str, ...] = ("text",)) -> DataFrame:
+    """doc_id, page_idx, context of every page that has blocks: texts of the pages around it in block order, other pages marked.
 
-    A range frame over the page number: one sort a document, no self join.
+    All blocks of a page have one context, so it is made once a page: each page's texts are gathered once and
+    sent to the ``2 * pages + 1`` pages that see them, by an equi-join on document and page. A null page is page 0.
+    """
+    page = F.coalesce("page_idx", F.lit(0)).cast("long").alias("page_idx")
+    usable = F.coalesce(F.col("type").isin(*types) & (strip(F.coalesce("text", F.lit(""))) != ""), F.lit(False))
+    items = F.array_compact(F.collect_list(F.when(usable, F.struct("block_idx", "text"))))
+    each = blocks.groupBy("doc_id", page).agg(items.alias("own"))
+    sent = each.select("doc_id", F.col("page_idx").alias("from"), "own", F.explode(F.array(*[F.lit(k).cast("long") for k in range(-pages, pages + 1)])).alias("step"))
+    seen = sent.where((F.size("own") > 0) | (F.col("step") == 0)).select("doc_id", (F.col("from") + F.col("step")).alias("page_idx"), F.col("step") == 0, F.col("from"), "own").toDF("doc_id", "page_idx", "same", "from", "own")
+    mark = F.when(F.col("same"), F.lit("")).otherwise(F.concat(F.lit("[Page "), F.col("from").cast("string"), F.lit("] ")))
+    seen = seen.withColumn("own", F.transform("own", lambda x: F.struct(x["block_idx"].alias("block_idx"), F.concat(mark, x["text"]).alias("text"))))
+    around = seen.groupBy("doc_id", "page_idx").agg(F.max("same").alias("there"), F.array_sort(F.flatten(F.collect_list("own"))).alias("all")).where("there")
+    return around.select("doc_id", "page_idx", F.array_join(F.transform("all", lambda x: x["text"]), "\n").alias("context"))
+
+
+def page_context(blocks: DataFrame, pages: int = 1, types: tuple[str, ...] = ("text",), most: int | None = None, use: Callable[[Column], Column] | None = None) -> DataFrame:
+    """doc_id, block_idx, context: the context of each block's page (see ``page_contexts``), cut to ``most`` characters.
+
+    ``use`` is computed of a context once a page; with it or ``most`` what is joined to the blocks is short, and the work linear.
     """
-    around = Window.partitionBy("doc_id").orderBy("page_idx").rangeBetween(-pages, pages)
-    usable = F.col("type").isin(*types) & (strip(F.coalesce("text", F.lit(""))) != "")
-    seen = F.collect_list(F.when(usable, F.struct("block_idx", "page_idx", "text"))).over(around)
-    marked = F.transform(F.array_sort("seen"), lambda x: F.when(x["page_idx"] == F.col("page_idx"), x["text"]).otherwise(F.concat(F.lit("[Page "), x["page_idx"].cast("string"), F.lit("] "), x["text"])))
-    context = F.array_join(marked, "\n")
-    out = blocks.withColumn("seen", seen).withColumn("context", context)
-    return out.select("doc_id", "block_idx", (truncate_context(F.col("context"), most) if most else F.col("context")).alias("context"))
+    contexts = page_contexts(blocks, pages, types)
+    cut = truncate_context(F.col("context"), most) if most else F.col("context")
+    contexts = contexts.withColumn("context", use(cut) if use else cut)
+    own = blocks.select("doc_id", "block_idx", F.coalesce("page_idx", F.lit(0)).cast("long").alias("page_idx"))
+    return own.join(contexts.withColumnRenamed("doc_id", "_doc").withColumnRenamed("page_idx", "_page"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("page_idx") == F.col("_page"))).select("doc_id", "block_idx", "context")
 
 
 def chunk_context(blocks: DataFrame, chunks: int = 1) -> DataFrame:

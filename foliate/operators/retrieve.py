@@ -3,49 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.functions.ids import basename, cache_key, digest
 
-#: Rows of a query set that are broadcast at once, about.
-QUERIES = 10_000
-
-
-def _norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    return F.try_divide(_dot(a, b), _norm(a) * _norm(b))
-
-
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float = 0.2, block: int = QUERIES) -> DataFrame:
-    """query_id, vec_id, score, rank: the ``k`` nearest vectors of each query at or above the threshold.
-
-    The query set goes to every task in blocks of about ``block`` rows, by hash of the id, one broadcast each; the
-    vectors are read once a block. Spark limits each query's rows to ``k`` in every task before they are shuffled
-    (a window group limit), so the vectors never are.
-    """
-    n = max(1, -(-queries.count() // block))
-    return reduce(DataFrame.unionByName, [_top_k(queries if n == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i), vectors, k, threshold) for i in range(n)])
-
-
-def _top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: float) -> DataFrame:
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"), _norm(F.col("embedding")).alias("_nq"))
-    v = vectors.select("vec_id", "embedding", _norm(F.col("embedding")).alias("_nv"))
-    score = F.round(F.try_divide(_dot(F.col("_q"), F.col("embedding")), F.col("_nq") * F.col("_nv")), 6)
-    pairs = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", score.alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    # The threshold comes last: put before the window it would be computed twice for every pair.
-    return pairs.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("score") >= threshold))
-
 
 def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """query_id, src, tgt, weight: edges that touch the nodes (column node) of each query.

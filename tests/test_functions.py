@@ -201,16 +201,6 @@ def test_setting_rules_and_chunks(spark):
     assert sorted((r["doc_id"], r["chunk_idx"], r["text"]) for r in blocks.overlapping_chunks(docs, 3, 1).collect()) == [(1, 0, "a b c"), (1, 1, "c d e"), (2, 0, "a"), (4, 0, "a b c")]
 
 
-def test_top_k_of_queries_in_blocks(spark):
-    rows = [(i, [float(i % 7), float(i % 5) - 2, 1.0]) for i in range(60)]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    want = sorted(map(tuple, retrieve.top_k(vectors, vectors).collect()))
-    assert sorted(map(tuple, retrieve.top_k(vectors, vectors, block=9).collect())) == want
-    assert {r[0] for r in want} == set(range(60))
-    many = spark.range(retrieve.QUERIES + 1).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
-    assert retrieve.top_k(many, many.limit(2)).select("query_id").distinct().count() == retrieve.QUERIES + 1
-
-
 def test_whole_texts_with_blank_parts_and_line_feeds(spark, tmp_path):
     import base64
 
