@@ -11,6 +11,7 @@ from foliate import fixtures as fx
 from foliate.fixtures import BLK, COUNTS, REPLY, ROUNDS, table
 from foliate.functions import ids, text
 from foliate.operators import batch, blocks, control, graph, nearest, retrieve
+from foliate.operators.store import KeyedStore
 from foliate.plans import markdown, matrix
 from foliate.sources import files, ocr
 from foliate.sources.shared import new_folder
@@ -743,3 +744,30 @@ _LIMIT = int(machine.LIMITS["handling"] * 3_600_000_000)
 def stream_status_machine(spark, d):
     events = status.read_events(spark, f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("doc_id"), "event_id", "ts", F.expr(_STATE).alias("status"))
     return machine.final_status(machine.run_changes(spark, events, new_folder(spark, "machine")))
+
+
+def _parsed(spark, d):
+    """Documents as parses: two of each key in every batch of three; the settings are the language, the payload the text's digest."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.concat(F.lit("k"), F.expr("doc_id div 6").cast("string")).alias("key"), F.col("n_chars").alias("mtime"), F.col("lang").alias("config"), ids.digest(F.col("text")).alias("payload"))
+
+
+@query("""WITH p AS (SELECT doc_id, 'k' || (doc_id // 6) AS key, n_chars AS mtime, lang AS config, md5(text) AS payload FROM documents),
+    b AS (SELECT key, doc_id % 3 AS b, arg_max((mtime, config, payload, doc_id), doc_id) AS r FROM p GROUP BY ALL), one AS (SELECT key, arg_max(r, b) AS r FROM b WHERE b < 2 GROUP BY key),
+    gone AS (SELECT DISTINCT p.key FROM p JOIN one ON one.key = p.key WHERE doc_id % 3 = 2 AND doc_id % 6 = 2 AND (mtime <> r[1] OR config <> r[2])),
+    kept AS (SELECT * FROM one WHERE key NOT IN (SELECT key FROM gone)), two AS (SELECT key, r FROM b WHERE b = 2 AND r[2] = 'en'),
+    s AS (SELECT * FROM two UNION ALL SELECT * FROM kept WHERE key NOT IN (SELECT key FROM two))
+    SELECT p.doc_id, p.key, coalesce(r[1] = mtime AND r[2] = config AND r[3] <> '', false) AS hit, r[4] AS stored FROM p LEFT JOIN s ON s.key = p.key""")
+def parse_store(spark, d):
+    """Two batches of parses are stored, what a third finds changed is taken out, its English ones are stored, and all are probed."""
+    store = KeyedStore(spark, new_folder(spark, "parses"), "key", "key string, mtime long, config string, payload string, doc_id long")
+    rows = _parsed(spark, d)
+    for b in (0, 1):
+        store.upsert(rows.where(F.col("doc_id") % 3 == b), "doc_id")
+    store.delete(control.invalid(rows.where(F.col("doc_id") % 6 == 2).select("key", "mtime", "config"), store.read(), "key"))
+    third = rows.where(F.col("doc_id") % 3 == 2)
+    last = third.groupBy("key").agg(F.max_by(F.struct("mtime", "config", "payload", "doc_id"), "doc_id").alias("r")).select("key", "r.*")
+    store.upsert(last.where("config = 'en'"), "doc_id")
+    stored = store.read()
+    probed = control.cache_probe(rows.select("doc_id", "key", "mtime", "config"), stored, "key")
+    return probed.join(stored.select("key", F.col("doc_id").alias("stored")), "key", "left").select("doc_id", "key", "hit", "stored")

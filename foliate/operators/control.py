@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliate.operators.store import one_each, over
+
 
 def until_threshold(rounds: DataFrame, key: str, threshold: float, most: int) -> DataFrame:
     """Rounds of each key up to and with the first that reaches the threshold, ``most`` at most."""
@@ -23,10 +25,9 @@ def latest(rows: DataFrame, key: str, order: Column, columns: list[str]) -> Data
     return rows.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("r")).select(key, "r.*")
 
 
-def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """``table`` with the rows of ``changes`` over those of the same key."""
-    kept = table.join(changes.select(key), key, "left_anti")
-    return kept.unionByName(changes)
+def upsert(table: DataFrame, changes: DataFrame, key: str, order: Column | str | None = None) -> DataFrame:
+    """``table`` with the rows of ``changes`` over those of the same key, one row a key: the last by ``order`` in either table (see ``one_each``)."""
+    return over(one_each(table, key, order), one_each(changes, key, order), key)
 
 
 def fully_processed(status: Column, multimodal: Column) -> Column:
@@ -71,10 +72,20 @@ def unfinished(submitted: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def cache_probe(wanted: DataFrame, cache: DataFrame, key: str) -> DataFrame:
-    """``wanted`` with hit: the cached row has the same key, time and settings, and holds something."""
-    c = cache.select(F.col(key), F.col("mtime").alias("_m"), F.col("config").alias("_c"), F.col("payload").alias("_p"))
-    hit = (F.col("_m") == F.col("mtime")) & (F.col("_c") == F.col("config")) & (F.coalesce("_p", F.lit("")) != "")
-    return wanted.join(c, key, "left").withColumn("hit", F.coalesce(hit, F.lit(False))).drop("_m", "_c", "_p")
+    """``wanted`` with hit: the cached row has the same key, time and settings, and holds something.
+
+    Of several cached rows of one key the last by time counts, then the greatest settings and payload.
+    """
+    last = F.struct("mtime", "config", "payload")
+    c = cache.groupBy(key).agg(F.max(last).alias("_c"))
+    same = (F.col("_c.mtime") == F.col("mtime")) & (F.col("_c.config") == F.col("config")) & (F.coalesce("_c.payload", F.lit("")) != "")
+    return wanted.join(c, key, "left").withColumn("hit", F.coalesce(same, F.lit(False))).drop("_c")
+
+
+def invalid(wanted: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    """Keys whose cached row is of another time or other settings than what is wanted now, or holds nothing."""
+    there = wanted.join(cache.select(key).distinct(), key, "left_semi")
+    return cache_probe(there, cache, key).where("NOT hit").select(key).distinct()
 
 
 def cache_valid(mtime: Column, cached_mtime: Column, cached_at: Column, now: Column, ttl: float = 300.0) -> Column:
@@ -92,11 +103,17 @@ def substitute_env(settings: DataFrame, env: DataFrame) -> DataFrame:
     pattern = r"^\$\{([^:}]+)(?::([^}]*))?\}$"
     name = F.when(F.col("value").rlike(pattern), F.regexp_extract("value", pattern, 1))
     default = F.when(F.col("value").rlike(r"^\$\{[^:}]+:"), F.regexp_extract("value", pattern, 2))
-    e = F.broadcast(env.select(F.col("name").alias("_name"), F.col("value").alias("_env"))) if _small(env) else env.select(F.col("name").alias("_name"), F.col("value").alias("_env"))
+    e = _environment(env)
     out = settings.withColumn("_v", name).join(e, F.col("_v") == F.col("_name"), "left")
     return out.withColumn("value", F.when(F.col("_v").isNull(), F.col("value")).otherwise(F.coalesce("_env", default))).drop("_v", "_name", "_env")
 
 
+def _environment(env: DataFrame) -> DataFrame:
+    """_name, _env: one row a variable, of several values the greatest; broadcast if it is small."""
+    e = env.where("name IS NOT NULL").groupBy(F.col("name").alias("_name")).agg(F.max("value").alias("_env"))
+    return F.broadcast(e) if _small(env) else e
+
+
 def _small(frame: DataFrame, most: int = 10_000) -> bool:
     """Whether a table has no more rows than may be broadcast."""
     return frame.limit(most + 1).count() <= most
@@ -151,8 +168,8 @@ def messages_plain(turns: DataFrame, temperature: Column, default: float = 0.7)
 
 
 def translated(rules: DataFrame, known: DataFrame, col: str) -> DataFrame:
-    """``rules`` with their translation, or the rule itself where none is known."""
-    t = known.select(F.col(col).alias("_rule"), F.col("translation").alias("_t"))
+    """``rules`` with their translation (of several the least), or the rule itself where none is known."""
+    t = known.groupBy(F.col(col).alias("_rule")).agg(F.min("translation").alias("_t"))
     return rules.join(t, F.col(col) == F.col("_rule"), "left").withColumn("translation", F.coalesce("_t", F.col(col))).drop("_rule", "_t")
 
 
