@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliate import fixtures as fx
 from foliate.fixtures import BLK, COUNTS, REPLY, ROUNDS, table
 from foliate.functions import ids, text
-from foliate.operators import batch, blocks, control, graph, nearest, retrieve
+from foliate.operators import batch, blocks, control, graph, insert, nearest, retrieve
 from foliate.operators.store import KeyedStore
 from foliate.plans import markdown, matrix
 from foliate.sources import files, ocr
@@ -771,3 +771,45 @@ def parse_store(spark, d):
     stored = store.read()
     probed = control.cache_probe(rows.select("doc_id", "key", "mtime", "config"), stored, "key")
     return probed.join(stored.select("key", F.col("doc_id").alias("stored")), "key", "left").select("doc_id", "key", "hit", "stored")
+
+
+def _bundles(spark, d):
+    """A line a document: its name and its blocks as a content list; some are cut, no JSON, or without blocks."""
+    b = _captioned(spark, d)
+    captions = F.when(F.col("caption").isNotNull(), F.array("caption"))
+    only = lambda *kinds: F.col("type").isin(*kinds)
+    fields = F.struct(
+        "block_idx", "type", "page_idx", "text", F.col("path").alias("img_path"), F.when(only("image"), captions).alias("image_caption"), F.when(only("table"), captions).alias("table_caption"),
+        F.when(only("table"), F.col("text")).alias("table_body"), F.when(only("equation"), F.col("text")).alias("latex"), F.lit("latex").alias("text_format"), F.when(only("custom_type"), F.col("text")).alias("content"),
+    )
+    lists = b.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(fields))).alias("j"))
+    body = F.when(F.col("doc_id") % 10 == 3, F.expr("left(j, length(j) div 2)")).when(F.col("doc_id") % 10 == 7, "no json").when(F.col("doc_id") % 50 == 9, "[]").otherwise(F.col("j"))
+    return lists.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("\t"), body).alias("value"))
+
+
+def _slots():
+    """Stand-ins for models; each fails on some lengths, and the individual ones on fewer."""
+    fails = lambda n: F.when(F.length("text") % n == 0, F.lit("refused")).alias("error")
+    describe = lambda n: lambda rows: rows.select("*", F.substring("text", 1, 100).alias("description"), fails(n))
+    extract = lambda n: lambda rows: rows.select("*", graph.capitalised_words(F.col("text")).alias("entities"), fails(n))
+    return insert.Slots(describe(5), describe(10), extract(11), extract(22))
+
+
+@query(f"""WITH {BLK}, g AS (SELECT * FROM blk WHERE doc_id % 10 NOT IN (3, 7) AND doc_id % 50 <> 9), t AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY block_idx) FILTER (type = 'text' AND trim(text) <> '') AS text FROM g GROUP BY doc_id),
+    w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM t WHERE text IS NOT NULL), s AS (SELECT doc_id, w, unnest(generate_series(0, len(w) - 1, 180)) AS s FROM w WHERE len(w) > 0),
+    c AS (SELECT doc_id, array_to_string(w[s + 1 : s + 200], ' ') AS text FROM s WHERE s = 0 OR s + 20 < len(w) UNION ALL SELECT doc_id, {_CHUNK} FROM g WHERE type <> 'text' AND length(text) % 10 <> 0),
+    x AS (SELECT DISTINCT doc_id, text FROM c), e AS (SELECT doc_id, count(DISTINCT entity) AS n_entities FROM (SELECT doc_id, unnest({_NAMES.format("text")}) AS entity FROM x WHERE length(text) % 22 <> 0) GROUP BY doc_id),
+    n AS (SELECT doc_id, count(*) AS n_chunks FROM c GROUP BY doc_id), i AS (SELECT doc_id, count(*) FILTER (type <> 'text') AS n_items, count(*) FILTER (type <> 'text' AND length(text) % 10 = 0) AS n_failed_items FROM g GROUP BY doc_id), f AS (SELECT doc_id, count(*) AS n_failed_chunks FROM x WHERE length(text) % 22 = 0 GROUP BY doc_id)
+    SELECT 'doc-' || d.doc_id AS doc_id, CASE WHEN i.doc_id IS NULL THEN 'failed' ELSE 'processed' END AS status, CASE WHEN d.doc_id % 10 IN (3, 7) THEN 'no content list' WHEN d.doc_id % 50 = 9 THEN 'no blocks' END AS error, i.doc_id IS NOT NULL AS multimodal_processed,
+        coalesce(n_chunks, 0) AS n_chunks, coalesce(n_items, 0) AS n_items, coalesce(n_failed_items, 0) AS n_failed_items, coalesce(n_failed_chunks, 0) AS n_failed_chunks, coalesce(n_entities, 0) AS n_entities
+    FROM documents d LEFT JOIN i USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN e USING (doc_id)""")
+def files_to_statuses(spark, d):
+    """Content lists are written as files, read, processed and stored; the statuses come from the store."""
+    folder = new_folder(spark, "bundles")
+    _bundles(spark, d).write.text(f"{folder}/in")
+    parsed, unread = files.read_bundles(spark, f"{folder}/in")
+    out = insert.insert(insert.items_of(parsed), unread, _slots(), F.concat_ws(" ", "type", "doc_id", "block_idx"), 200, 20)
+    chunks, states = KeyedStore(spark, f"{folder}/chunks", "chunk_id", insert.CHUNKS), KeyedStore(spark, f"{folder}/status", "doc_id", insert.STATUS)
+    insert.commit(out, chunks, states)
+    entities = out["entities"].groupBy("doc_id").agg(F.countDistinct("entity").alias("n_entities"))
+    return states.read().join(entities, "doc_id", "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0).cast("long")))

@@ -13,9 +13,13 @@ BELONGS_KEYWORDS, BELONGS_WEIGHT = "belongs_to,part_of,contained_in", 10.0
 
 def capitalised(docs: DataFrame) -> DataFrame:
     """doc_id, entity: distinct words of ASCII letters that begin with a capital, a stand-in for an extracting model."""
-    named = F.filter(F.split("text", r"\s+"), lambda w: w.rlike(r"^[A-Z][a-z]{3,}[.,;:!?]*$"))
-    found = F.array_distinct(F.transform(named, lambda w: F.regexp_replace(w, r"[.,;:!?]+$", "")))
-    return docs.select("doc_id", F.explode(found).alias("entity"))
+    return docs.select("doc_id", F.explode(capitalised_words(F.col("text"))).alias("entity"))
+
+
+def capitalised_words(text):
+    """Those words of a text as an array."""
+    named = F.filter(F.split(text, r"\s+"), lambda w: w.rlike(r"^[A-Z][a-z]{3,}[.,;:!?]*$"))
+    return F.array_distinct(F.transform(named, lambda w: F.regexp_replace(w, r"[.,;:!?]+$", "")))
 
 
 def belongs_to(entities: DataFrame, owner: str = "modal_entity") -> DataFrame:

@@ -76,20 +76,40 @@ def decode_text(content: Column, gbk: bool = False) -> Column:
     return F.coalesce(valid, _gbk(F.when(valid.isNull(), content)), latin) if gbk else F.coalesce(valid, latin)
 
 
-def read_content_lists(spark: SparkSession, path: str, base: str = "") -> DataFrame:
-    """Blocks of parsed documents: one JSON array a file; caption names of either spelling; image paths below ``base`` or blank."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.from_json("value", CONTENT_LIST).alias("all"))
-    each = raw.select("file", F.posexplode("all").alias("block_idx", "b"))
+def content_blocks(parsed: DataFrame, key: str, base: str = "") -> DataFrame:
+    """Blocks of parsed content lists (column ``all``), by ``key``: caption names of either spelling; image paths below ``base`` or blank."""
+    each = parsed.select(key, F.posexplode("all").alias("block_idx", "b"))
     empty = F.array().cast("array<string>")
     outside = F.col("b.img_path").rlike(r"(^|/)\.\.(/|$)|^/")
     image = F.when(F.coalesce("b.img_path", F.lit("")) == "", F.lit("")).when(outside, F.lit("")).otherwise(F.concat(F.lit(base), F.col("b.img_path")))
     return each.select(
-        "file", F.col("block_idx").cast("long").alias("block_idx"), F.coalesce("b.page_idx", F.lit(0)).alias("page_idx"), F.coalesce("b.type", F.lit("text")).alias("type"), F.coalesce("b.text", F.lit("")).alias("text"), F.coalesce("b.text_level", F.lit(0)).alias("text_level"),
+        key, F.col("block_idx").cast("long").alias("block_idx"), F.coalesce("b.page_idx", F.lit(0)).alias("page_idx"), F.coalesce("b.type", F.lit("text")).alias("type"), F.coalesce("b.text", F.lit("")).alias("text"), F.coalesce("b.text_level", F.lit(0)).alias("text_level"),
         image.alias("img_path"), F.coalesce("b.image_caption", "b.img_caption", empty).alias("image_caption"), F.coalesce("b.image_footnote", "b.img_footnote", empty).alias("image_footnote"), F.coalesce("b.table_body", F.lit("")).alias("table_body"),
         F.coalesce("b.table_caption", empty).alias("table_caption"), F.coalesce("b.table_footnote", empty).alias("table_footnote"), "b.latex", "b.text_format", "b.content",
     )
 
 
+def read_content_lists(spark: SparkSession, path: str, base: str = "") -> DataFrame:
+    """Blocks of parsed documents: one JSON array a file (column file); see ``content_blocks``."""
+    raw = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.from_json("value", CONTENT_LIST).alias("all"))
+    return content_blocks(raw, "file", base)
+
+
+def read_bundles(spark: SparkSession, path: str, base: str = "") -> tuple[DataFrame, DataFrame]:
+    """Blocks of parsed documents (doc_id is the name), and the documents that can't be read (doc_id, error); many documents a file.
+
+    A line is a name, a tab and a JSON array of blocks. What fails goes to the errors, the rest goes on: a line without a name, a name that
+    several lines share, what is no JSON array, and an array without blocks.
+    """
+    lines = spark.read.text(path).where("value <> ''").select(F.when(F.contains("value", F.lit("\t")), F.substring_index("value", "\t", 1)).alias("doc_id"), F.regexp_replace("value", r"^[^\t]*\t", "").alias("body"))
+    whole = F.col("body").rlike(r"^\s*\[") & F.try_parse_json("body").isNotNull()
+    again = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id", F.lit(True).alias("_again"))
+    read = lines.select("doc_id", F.when(whole, F.from_json("body", CONTENT_LIST)).alias("all")).join(again, "doc_id", "left")
+    error = F.when(F.coalesce("doc_id", F.lit("")) == "", "no name").when(F.col("_again"), "a name twice").when(F.col("all").isNull(), "no content list").when(F.size("all") == 0, "no blocks")
+    read = durable(read.withColumn("error", error))
+    return content_blocks(read.where("error IS NULL"), "doc_id", base), read.where("error IS NOT NULL").select("doc_id", "error").distinct()
+
+
 def flatten_nodes(nodes: DataFrame, root: str = "body") -> DataFrame:
     """doc_id, node_id, path of the leaves below ``root`` in depth-first order.
 
