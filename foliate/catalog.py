@@ -774,15 +774,19 @@ def parse_store(spark, d):
 
 
 def _bundles(spark, d):
-    """A line a document: its name and its blocks as a content list; some are cut, no JSON, or without blocks."""
-    b = _captioned(spark, d)
-    captions = F.when(F.col("caption").isNotNull(), F.array("caption"))
-    only = lambda *kinds: F.col("type").isin(*kinds)
-    fields = F.struct(
-        "block_idx", "type", "page_idx", "text", F.col("path").alias("img_path"), F.when(only("image"), captions).alias("image_caption"), F.when(only("table"), captions).alias("table_caption"),
-        F.when(only("table"), F.col("text")).alias("table_body"), F.when(only("equation"), F.col("text")).alias("latex"), F.lit("latex").alias("text_format"), F.when(only("custom_type"), F.col("text")).alias("content"),
-    )
-    lists = b.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(fields))).alias("j"))
+    """A line a document: its name and its blocks as a content list (those of ``_captioned``); some are cut, no JSON, or without blocks."""
+
+    def block(text, i):
+        kind = F.element_at(F.array(*map(F.lit, ("image", "table", "equation", "custom_type", "text", "text", "text"))), i % 7 + 1)
+        captions = F.when(i % 2 == 0, F.array(F.concat(F.lit("c"), i.cast("string"))))
+        only = lambda name, x: F.when(kind == name, x)
+        fields = {
+            "type": kind, "page_idx": F.floor(i / 10), "text": F.when(kind.isin("text", "image"), text), "img_path": F.concat(F.col("doc_id").cast("string"), F.lit(".png")), "image_caption": only("image", captions),
+            "table_caption": only("table", captions), "table_body": only("table", text), "latex": only("equation", text), "text_format": only("equation", F.lit("latex")), "content": only("custom_type", text),
+        }
+        return F.struct(*[x.alias(name) for name, x in fields.items()])
+
+    lists = table(spark, d, "documents").select("doc_id", F.to_json(F.transform(F.split("text", "\n"), block)).alias("j"))
     body = F.when(F.col("doc_id") % 10 == 3, F.expr("left(j, length(j) div 2)")).when(F.col("doc_id") % 10 == 7, "no json").when(F.col("doc_id") % 50 == 9, "[]").otherwise(F.col("j"))
     return lists.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("\t"), body).alias("value"))
 
@@ -806,10 +810,20 @@ def _slots():
 def files_to_statuses(spark, d):
     """Content lists are written as files, read, processed and stored; the statuses come from the store."""
     folder = new_folder(spark, "bundles")
-    _bundles(spark, d).write.text(f"{folder}/in")
+    _bundles(spark, d).write.option("compression", "gzip").text(f"{folder}/in")
     parsed, unread = files.read_bundles(spark, f"{folder}/in")
     out = insert.insert(insert.items_of(parsed), unread, _slots(), F.concat_ws(" ", "type", "doc_id", "block_idx"), 200, 20)
     chunks, states = KeyedStore(spark, f"{folder}/chunks", "chunk_id", insert.CHUNKS), KeyedStore(spark, f"{folder}/status", "doc_id", insert.STATUS)
     insert.commit(out, chunks, states)
     entities = out["entities"].groupBy("doc_id").agg(F.countDistinct("entity").alias("n_entities"))
     return states.read().join(entities, "doc_id", "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0).cast("long")))
+
+
+@query(r"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN '\frac{a}{b} \alpha ' || event_type WHEN 1 THEN 'say "' || event_type || '" now' WHEN 2 THEN 'a,} ' || event_type || ',]' WHEN 3 THEN 'curly ' || event_type WHEN 4 THEN 'tab' || chr(9) || event_type ELSE 'C:\dir "' || event_type || '"' END AS text,
+    CASE event_id % 6 WHEN 2 THEN 2 ELSE 1 END::BIGINT AS n FROM events""")
+def json_repair(spark, d):
+    """Replies with LaTeX, quotes, commas and brackets inside strings, curly quotes, and a valid one."""
+    kinds = [r'{"d": "\frac{a}{b} \alpha @", "n": 1}', '{"d": "say "@" now", "n": 1,}', '{"d": "a,} @,]", "n": 2, "l": [1, 2,],}', "{“d”: “curly @”, “n”: 1}", r'{"d": "tab\t@", "n": 1}', r'{"d": "C:\dir "@"", "n": 1}']
+    raw = F.replace(F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % 6 + 1).cast("int")), F.lit("@"), F.col("event_type"))
+    parsed = table(spark, d, "events").select("event_id", text.parse_json(F.concat(F.lit("Reply: "), raw)).alias("v"))
+    return parsed.select("event_id", F.try_variant_get("v", "$.d", "string").alias("text"), F.try_variant_get("v", "$.n", "bigint").alias("n"))

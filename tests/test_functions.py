@@ -54,6 +54,40 @@ def test_json_recovery(spark):
     assert read("nothing") is None
 
 
+BROKEN = [
+    (r'{"a": "\frac{1}{2} \alpha \tau"}', {"a": r"\frac{1}{2} \alpha \tau"}),
+    (r'{"a": "tab\there", "b": "\u0041"}', {"a": "tab\there", "b": "A"}),  # valid, so it stays as it is
+    (r'{"a": "C:\dir", "b": "x\\y \" z \q"}', {"a": r"C:\dir", "b": 'x\\y " z \\q'}),
+    ('{"a": "he said "no, never" to me", "b": 1}', {"a": 'he said "no, never" to me', "b": 1}),
+    ('{"a": "x,} y,]", "b": [1, 2,], }', {"a": "x,} y,]", "b": [1, 2]}),
+    ('{"a": "x,}", "b": "say "z"",}', {"a": "x,}", "b": 'say "z"'}),
+    ("{“a”: “it is ,] \"so\"”, }", None),
+    ("{“a”: “curly ”, \"b\": \"a “word” here\"}", {"a": "curly ", "b": "a “word” here"}),
+    ('{"a": "two\nlines", "b": "q"q"}', {"a": "two\nlines", "b": 'q"q'}),
+    ('{"a": ""}', {"a": ""}),
+    ('{"a": "never closed}', None),
+    ('{"a": "\\', None),
+    ('{"a": "{ brace", "b": 1,}', {"a": "{ brace", "b": 1}),
+]
+
+
+def test_json_repair_knows_strings(spark):
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(BROKEN)], "i int, x string")
+    got = {r["i"]: r["v"] for r in df.select("i", text.parse_json(F.col("x")).cast("string").alias("v")).collect()}
+    for i, (x, want) in enumerate(BROKEN):
+        if x.startswith("{“a”: “it"):  # straight quotes within curly ones are escaped
+            want = {"a": 'it is ,] "so"'}
+        assert (json.loads(got[i]) if got[i] else None) == want, x
+    whole = df.select(text.repaired_json(F.col("x"), True).alias("a"), text.repaired_json(F.lit("")).alias("b"), text.repaired_json(F.lit(None).cast("string")).alias("c")).first()
+    assert whole["b"] == "" and whole["c"] is None
+
+
+def test_json_repair_of_long_replies(spark):
+    long = '{"a": "' + "\\alpha and \\beta, " * 4000 + '"}'
+    got = one(spark, long, lambda x: text.parse_json(x).cast("string"))
+    assert json.loads(got) == {"a": "\\alpha and \\beta, " * 4000}
+
+
 def test_judge_defaults(spark):
     read = lambda v: tuple(one(spark, v, text.judge_reply))
     assert read("bad") == (5.0, "REVISE", "bad")
