@@ -98,12 +98,13 @@ def _chains(prefixes: DataFrame, nodes: DataFrame, convs: DataFrame, n: int, lon
 
 def _totals(chains: DataFrame, own: DataFrame) -> DataFrame:
     """conv_id, leaves, saved of each chain with all that hang on it: sums go up 1, 2, 4, ... chains a round."""
-    state = durable(chains.select("conv_id", "up").join(own, "conv_id"))
+    # Parquet, not a checkpoint: that keeps its plan's estimates of size, which a self-join a round makes ever longer.
+    state = written(chains.select("conv_id", "up").join(own, "conv_id"), "totals")
     while not state.where("up IS NOT NULL").isEmpty():
         below = state.where("up IS NOT NULL").groupBy("up").agg(F.sum("leaves").alias("more"), F.sum("saved").alias("kept")).withColumnRenamed("up", "conv_id")
         higher = split_join(state.where("up IS NOT NULL"), state.select(F.col("conv_id").alias("up"), F.col("up").alias("next")), ["up"], "conv_id").select("conv_id", F.col("next").alias("up"), "leaves", "saved")
         moved = higher.unionByName(state.where("up IS NULL").select("conv_id", "up", "leaves", "saved"))
-        state = durable(moved.join(below, "conv_id", "left").select("conv_id", "up", (F.col("leaves") + F.coalesce("more", F.lit(0))).alias("leaves"), (F.col("saved") + F.coalesce("kept", F.lit(0))).alias("saved")))
+        state = written(moved.join(below, "conv_id", "left").select("conv_id", "up", (F.col("leaves") + F.coalesce("more", F.lit(0))).alias("leaves"), (F.col("saved") + F.coalesce("kept", F.lit(0))).alias("saved")), "totals")
     return state.select("conv_id", "leaves", "saved")
 
 
