@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.functions.ids import prefixed
 from foliate.operators import blocks as b
 from foliate.operators import graph
 from foliate.operators.store import KeyedStore
-from foliate.sources.shared import durable
+from foliate.sources.shared import durable, stored
 
 Slot = Callable[[DataFrame], DataFrame]
 
@@ -31,12 +32,19 @@ class Slots:
     extract_one: Slot
 
 
-def attempt(rows: DataFrame, slot: Slot, one: Slot) -> tuple[DataFrame, DataFrame]:
-    """Rows that a slot, or else the individual one, did well (column via: batch or individual), and those that failed twice (column error)."""
-    first = durable(slot(rows))
-    second = durable(one(first.where("error IS NOT NULL").select(*rows.columns)))
+def attempt(rows: DataFrame, keys: list[str], slot: Slot, one: Slot, kept: list[str], use: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """What a slot, or else the individual one, did well: keys, the columns ``kept`` and via (batch or individual); and what failed twice (keys, error).
+
+    Only this is written down, so that no model is asked twice; rows that failed are looked up by their keys again.
+    ``use`` is a column of a slot's output that is kept as ``made``.
+    """
+    wanted = [*keys, *kept, *([use.alias("made")] if use is not None else []), "error"]
+    first = stored(slot(rows).select(*wanted), "attempt")
+    again = first.where("error IS NOT NULL").select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    second = stored(one(rows.join(again.distinct(), reduce(Column.__and__, same), "left_semi")).select(*wanted), "attempt")
     good = first.where("error IS NULL").withColumn("via", F.lit("batch")).unionByName(second.where("error IS NULL").withColumn("via", F.lit("individual")))
-    return good.drop("error"), second.where("error IS NOT NULL").select(*rows.columns, "error")
+    return good.drop("error"), second.where("error IS NOT NULL").select(*keys, "error")
 
 
 def items_of(parsed: DataFrame) -> DataFrame:
@@ -57,16 +65,20 @@ def insert(items: DataFrame, unread: DataFrame, slots: Slots, entity: Column, si
     chunks that fail twice are errors, and it is processed without them.
     """
     texts, others = b.separate(items)
-    cut = b.overlapping_chunks(texts.select("doc_id", "text"), size, overlap)
-    described, undescribed = attempt(others, slots.describe, slots.describe_one)
-    counts = cut.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    cut = stored(b.overlapping_chunks(texts.select("doc_id", "text"), size, overlap), "chunks")
     body = b.chunk_text(*map(F.col, ("type", "text", "path", "caption", "footnote", "format", "description")))
-    modal = b.order_index(described.join(counts, "doc_id", "left").withColumn("chunk", body), F.coalesce("_n", F.lit(0)))
-    modal = modal.select("doc_id", F.col("chunk_order_index").cast("long").alias("ord"), F.col("chunk").alias("text"), "type", "block_idx", entity.alias("modal_entity"))
+    described, undescribed = attempt(others, ["doc_id", "block_idx"], slots.describe, slots.describe_one, ["type"], body)
+    counts = cut.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    modal = b.order_index(described.join(counts, "doc_id", "left"), F.coalesce("_n", F.lit(0)))
+    modal = modal.select("doc_id", F.col("chunk_order_index").cast("long").alias("ord"), F.col("made").alias("text"), "type", "block_idx", entity.alias("modal_entity"))
     plain = cut.select("doc_id", F.col("chunk_idx").alias("ord"), "text", F.lit("text").alias("type"), F.lit(None).cast("long").alias("block_idx"), F.lit(None).cast("string").alias("modal_entity"))
-    chunks = durable(plain.unionByName(modal).withColumn("chunk_id", prefixed("chunk-", F.col("text"))))
-
-    found, failed = attempt(chunks.select("doc_id", "chunk_id", "text").dropDuplicates(["doc_id", "chunk_id"]), slots.extract, slots.extract_one)
+    keyed = lambda rows: rows.withColumn("chunk_id", prefixed("chunk-", F.col("text")))
+    chunks = keyed(plain).unionByName(keyed(modal))
+    # Rows of a document lie together, so repeats are numbered without another shuffle.
+    nth = F.row_number().over(Window.partitionBy("doc_id", "chunk_id").orderBy("ord"))
+    asked = keyed(plain).withColumn("_nth", nth).unionByName(keyed(modal).withColumn("_nth", nth)).where("_nth = 1").select("doc_id", "chunk_id", "text")
+    found, failed = attempt(asked, ["doc_id", "chunk_id"], slots.extract, slots.extract_one, ["entities"])
+    found, failed = found.dropDuplicates(["doc_id", "chunk_id"]), failed.distinct()
     entities = found.select("doc_id", "chunk_id", F.explode("entities").alias("entity"))
     edges = graph.belongs_to(graph.with_owner(entities, chunks, ["doc_id", "chunk_id"]).where("modal_entity IS NOT NULL"))
     named = chunks.where("modal_entity IS NOT NULL").select("modal_entity", "type", "doc_id", "chunk_id", "ord")
@@ -79,7 +91,8 @@ def insert(items: DataFrame, unread: DataFrame, slots: Slots, entity: Column, si
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     of_chunks = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
     of_errors = errors.groupBy("doc_id").agg(F.count_if(F.col("stage") == "describe").alias("n_failed_items"), F.count_if(F.col("stage") == "extract").alias("n_failed_chunks"))
-    read = texts.select("doc_id", F.col("n_other").alias("n_items")).join(of_chunks, "doc_id", "left").join(of_errors, "doc_id", "left")
+    sizes = items.groupBy("doc_id").agg(F.count_if(F.coalesce("type", F.lit("text")) != "text").alias("n_items"))
+    read = sizes.join(of_chunks, "doc_id", "left").join(of_errors, "doc_id", "left")
     status = read.select("doc_id", F.lit("processed").alias("status"), none("string").alias("error"), F.lit(True).alias("multimodal_processed"), n("n_chunks").alias("n_chunks"), n("n_items").alias("n_items"), n("n_failed_items").alias("n_failed_items"), n("n_failed_chunks").alias("n_failed_chunks"))
     zero = F.lit(0).cast("long")
     gone = unread.groupBy("doc_id").agg(F.min("error").alias("error")).select("doc_id", F.lit("failed").alias("status"), "error", F.lit(False).alias("multimodal_processed"), *[zero.alias(c) for c in ("n_chunks", "n_items", "n_failed_items", "n_failed_chunks")])

@@ -9,8 +9,10 @@ from pyspark.sql.types import StringType
 
 from foliate.functions.ids import basename, suffix
 from foliate.schemas import CONTENT_LIST
-from foliate.sources.shared import durable
+from foliate.sources.shared import stored
 
+#: Names that may be broadcast.
+FEW = 1_000_000
 # Suffixes by kind.
 OFFICE = (".doc", ".docx", ".ppt", ".pptx", ".xls", ".xlsx")
 IMAGE = (".png", ".jpeg", ".jpg", ".bmp", ".tiff", ".tif", ".gif", ".webp")
@@ -103,32 +105,14 @@ def read_bundles(spark: SparkSession, path: str, base: str = "") -> tuple[DataFr
     """
     lines = spark.read.text(path).where("value <> ''").select(F.when(F.contains("value", F.lit("\t")), F.substring_index("value", "\t", 1)).alias("doc_id"), F.regexp_replace("value", r"^[^\t]*\t", "").alias("body"))
     whole = F.col("body").rlike(r"^\s*\[") & F.try_parse_json("body").isNotNull()
-    again = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id", F.lit(True).alias("_again"))
+    again = stored(lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id", F.lit(True).alias("_again")), "names")
+    again = F.broadcast(again) if again.count() <= FEW else again  # so that bodies are not shuffled
     read = lines.select("doc_id", F.when(whole, F.from_json("body", CONTENT_LIST)).alias("all")).join(again, "doc_id", "left")
     error = F.when(F.coalesce("doc_id", F.lit("")) == "", "no name").when(F.col("_again"), "a name twice").when(F.col("all").isNull(), "no content list").when(F.size("all") == 0, "no blocks")
-    read = durable(read.withColumn("error", error))
+    read = read.withColumn("error", error)
     return content_blocks(read.where("error IS NULL"), "doc_id", base), read.where("error IS NOT NULL").select("doc_id", "error").distinct()
 
 
-def flatten_nodes(nodes: DataFrame, root: str = "body") -> DataFrame:
-    """doc_id, node_id, path of the leaves below ``root`` in depth-first order.
-
-    ``nodes`` has doc_id, node_id, parent_id, child_idx. Each level is one join, written down; paths of padded child
-    numbers sort as a walk would. Levels end when no children are left. A circle below the root is an error: it has no leaf to end at.
-    """
-    below = nodes.select("doc_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("child"), "child_idx")
-    parents, most = below.select("doc_id", "node_id").distinct(), nodes.count()
-    at = nodes.where(F.col("node_id") == root).select("doc_id", "node_id", F.lit("").alias("path"))
-    out, level = at.where("false"), 0
-    while not at.isEmpty():
-        if level > most:
-            raise ValueError("the nodes hold a circle")
-        out = out.unionByName(at.join(parents, ["doc_id", "node_id"], "left_anti"))
-        step = F.concat("path", F.lpad(F.col("child_idx").cast("string"), 8, "0")).alias("path")
-        at, level = durable(at.join(below, ["doc_id", "node_id"]).select("doc_id", F.col("child").alias("node_id"), step)), level + 1
-    return out
-
-
 def ocr_blocks(results: DataFrame) -> DataFrame:
     """doc_id, block_idx, page_idx, text from OCR pages (lines: array of struct text, confidence); repeated lines stay."""
     each = results.select("doc_id", "page_idx", F.posexplode("lines").alias("i", "l")).where(F.trim("l.text") != "")

@@ -9,7 +9,7 @@ from foliate import catalog
 from foliate.functions import ids, text
 from foliate.operators import blocks, control, retrieve
 from foliate.plans import markdown, matrix
-from foliate.sources import files, ocr
+from foliate.sources import files, ocr, tree
 
 
 def one(spark, value, column, kind="string"):
@@ -176,16 +176,16 @@ def test_scan_folder(spark, tmp_path):
 
 def test_flatten_nodes(spark):
     nodes = spark.createDataFrame([(1, "body", None, 0), (1, "g1", "body", 0), (1, "t2", "body", 1), (1, "t1", "g1", 0), (1, "t3", "g1", 1)], "doc_id long, node_id string, parent_id string, child_idx int")
-    assert [r["node_id"] for r in files.flatten_nodes(nodes).orderBy("path").collect()] == ["t1", "t3", "t2"]
+    assert [r["node_id"] for r in tree.flatten_nodes(nodes).orderBy("path").collect()] == ["t1", "t3", "t2"]
 
 
 def test_flatten_deep_chains_and_circles(spark):
     chain = [(1, "body", None, 0)] + [(1, f"n{i}", f"n{i - 1}" if i else "body", 0) for i in range(41)]
     schema = "doc_id long, node_id string, parent_id string, child_idx int"
-    assert [r["node_id"] for r in files.flatten_nodes(spark.createDataFrame(chain, schema)).collect()] == ["n40"]
+    assert [r["node_id"] for r in tree.flatten_nodes(spark.createDataFrame(chain, schema)).collect()] == ["n40"]
     with pytest.raises(ValueError, match="circle"):
-        files.flatten_nodes(spark.createDataFrame([(1, "body", None, 0), (1, "a", "body", 0), (1, "b", "a", 0), (1, "a", "b", 0)], schema))
-    assert files.flatten_nodes(spark.createDataFrame([], schema)).count() == 0
+        tree.flatten_nodes(spark.createDataFrame([(1, "body", None, 0), (1, "a", "body", 0), (1, "b", "a", 0), (1, "a", "b", 0)], schema))
+    assert tree.flatten_nodes(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_repeated_edges_stay_and_inner_ones_count_once(spark):
