@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from foliate import fixtures as fx
 from foliate.fixtures import BLK, COUNTS, REPLY, ROUNDS, table
 from foliate.functions import ids, text
-from foliate.operators import batch, blocks, control, graph, insert, nearest, retrieve
+from foliate.operators import batch, blocks, control, graph, insert, nearest, retrieve, settings, tokens, walk
 from foliate.operators.store import KeyedStore
 from foliate.plans import markdown, matrix
-from foliate.sources import files, ocr
+from foliate.sources import files, ocr, tree
 from foliate.sources.shared import new_folder
 from foliate.streaming import machine, status
 
@@ -109,7 +109,7 @@ def text_chunking_overlap(spark, d):
 
 @query(f"WITH {BLK} SELECT doc_id, block_idx, doc_id % 5 + row_number() OVER (PARTITION BY doc_id ORDER BY block_idx) - 1 AS chunk_order_index FROM blk WHERE type <> 'text'")
 def chunk_order_index(spark, d):
-    out = blocks.order_index(fx.blocks(spark, d).where("type <> 'text'"), F.col("doc_id") % 5)
+    out = blocks.order_index(fx.blocks(spark, d).where("type <> 'text'").select("doc_id", "block_idx"), F.col("doc_id") % 5, True)
     return out.select("doc_id", "block_idx", F.col("chunk_order_index").cast("long").alias("chunk_order_index"))
 
 
@@ -555,7 +555,7 @@ def rule_translation(spark, d):
 @query("""SELECT user_id, done, total FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS done, count(*) OVER (PARTITION BY user_id) AS total FROM events)
     WHERE done % greatest(1, floor(total * 0.1::DOUBLE)::BIGINT) = 0 OR done = total""")
 def progress_marks(spark, d):
-    return control.progress_marks(table(spark, d, "events"), "user_id", "event_id")
+    return control.progress_marks(table(spark, d, "events"), "user_id")
 
 
 @query("SELECT l_suppkey AS node, count(*) AS n_edges, count(DISTINCT l_partkey) AS n_neighbours FROM lineitem WHERE l_suppkey % 50 = 0 GROUP BY ALL")
@@ -827,3 +827,79 @@ def json_repair(spark, d):
     raw = F.replace(F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % 6 + 1).cast("int")), F.lit("@"), F.col("event_type"))
     parsed = table(spark, d, "events").select("event_id", text.parse_json(F.concat(F.lit("Reply: "), raw)).alias("v"))
     return parsed.select("event_id", F.try_variant_get("v", "$.d", "string").alias("text"), F.try_variant_get("v", "$.n", "bigint").alias("n"))
+
+
+@query("""SELECT r AS doc_id, CASE WHEN o IS NOT NULL THEN 'o' || o WHEN c IS NOT NULL THEN 'c' || c WHEN n IS NOT NULL THEN 'n' || n ELSE 'body' END AS node_id, row_number() OVER (PARTITION BY r ORDER BY n, c, o) - 1 AS ord
+    FROM (SELECT r_regionkey::BIGINT AS r, n_nationkey AS n, c_custkey AS c, o_orderkey AS o FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey)""")
+def tree_leaves(spark, d):
+    """Regions as trees of nations, customers and orders: their leaves in depth-first order."""
+    t = lambda name: table(spark, d, name)
+    at = lambda prefix, key: F.concat(F.lit(prefix), F.col(key).cast("string"))
+    region = F.col("n_regionkey").cast("long").alias("doc_id")
+    nations = t("nation").select(region, at("n", "n_nationkey").alias("node_id"), F.lit("body").alias("parent_id"), F.col("n_nationkey").cast("long").alias("child_idx"), "n_nationkey")
+    customers = t("customer").join(F.broadcast(nations.select("doc_id", "n_nationkey")), F.col("c_nationkey") == F.col("n_nationkey")).select("doc_id", at("c", "c_custkey").alias("node_id"), at("n", "c_nationkey").alias("parent_id"), F.col("c_custkey").cast("long").alias("child_idx"), "c_custkey")
+    orders = t("orders").join(customers.select("doc_id", "c_custkey"), F.col("o_custkey") == F.col("c_custkey")).select("doc_id", at("o", "o_orderkey").alias("node_id"), at("c", "o_custkey").alias("parent_id"), F.col("o_orderkey").cast("long").alias("child_idx"))
+    roots = t("region").select(F.col("r_regionkey").cast("long").alias("doc_id"), F.lit("body").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).cast("long").alias("child_idx"))
+    nodes = roots.unionByName(nations.drop("n_nationkey")).unionByName(customers.drop("c_custkey")).unionByName(orders)
+    return tree.flatten_nodes(nodes).select("doc_id", "node_id", "ord")
+
+
+@query("""WITH e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), l AS (SELECT a AS node, b AS nxt FROM e UNION SELECT b, a FROM e), h0 AS (SELECT s_suppkey AS query_id, 's' || s_suppkey AS node FROM supplier WHERE s_suppkey % 50 = 0),
+    h1 AS (SELECT * FROM (SELECT DISTINCT query_id, nxt AS node FROM h0 JOIN l USING (node)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY node) <= 99), n AS (SELECT query_id, count(*) + 1 AS have FROM h1 GROUP BY 1),
+    h2 AS (SELECT query_id, node FROM (SELECT DISTINCT query_id, nxt AS node, have FROM h1 JOIN n USING (query_id) JOIN l USING (node)) WHERE (query_id, node) NOT IN (SELECT (query_id, node) FROM h0) AND (query_id, node) NOT IN (SELECT (query_id, node) FROM h1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY node) + have <= 100)
+    SELECT query_id, node, 0 AS hop FROM h0 UNION ALL SELECT query_id, node, 1 FROM h1 UNION ALL SELECT query_id, node, 2 FROM h2""")
+def neighbour_walk(spark, d):
+    """Suppliers and parts within two hops of a supplier, 100 at most."""
+    edges = table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("tgt"))
+    starts = table(spark, d, "supplier").where("s_suppkey % 50 = 0").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    return walk.neighbourhood(starts, edges, 2, 100)
+
+
+def _told(spark, d):
+    """Each document tells of its source, a node, and of its language, which the source belongs to; the batch is its id's parity."""
+    rows = table(spark, d, "documents").select("doc_id", "lang", "source", F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("said "), (F.col("n_chars") % 9).cast("string")).alias("description"))
+    nodes = rows.select("doc_id", F.col("source").alias("name"), F.col("lang").alias("type"), "description", "source_id")
+    return nodes, rows.select("doc_id", F.col("source").alias("src"), F.col("lang").alias("tgt"), F.lit("belongs_to").alias("keywords"), "description", F.lit(2.0).alias("weight"), "source_id")
+
+
+def _stored_parts(spark, d, which):
+    nodes, edges = _told(spark, d)
+    rows, make, schema = ((nodes, graph.node_parts, graph.NODE_PARTS), (edges, graph.edge_parts, graph.EDGE_PARTS))[which]
+    store = KeyedStore(spark, new_folder(spark, "graph"), "key", schema)
+    for b in (0, 1, 0):  # the first batch comes a second time
+        store.upsert(make(rows.where(F.col("doc_id") % 2 == b)))
+    return store.read()
+
+
+@query("""WITH t AS (SELECT source AS name, lang, count(*) AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL), k AS (SELECT name, arg_min(lang, (-n, lang)) AS type FROM t GROUP BY name)
+    SELECT source AS name, type, count(DISTINCT n_chars % 9) AS n_descriptions, count(*) AS n_sources FROM documents JOIN k ON name = source GROUP BY source, type""")
+def stored_graph_nodes(spark, d):
+    return graph.united_nodes(_stored_parts(spark, d, 0))
+
+
+@query("SELECT least(source, lang) AS src, greatest(source, lang) AS tgt, sum(2.0)::DOUBLE AS weight, count(*) AS n_sources FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL")
+def stored_graph_edges(spark, d):
+    return graph.united_edges(_stored_parts(spark, d, 1))
+
+
+@query("""SELECT p_partkey, '{"empty":{},"list":[],"model":{"keys":["' || n.n_name || '",{"deep":"' || p_brand || ' \\"q\\""}],"limit":' || p_partkey || ',"none":null,"on":true,"other":' || CASE WHEN p_partkey % 30 < 25 THEN '"' || e.n_name || '"' ELSE '"dflt"' END || '},"plain":null}' AS settings
+    FROM part JOIN nation n ON n.n_nationkey = p_partkey % 25 LEFT JOIN nation e ON e.n_nationkey = p_partkey % 30""")
+def nested_settings(spark, d):
+    """Settings three levels deep, whose variables are the nations' names."""
+    raw = F.concat(F.lit('{"plain": "${NONE}", "model": {"limit": '), F.col("p_partkey").cast("string"), F.lit(', "on": true, "none": null, "keys": ["${N'), (F.col("p_partkey") % 25).cast("string"), F.lit('}", {"deep": "'), "p_brand", F.lit(' \\"q\\""}], "other": "${N'), (F.col("p_partkey") % 30).cast("string"), F.lit(':dflt}"}, "empty": {}, "list": []}'))
+    env = table(spark, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_name").alias("value"))
+    return settings.substituted(table(spark, d, "part").select("p_partkey", raw.alias("settings")), env, "p_partkey")
+
+
+def _letters(texts):
+    """A stand-in tokenizer: runs of letters or digits, and every other visible character."""
+    import re
+
+    return [[m.span() for m in re.finditer(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]", t)] for t in texts]
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9[:space:]]') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, len(w), 90)) AS s FROM t)
+    SELECT doc_id, s // 90 AS chunk_idx, len(w[s + 1 : s + 100])::BIGINT AS n_tokens, md5(array_to_string(w[s + 1 : s + 100], '')) AS digest FROM s WHERE s = 0 OR s + 10 < len(w)""")
+def token_chunking(spark, d):
+    chunks = tokens.token_chunks(table(spark, d, "documents"), _letters, 100, 10)
+    return chunks.select("doc_id", "chunk_idx", "n_tokens", ids.digest(F.regexp_replace("text", r"\s+", "")).alias("digest"))

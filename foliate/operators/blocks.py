@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions.ids import block_signature, digest, prefixed
 from foliate.functions.text import fill_template, strip, title_case, truncate_context
+from foliate.operators.running import running
 
 
 def _joined(order: str, text: Column, sep: str) -> Column:
@@ -101,8 +102,10 @@ def chunk_text(type_: Column, text: Column, path: Column, caption: Column, footn
     return F.when(type_ == "image", image).when(type_ == "table", table).when(type_ == "equation", equation).otherwise(other)
 
 
-def order_index(blocks: DataFrame, base: Column) -> DataFrame:
-    """Blocks with their number among the document's, counted on from ``base``."""
+def order_index(blocks: DataFrame, base: Column, spread: bool = False) -> DataFrame:
+    """Blocks with their number among the document's, counted on from ``base``; ``spread``: by many tasks also within one document (``running``)."""
+    if spread:
+        return running(blocks, ["doc_id"], ["block_idx"], "_n").withColumn("chunk_order_index", F.col("_n") - 1 + base).drop("_n")
     return blocks.withColumn("chunk_order_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("block_idx")) - 1 + base)
 
 

@@ -173,9 +173,12 @@ def translated(rules: DataFrame, known: DataFrame, col: str) -> DataFrame:
     return rules.join(t, F.col(col) == F.col("_rule"), "left").withColumn("translation", F.coalesce("_t", F.col(col))).drop("_rule", "_t")
 
 
-def progress_marks(items: DataFrame, key: str, order: str, share: float = 0.1) -> DataFrame:
-    """The items of each key at which another ``share`` of them is done: their number, at least every one."""
-    w = Window.partitionBy(key)
-    numbered = items.withColumn("done", F.row_number().over(w.orderBy(order)).cast("long")).withColumn("total", F.count(F.lit(1)).over(w))
+def progress_marks(items: DataFrame, key: str, share: float = 0.1) -> DataFrame:
+    """key, done, total: at which numbers of items of each key another ``share`` of them is done, at least every one, and the last.
+
+    Which items come when plays no part, so the keys are counted and nothing is numbered.
+    """
+    counts = items.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
     step = F.greatest(F.lit(1), F.floor(F.col("total") * share)).cast("long")
-    return numbered.where((F.col("done") % step == 0) | (F.col("done") == F.col("total"))).select(key, "done", "total")
+    marks = F.array_distinct(F.concat(F.sequence(step, F.col("total"), step), F.array("total")))
+    return counts.select(key, F.explode(marks).alias("done"), "total")

@@ -69,3 +69,43 @@ def with_owner(found: DataFrame, owners: DataFrame, keys: list[str], owner: str
 def with_stored(found: DataFrame, stored: DataFrame) -> DataFrame:
     """doc_id, entity_names, n: the stored names of each document together with those that were found."""
     return entity_names(stored.select("doc_id", "entity").unionByName(found.select("doc_id", "entity")))
+
+
+#: The schemas of a stored graph: a node by name, an edge by both ends, the lesser first. Each part is what one source told.
+NODE_PARTS = "key string, name string, type string, description string, source_id string"
+EDGE_PARTS = "key string, src string, tgt string, keywords string, description string, weight double, source_id string"
+
+
+def node_parts(nodes: DataFrame) -> DataFrame:
+    """What each source told of each node (name, type, description, source_id), keyed by both; a source that comes again tells it anew."""
+    rows = nodes.where("name IS NOT NULL AND source_id IS NOT NULL")
+    return rows.select(F.md5(F.to_json(F.struct("name", "source_id"))).alias("key"), "name", "type", "description", "source_id")
+
+
+def edge_parts(edges: DataFrame) -> DataFrame:
+    """What each source told of each edge (src, tgt, keywords, description, weight, source_id); weights that one source gives an edge in one batch are summed."""
+    a, b = F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt")
+    rows = edges.where("src IS NOT NULL AND tgt IS NOT NULL AND source_id IS NOT NULL").select(a, b, "keywords", "description", "weight", "source_id")
+    told = rows.groupBy("src", "tgt", "source_id").agg(F.max("keywords").alias("keywords"), F.max("description").alias("description"), F.sum(F.coalesce("weight", F.lit(1.0))).alias("weight"))
+    return told.select(F.md5(F.to_json(F.struct("src", "tgt", "source_id"))).alias("key"), "src", "tgt", "keywords", "description", "weight", "source_id")
+
+
+def united_nodes(parts: DataFrame) -> DataFrame:
+    """name, type (the most frequent, then the least), n_descriptions, n_sources of stored node parts: sets are counted, ``united_texts`` has them as rows."""
+    kinds = parts.where("type IS NOT NULL").groupBy("name", "type").agg(F.count(F.lit(1)).alias("n"))
+    kind = kinds.groupBy("name").agg(F.min_by("type", F.struct((-F.col("n")).alias("n"), "type")).alias("type"))
+    sources = parts.groupBy("name").agg(F.count(F.lit(1)).alias("n_sources"))  # a part a source
+    texts = united_texts(parts, ["name"]).groupBy("name").agg(F.count(F.lit(1)).alias("n_descriptions"))
+    found = sources.join(kind, "name", "left").join(texts, "name", "left")
+    return found.select("name", "type", F.coalesce("n_descriptions", F.lit(0).cast("long")).alias("n_descriptions"), "n_sources")
+
+
+def united_edges(parts: DataFrame) -> DataFrame:
+    """src, tgt, weight (summed), n_sources of stored edge parts."""
+    return parts.groupBy("src", "tgt").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n_sources"))
+
+
+def united_texts(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, description, n_sources: the distinct descriptions of each node or edge and how many sources told each, a row each."""
+    told = parts.where(F.coalesce("description", F.lit("")) != "")
+    return told.groupBy(*keys, "description").agg(F.count(F.lit(1)).alias("n_sources"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliate.operators.running import running
+
 
 def flat(units: DataFrame, phases: DataFrame, cells: DataFrame) -> DataFrame:
     """plan_id, unit_id, phase_id, actions for every unit and phase of a plan; of repeated cells the first wins, missing ones are empty."""
@@ -71,20 +73,27 @@ def entities_and_events(tasks: DataFrame) -> DataFrame:
     return units.unionByName(events).unionByName(default)
 
 
+#: Numbers that one row of a join gives at a time.
+STRETCH = 100_000
+
+
 def repaired_ids(rows: DataFrame, id_col: str, order: str) -> DataFrame:
     """Repeated ids with the first free suffix _1, _2, … in order.
 
     A suffixed id that is taken by a row of that very name is skipped: free numbers come from the
-    numbers that other ids of the same stem use, by an anti join on (stem, number).
+    numbers that other ids of the same stem use, by an anti join on (stem, number). Ids that many rows share are numbered by many tasks (``running``).
     """
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(order)) - 1)
+    numbered = running(rows, [id_col], [order], "_n").withColumn("_n", F.col("_n") - 1)
     first, again = numbered.where("_n = 0"), numbered.where("_n > 0")
     counts = again.groupBy(id_col).agg(F.max("_n").alias("_most"))
     taken = rows.select(F.regexp_extract(id_col, r"^(.*)_(\d+)$", 1).alias("_stem"), F.expr(f"try_cast(regexp_extract({id_col}, '^(.*)_([0-9]+)$', 2) AS int)").alias("_k")).where("_stem <> '' AND _k IS NOT NULL").distinct()
     used = taken.groupBy("_stem").agg(F.count(F.lit(1)).alias("_used"))
-    room = counts.join(used, F.col(id_col) == F.col("_stem"), "left").select(F.col(id_col).alias("_id"), F.explode(F.sequence(F.lit(1), F.col("_most") + F.coalesce("_used", F.lit(0)).cast("int"))).alias("_k"))
+    room = counts.join(used, F.col(id_col) == F.col("_stem"), "left").select(F.col(id_col).alias("_id"), (F.col("_most") + F.coalesce("_used", F.lit(0))).cast("long").alias("_upto"))
+    # Numbers of one id come from many tasks as well: first where each stretch begins, then its numbers.
+    starts = room.select("_id", "_upto", F.explode(F.sequence(F.lit(1).cast("long"), "_upto", F.lit(STRETCH).cast("long"))).alias("_from")).repartition("_id", "_from")
+    room = starts.select("_id", F.explode(F.sequence("_from", F.least(F.col("_from") + STRETCH - 1, "_upto"))).alias("_k"))
     free = room.join(taken, (F.col("_id") == F.col("_stem")) & (room["_k"] == taken["_k"]), "left_anti")
-    free = free.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("_k"))).select("_id", F.col("_n").alias("_m"), "_k")
+    free = running(free, ["_id"], ["_k"], "_m").select("_id", "_m", "_k")
     fixed = again.join(free, (F.col(id_col) == F.col("_id")) & (F.col("_n") == F.col("_m"))).withColumn("new_id", F.concat(F.col(id_col), F.lit("_"), F.col("_k").cast("string")))
     return first.withColumn("new_id", F.col(id_col)).drop("_n").unionByName(fixed.drop("_n", "_id", "_m", "_k"))
 
