@@ -104,7 +104,7 @@ def read_bundles(spark: SparkSession, path: str, base: str = "") -> tuple[DataFr
     several lines share, what is no JSON array, and an array without blocks.
     """
     lines = spark.read.text(path).where("value <> ''").select(F.when(F.contains("value", F.lit("\t")), F.substring_index("value", "\t", 1)).alias("doc_id"), F.regexp_replace("value", r"^[^\t]*\t", "").alias("body"))
-    whole = F.col("body").rlike(r"^\s*\[") & F.try_parse_json("body").isNotNull()
+    whole = F.col("body").rlike(r"^\s*\[")  # what is cut or no JSON is null
     again = stored(lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id", F.lit(True).alias("_again")), "names")
     again = F.broadcast(again) if again.count() <= FEW else again  # so that bodies are not shuffled
     read = lines.select("doc_id", F.when(whole, F.from_json("body", CONTENT_LIST)).alias("all")).join(again, "doc_id", "left")
