@@ -217,13 +217,13 @@ def plan_risks(spark, d):
 @query(_CELLS + " SELECT plan_id, unit_id, phase_id, string_agg(action, '; ' ORDER BY k) AS actions FROM c GROUP BY ALL")
 def flat_matrix(spark, d):
     rows = _rows(spark, d)
-    cells = markdown.cells(rows).withColumn("ord", F.col("unit_ord") * 1000 + F.col("phase_ord"))
+    cells = markdown.cells(rows).withColumn("ord", F.struct("unit_ord", "phase_ord"))
     return matrix.flat(markdown.units(rows), markdown.phases(rows), cells).withColumn("actions", F.array_join("actions", "; "))
 
 
-@query(_CELLS + ", j AS (SELECT plan_id, unit_id, phase_id, string_agg(action, '; ' ORDER BY k) AS a FROM c GROUP BY ALL) SELECT plan_id, unit_id, max(a) FILTER (phase_id = 'Phase_1') AS Phase_1, max(a) FILTER (phase_id = 'Phase_2') AS Phase_2 FROM j GROUP BY ALL")
+@query(_CELLS + ", j AS (SELECT plan_id, unit_id, phase_id, string_agg(action, '; ' ORDER BY k) AS a FROM c GROUP BY ALL) SELECT plan_id, unit_id, " + ", ".join(f"max(a) FILTER (phase_id = 'Phase_{i}') AS Phase_{i}" for i in range(1, 6)) + " FROM j GROUP BY ALL")
 def flat_matrix_pivot(spark, d):
-    return matrix.pivot(_cells(spark, d), ["Phase_1", "Phase_2"])
+    return matrix.pivot(_cells(spark, d))
 
 
 @query(_UNITS + f", h AS (SELECT r_regionkey::BIGINT AS plan_id, count(DISTINCT o_orderpriority) AS k FROM counts GROUP BY 1) SELECT n.plan_id, count(*) AS n_units, max(k) AS n_phases, count(*) * max(k) AS n_cells, count(*) AS n_effects, count(*) AS n_decisions, count(*) AS n_risks, true AS is_valid FROM n JOIN h USING (plan_id) GROUP BY ALL")
@@ -231,7 +231,8 @@ def condensed_metrics(spark, d):
     plans = fx.plans(spark, d)
     parts, rows = markdown.sections(plans), _rows(spark, d)
     out = matrix.metrics(plans, units=markdown.units(rows), phases=markdown.phases(rows), cells=markdown.cells(rows), effects=markdown.effects(parts), decisions=markdown.decisions(parts), risks=markdown.risks(parts))
-    return out.withColumn("is_valid", matrix.valid(F.col("n_units"), F.col("n_phases"), F.lit("x")))
+    overview = markdown.find_section(parts, *markdown.SECTIONS["overview"])
+    return out.join(overview, "plan_id", "left").withColumn("is_valid", matrix.valid(F.col("n_units"), F.col("n_phases"), F.col("body"))).drop("body")
 
 
 @query(_CELLS + ", j AS (SELECT plan_id, unit_id, phase_id, n_nationkey, string_agg(action, '; ' ORDER BY k) AS a FROM c GROUP BY ALL) SELECT plan_id, phase_id, string_agg(unit_id || ': ' || a, chr(10) ORDER BY n_nationkey) AS units FROM j GROUP BY ALL")
@@ -418,11 +419,14 @@ def query_cache_key(spark, d):
     return table(spark, d, "documents").select("doc_id", key.alias("key"))
 
 
-@query(f"""WITH {BLK}, l AS (SELECT doc_id, block_idx AS line_idx, CASE WHEN block_idx % 3 = 0 THEN 'Image Path: /data/' || block_idx || '.png' ELSE text END AS line, block_idx % 3 = 0 AS p, block_idx % 3 = 0 AND block_idx % 2 = 0 AS ok FROM blk)
+@query(f"""WITH {BLK}, l AS (SELECT doc_id, block_idx AS line_idx, CASE WHEN block_idx % 3 = 0 THEN 'Image Path: /data/' || block_idx || '.' || ['jpg', 'jpeg', 'png', 'gif', 'bmp', 'webp', 'tiff', 'tif', 'svg'][(block_idx // 3 % 9 + 1)::INT] ELSE text END AS line, block_idx % 3 = 0 AND block_idx % 2 = 0 AND block_idx // 3 % 9 < 8 AS ok FROM blk)
     SELECT doc_id, line_idx, CASE WHEN ok THEN line || chr(10) || '[VLM_IMAGE_' || (sum(ok::INT) OVER (PARTITION BY doc_id ORDER BY line_idx))::BIGINT || ']' ELSE line END AS line FROM l""")
 def image_marker_rewrite(spark, d):
-    line = F.when(F.col("block_idx") % 3 == 0, F.concat(F.lit("Image Path: /data/"), F.col("block_idx").cast("string"), F.lit(".png"))).otherwise(F.col("text"))
-    lines = fx.blocks(spark, d).select("doc_id", F.col("block_idx").alias("line_idx"), line.alias("line"), F.when(F.col("block_idx") % 3 == 0, F.regexp_extract(line, r"Image Path:\s*([^\r\n]*?\.png)", 1)).alias("path"))
+    """Lines that name images of all suffixes, and one that is none."""
+    i = F.col("block_idx")
+    suffix = F.element_at(F.array(*map(F.lit, (*retrieve.IMAGES, "svg"))), (F.floor(i / 3) % 9 + 1).cast("int"))
+    line = F.when(i % 3 == 0, F.concat(F.lit("Image Path: /data/"), i.cast("string"), F.lit("."), suffix)).otherwise(F.col("text"))
+    lines = fx.blocks(spark, d).select("doc_id", i.alias("line_idx"), line.alias("line")).withColumn("path", retrieve.image_path(F.col("line")))
     return retrieve.image_marks(lines, retrieve.safe_path(F.col("path"), ("/data",)) & (F.col("line_idx") % 2 == 0)).drop("path")
 
 

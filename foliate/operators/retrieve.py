@@ -101,6 +101,11 @@ def blank_unsafe(path: Column, folders: tuple[str, ...]) -> Column:
     return F.when(safe_path(path, folders), path).otherwise(F.lit(""))
 
 
+def image_path(line: Column) -> Column:
+    """The path of a line that names an image, up to one of the suffixes; null where there is none."""
+    return F.nullif(F.regexp_extract(line, rf"Image Path:\s*([^\r\n]*?\.(?:{'|'.join(IMAGES)}))", 1), F.lit(""))
+
+
 def image_marks(prompts: DataFrame, ok: Column) -> DataFrame:
     """doc_id, line_idx, line: lines that name an image path, marked by the running number of the usable ones (column path)."""
     usable = F.col("path").isNotNull() & ok

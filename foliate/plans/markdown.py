@@ -31,7 +31,7 @@ def accepted(md: Column) -> Column:
 
 def sections(plans: DataFrame) -> DataFrame:
     """plan_id, ord, title, body: what stands before the first heading is ``header``; a later section of the same title overwrites the body."""
-    marked = F.split(F.regexp_replace(F.concat(F.lit("\n"), F.col("md")), r"\n##[ \t]+([^\n]+)", "\x01$1"), "\x01")
+    marked = F.split(F.concat(F.lit("\n"), F.col("md")), r"\n##[ \t]+(?=[^\n])")
     each = plans.select("plan_id", F.posexplode(marked).alias("ord", "part"))
     cut = F.split("part", "\n", 2)
     title = F.when(F.col("ord") == 0, F.lit("header")).otherwise(strip(cut[0]))
@@ -64,29 +64,56 @@ def _lines(x: Column) -> Column:
     return F.regexp_replace(x, "<(?:br|BR)>", "\n")
 
 
+# Fixed values of the format: a header cell is the word, a number, a colon and a name, then notes between marks; a note with an
+# arrow or a time (H+0) is the trigger, another that is no English name the objective. A unit cell is a name with a code in brackets, then a role between *( and )*.
+PHASE, TIME, ARROWS, ENGLISH = "阶段", r"H[+-]", ("→", "->"), r"^[A-Za-z\s&/]+$"
+OPEN, CLOSE, EITHER = ("(", "（"), (")", "）"), "*"
+
+
+def _noted(cell: Column) -> Column:
+    """What stands between marks, in order: a bracket opens, a bracket closes, a star does what is due; text outside is passed over."""
+    tokens = F.regexp_extract_all(cell, F.lit(r"[*()（）]|[^*()（）]+"), F.lit(0))
+    start = F.struct(F.lit(False).alias("open"), F.lit("").alias("text"), F.array().cast("array<string>").alias("found"))
+
+    def step(s: Column, t: Column) -> Column:
+        ends = s["open"] & (s["text"] != "") & t.isin(*CLOSE, EITHER)
+        opens = ~ends & t.isin(*OPEN, EITHER)
+        mark = t.isin(*OPEN, *CLOSE, EITHER)
+        open_ = F.when(ends, False).when(opens, True).otherwise(s["open"] & ~(mark & ~opens))
+        text = F.when(mark, F.lit("")).when(s["open"], t).otherwise(F.lit(""))
+        found = F.when(ends, F.concat(s["found"], F.array(strip(s["text"])))).otherwise(s["found"])
+        return F.struct(open_.alias("open"), text.alias("text"), found.alias("found"))
+
+    return F.aggregate(tokens, start, step, lambda s: s["found"])
+
+
 def phases(rows: DataFrame) -> DataFrame:
-    """plan_id, phase_id, ord, name, trigger, objective of the matrix header."""
-    cells = rows.where("row_idx = 0").select("plan_id", F.posexplode(F.slice("cells", 2, 1 << 20)).alias("i", "cell"))
-    cell = _lines(F.col("cell"))
-    name = F.regexp_extract(cell, r"阶段\s*\d+\s*[:：]\s*(.+?)(?:\s*\(|$|\n|\*)", 1)
-    notes = F.transform(F.regexp_extract_all(cell, F.lit(r"[*（(]\s*([^*()）]+?)\s*[*）)]"), F.lit(1)), strip)
-    arrow = lambda x: F.contains(x, F.lit("→")) | F.contains(x, F.lit("->"))
-    timed = lambda x: x.rlike(r"H[+-]")
-    triggers = F.filter("notes", lambda x: arrow(x) | timed(x))
-    goals = F.filter("notes", lambda x: (x != "") & ~arrow(x) & ~timed(x) & ~x.rlike(r"^[A-Za-z\s&/]+$"))
-    out = cells.select("plan_id", F.col("i").alias("ord"), F.coalesce(F.nullif(strip(name), F.lit("")), strip(F.element_at(F.split(cell, "\n"), 1))).alias("name"), notes.alias("notes"))
+    """plan_id, phase_id, ord, name, trigger, objective of the matrix header: the last trigger and the first objective count."""
+    cells = rows.where("row_idx = 0").select("plan_id", F.posexplode(F.slice("cells", 2, 1 << 20)).alias("ord", "cell"))
+    cells = cells.withColumn("cell", _lines(F.col("cell")))
+    behind = F.split(F.get(F.split("cell", PHASE, 2), F.lit(1)), "[:：]", 2)
+    numbered = strip(behind[0]).rlike(r"^\d+$")
+    name = F.when(numbered, strip(F.get(F.split(F.ltrim(F.get(behind, F.lit(1))), r"[(*\n]", 2), F.lit(0))))
+    first_line = strip(F.get(F.split("cell", "\n", 2), F.lit(0)))
+    is_trigger = lambda x: F.exists(F.array(*map(F.lit, ARROWS)), lambda a: F.contains(x, a)) | x.rlike(TIME)
+    triggers = F.filter("notes", is_trigger)
+    goals = F.filter("notes", lambda x: (x != "") & ~is_trigger(x) & ~x.rlike(ENGLISH))
+    out = cells.select("plan_id", "ord", F.coalesce(F.nullif(name, F.lit("")), first_line).alias("name"), _noted(F.col("cell")).alias("notes"))
     return out.select("plan_id", F.concat(F.lit("Phase_"), (F.col("ord") + 1).cast("string")).alias("phase_id"), "ord", "name", F.coalesce(F.try_element_at(triggers, F.lit(-1)), F.lit("")).alias("trigger"), F.coalesce(F.get(goals, F.lit(0)), F.lit("")).alias("objective"))
 
 
 def units(rows: DataFrame) -> DataFrame:
     """plan_id, row_idx, unit_id, ord, name, role of the matrix rows; blank unit cells are skipped and not counted."""
-    cell = strip(_lines(F.element_at("cells", 1)))
-    kept = rows.where("row_idx > 0").select("plan_id", "row_idx", cell.alias("cell")).where("cell <> ''")
-    name = strip(F.regexp_replace(strip(F.element_at(F.split("cell", "\n"), 1)), r"\s*\*\(.+?\)\*\s*$", ""))
-    code = F.regexp_extract(name, r"[（(]\s*([A-Za-z0-9\-/]+)\s*[）)]", 1)
+    kept = rows.where("row_idx > 0").select("plan_id", "row_idx", strip(_lines(F.element_at("cells", 1))).alias("cell")).where("cell <> ''")
+    line = strip(F.get(F.split("cell", "\n", 2), F.lit(0)))
+    name = F.when(F.endswith(line, F.lit(")*")) & F.contains(line, F.lit("*(")), strip(F.substring_index(line, "*(", 1))).otherwise(line)
+    starred = F.get(F.split("cell", r"\*\(", 2), F.lit(1))
+    role = F.when(F.contains(starred, F.lit(")*")), strip(F.substring_index(starred, ")*", 1)))
+    bracketed = F.transform(F.slice(F.split(F.translate("name", "（）", "()"), r"\("), 2, 1 << 20), lambda x: F.when(F.contains(x, F.lit(")")), strip(F.substring_index(x, ")", 1))))
+    code = F.translate(F.get(F.filter(bracketed, lambda x: x.rlike(r"^[A-Za-z0-9/-]+$")), F.lit(0)), "/-", "__")
     ord_ = F.row_number().over(Window.partitionBy("plan_id").orderBy("row_idx"))
-    out = kept.select("plan_id", "row_idx", ord_.alias("n"), name.alias("name"), strip(F.regexp_extract("cell", r"\*\(\s*(.+?)\s*\)\*", 1)).alias("role"), F.translate(code, "/-", "__").alias("code"))
-    return out.select("plan_id", "row_idx", F.when(F.col("code") != "", F.col("code")).otherwise(F.concat(F.lit("Unit_"), F.col("n").cast("string"))).alias("unit_id"), (F.col("n") - 1).alias("ord"), "name", "role")
+    out = kept.select("plan_id", "row_idx", ord_.alias("n"), name.alias("name"), F.coalesce(role, F.lit("")).alias("role"))
+    return out.select("plan_id", "row_idx", F.coalesce(code, F.concat(F.lit("Unit_"), F.col("n").cast("string"))).alias("unit_id"), (F.col("n") - 1).alias("ord"), "name", "role")
 
 
 def cells(rows: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ def slices(cells: DataFrame, by: str, other: str) -> DataFrame:
     return last.groupBy("plan_id", by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(other, "actions")))).alias("actions"))
 
 
-def pivot(cells: DataFrame, phases: list[str]) -> DataFrame:
-    """One row a unit with a column a phase, the actions joined."""
+def pivot(cells: DataFrame, phases: list[str] | None = None) -> DataFrame:
+    """One row a unit with a column a phase (all there are, if none are named), the actions joined."""
     return cells.groupBy("plan_id", "unit_id").pivot("phase_id", phases).agg(F.first(F.array_join("actions", "; ")))
 
 

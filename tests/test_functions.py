@@ -276,3 +276,26 @@ def test_vision_or_plain(spark):
     say = lambda word: lambda rows: rows.withColumn("answer", F.lit(word))
     got = {tuple(r) for r in retrieve.vision_or_plain(prompts, say("v"), say("p")).collect()}
     assert got == {(1, "vision", "v"), (2, "plain", "p"), (3, "plain", "p")}
+
+
+def test_json_sink_reads_back(spark, tmp_path):
+    rows = [(1, "a\nb \"q\" é", None, ["x", None]), (2, None, 2.5, []), (3, "", 0.0, None)]
+    df = spark.createDataFrame(rows, "id int, t string, n double, l array<string>")
+    files.write_json(df, f"{tmp_path}/j")
+    lines = [json.loads(line) for p in tmp_path.glob("j/part-*") for line in p.read_text().splitlines()]
+    assert sorted((r["id"], r["t"], r["n"], r["l"]) for r in lines) == rows
+    assert sorted(map(tuple, spark.read.schema(df.schema).json(f"{tmp_path}/j").collect())) == rows
+
+
+def test_image_paths_of_all_suffixes(spark):
+    read = lambda v: one(spark, v, retrieve.image_path)
+    for suffix in retrieve.IMAGES:
+        assert read(f"see Image Path:  /d/a b.{suffix} there") == f"/d/a b.{suffix}"
+    assert read("Image Path: /d/a.svg") is None and read("no path.png") is None and read("") is None
+
+
+def test_cells_of_odd_form(spark):
+    rows = spark.createDataFrame([(1, 0, ["单元", "**阶段 2 ： Name （x）** (A -> B)*(goal 目标)*", "plain *(H-5)*", "阶段x: y", ""]), (1, 1, ["Team（A/1） *(role (sub))*<br>more"]), (1, 2, ["  "]), (1, 3, ["Bare"])], "plan_id long, row_idx int, cells array<string>")
+    got = [tuple(r) for r in markdown.phases(rows).orderBy("ord").select("name", "trigger", "objective").collect()]
+    assert got == [("Name （x）", "A -> B", "goal 目标"), ("plain *(H-5)*", "H-5", ""), ("阶段x: y", "", ""), ("", "", "")]
+    assert [tuple(r) for r in markdown.units(rows).orderBy("ord").select("unit_id", "name", "role").collect()] == [("A_1", "Team（A/1）", "role (sub)"), ("Unit_2", "Bare", "")]
