@@ -20,6 +20,7 @@ stray tags are read as browsers do, roughly; repeated rows give the same text; a
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -34,6 +35,10 @@ RAW = frozenset("script style textarea title noscript iframe template xmp noembe
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CUT_ELEMENTS = frozenset("head nav footer aside button select dialog menu search canvas object audio video fieldset label".split()) | RAW
+#: Elements that an article may use for text of its own.
+OWN_ELEMENTS = frozenset("fieldset label".split())
+#: Words that go with a part's name: inside an article a name cuts only if all its words are names of parts or such words (related-posts, but not share-price).
+BESIDE = frozenset("a all and area article articles bar block body bottom box button buttons by card cards container content count for group head icon icons inner item items left link links list lists main more new on outer page panel post posts right row section side site stories story text the title to top user wrap wrapper".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 CUT_NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs byline
@@ -70,6 +75,8 @@ LENGTH_STEP, LENGTH_MOST = 100, 3
 #: Link share above which a list or box inside the article is cut, and below which a sibling reads like text.
 LINKS_CUT, LINKS_TEXT = 0.5, 0.25
 SIBLING_SHARE = 0.2
+#: Share of the best article's text that another article of the page has at least, if it is to be joined.
+ARTICLE_SHARE = 0.5
 #: How sure a cut is: not cut, by a name or form, by a name of comments or adverts, by the element itself.
 STAYS, NAMED, FIRMLY, SURE = range(4)
 
@@ -79,9 +86,9 @@ _NAME = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _cut(tag: str, attributes: str) -> int:
-    """How sure it is that an element is no part of an article, by its own tag and attributes."""
-    if tag in CUT_ELEMENTS:
+def _cut(tag: str, attributes: str, within: bool = False) -> int:
+    """How sure it is that an element is no part of an article, by its own tag and attributes; ``within`` an article element names have to be plainer."""
+    if tag in CUT_ELEMENTS and not (within and tag in OWN_ELEMENTS):
         return SURE
     sign = NAMED if tag == "form" else STAYS
     if not attributes or attributes.isspace():
@@ -98,6 +105,8 @@ def _cut(tag: str, attributes: str) -> int:
             for token in value.split():
                 parts = {x.lower() for x in _NAME.findall(token)}
                 cuts = parts & (FIRM_CUTS if firm or tag in HEADINGS else CUT_NAMES)
+                if within and not all(x in CUT_NAMES or x in BESIDE or x.isdigit() for x in parts):
+                    continue
                 if cuts and not parts & STATES and not (cuts <= HEAD_NAMES and (tag == "header" or parts & OWN_NAMES)):
                     sign = max(sign, FIRMLY if cuts & FIRM_CUTS else NAMED)
     return sign
@@ -109,6 +118,7 @@ class Tree:
     def __init__(self, html: str) -> None:
         self.tag, self.parent, self.end = ["#root"], [0], [0]
         self.cut, self.sign, self.link, self.block = [False], [STAYS], [False], [0]
+        self.within, self.open = [False], Counter()
         self.texts: list[tuple[int, str]] = []
         self._read(html)
 
@@ -119,7 +129,9 @@ class Tree:
         self.tag.append(tag)
         self.parent.append(up)
         self.end.append(node + 1)
-        sign = SURE if header else _cut(tag, attributes)
+        sign = SURE if header else _cut(tag, attributes, self.within[up])
+        self.within.append(self.within[up] or tag == "article")
+        self.open[tag] += 1
         self.cut.append(self.cut[up] or sign == SURE)
         self.sign.append(sign)
         self.link.append(self.link[up] or tag == "a")
@@ -130,6 +142,7 @@ class Tree:
         """Close the open elements from ``depth`` on."""
         for node in stack[depth:]:
             self.end[node] = len(self.tag)
+            self.open[self.tag[node]] -= 1
             if self.tag[node] in BLOCKS:
                 self.texts.append((self.parent[node], " "))
         del stack[depth:]
@@ -191,6 +204,8 @@ class Tree:
             self.texts.append((node, unescape(text) if "&" in text else text))
 
     def _end_tag(self, stack: list[int], tag: str) -> None:
+        if self.open[tag] <= 0:  # a stray one, whatever is open
+            return
         inline = tag not in BLOCKS
         for depth in range(len(stack) - 1, 0, -1):
             name = self.tag[stack[depth]]
@@ -239,8 +254,13 @@ class Tree:
         chosen = [(top, self.end[top])] if top else [(0, n)]
         if top and self.tag[top] not in ("article", "main", "body", "html"):
             chosen = [(k, self.end[k]) for k in self._siblings(top, n) if k == top or self._joins(k, score, total, density, max(1.0, SIBLING_SHARE * score[top]))]
+        if top and self.tag[top] == "article":  # further articles of the page that are no teasers
+            outer = [k for k in range(1, n) if self.tag[k] == "article" and not self.within[self.parent[k]] and not self.cut[k]]
+            chosen += [(k, self.end[k]) for k in outer if not k <= top < self.end[k] and total[k] >= ARTICLE_SHARE * total[top] and density[k] < LINKS_TEXT]
         drop = []
         for a, b in chosen:
+            if self.tag[a] == "article":  # lists and boxes of links that an article holds are its own
+                continue
             for k in range(a + 1, b):
                 if total[k] and density[k] > LINKS_CUT and self.tag[k] in ("ul", "ol", "dl", "div", "section", "table") and total[k] < 0.5 * total[a]:
                     drop.append((k, self.end[k]))

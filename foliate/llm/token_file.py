@@ -234,9 +234,12 @@ def token_at(spark: SparkSession, folder: str, doc_id, position: int) -> int | N
     """
     files = spark.read.parquet(folder)
     with_it = files.where((F.col("first_id") <= F.lit(doc_id)) & (F.col("last_id") >= F.lit(doc_id)))
-    inside = F.transform("doc_ids", lambda x, i: F.struct(x.alias("id"), F.get("lengths", i).alias("n"), F.aggregate(F.slice("lengths", 1, i), F.lit(0).cast("long"), lambda a, b: a + b).alias("at")))
-    found = F.get(F.filter(inside, lambda x: (x["id"] == F.lit(doc_id)) & (x["n"] > position)), F.lit(0))
-    row = with_it.select("part", "seq", "levels", (found["at"] + position).alias("place")).where("place IS NOT NULL").orderBy("part", "seq").limit(1)
+    # One pass over the segment's documents: where each begins, and the place in the first that is meant.
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast("long").alias("place"))
+    meant = lambda s, x: F.when((x["doc_ids"] == F.lit(doc_id)) & (x["lengths"] > position), s["at"] + F.lit(position).cast("long"))
+    step = lambda s, x: F.struct((s["at"] + x["lengths"]).alias("at"), F.coalesce(s["place"], meant(s, x)).alias("place"))
+    place = F.aggregate(F.arrays_zip("doc_ids", "lengths"), start, step, lambda s: s["place"])
+    row = with_it.select("part", "seq", "levels", place.alias("place")).where("place IS NOT NULL").orderBy("part", "seq").limit(1)
 
     def run(batches):
         for batch in batches:

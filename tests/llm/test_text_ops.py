@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 from html import unescape
@@ -483,3 +484,11 @@ def test_gate_stops_nothing_that_is_confirmed(spark, model):
     frame = spark.createDataFrame([(t,) for t in cut], "text string")
     for r in license_scan.classify(frame, model).collect():
         assert not r["confirmed"] or any(g in r["text"].lower().replace("licenc", "licens") for g in gate)
+
+
+def test_one_token_of_a_segment_of_many_empty_texts(spark, tmp_path):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text")).coalesce(1)
+    token_file.write_token_ids(docs, f"{tmp_path}/t")
+    began = time.time()
+    assert token_file.token_at(spark, f"{tmp_path}/t", 19_999, 0) == 0 and token_file.token_at(spark, f"{tmp_path}/t", 5, 1) is None
+    assert time.time() - began < 15
