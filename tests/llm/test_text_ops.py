@@ -492,3 +492,13 @@ def test_one_token_of_a_segment_of_many_empty_texts(spark, tmp_path):
     began = time.time()
     assert token_file.token_at(spark, f"{tmp_path}/t", 19_999, 0) == 0 and token_file.token_at(spark, f"{tmp_path}/t", 5, 1) is None
     assert time.time() - began < 15
+
+
+def test_network_is_the_same_for_any_order_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(quality_cnn, "STEPS", 4)
+    monkeypatch.setattr(quality_cnn, "EPOCHS", 1)
+    rows = [(i % 12, prose(i, 40)) for i in range(48)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    fit = lambda r, n: quality_cnn.fit(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels, sample=5).p
+    a, b = fit(rows, 1), fit(rows[::-1], 5)
+    assert all(np.array_equal(a[k], b[k]) for k in a)
