@@ -907,3 +907,40 @@ def _letters(texts):
 def token_chunking(spark, d):
     chunks = tokens.token_chunks(table(spark, d, "documents"), _letters, 100, 10)
     return chunks.select("doc_id", "chunk_idx", "n_tokens", ids.digest(F.regexp_replace("text", r"\s+", "")).alias("digest"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'é' || lang END AS text FROM documents")
+def decoded_text(spark, d):
+    """Bytes in UTF-8, and in Latin-1 where they are no UTF-8."""
+    content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("E9")), F.encode("lang", "UTF-8")))
+    return table(spark, d, "documents").select("doc_id", files.decode_text(content).alias("text"))
+
+
+@query("SELECT doc_id, '<b>' || source || '</b> and <code>' || lang || '</code> &lt;<i>' || doc_id || '</i>&gt; <a href=\"u\">t</a>' AS html FROM documents")
+def inline_markdown(spark, d):
+    line = F.concat(F.lit("**"), "source", F.lit("** and `"), "lang", F.lit("` <*"), F.col("doc_id").cast("string"), F.lit("*> [t](u)"))
+    return table(spark, d, "documents").select("doc_id", text.inline_markdown(line).alias("html"))
+
+
+@query("""WITH d AS (SELECT lang || '/' || source AS key, doc_id, n_chars FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL), a AS (SELECT key, doc_id % 2 AS b, arg_max(n_chars, doc_id) AS n_chars, max(doc_id) AS doc_id FROM d GROUP BY ALL)
+    SELECT key, arg_max(doc_id, b) AS doc_id, arg_max(n_chars, b) AS n_chars FROM a GROUP BY key""")
+def keyed_overwrite(spark, d):
+    """Rows of odd ids over those of even ones, by language and source."""
+    rows = table(spark, d, "documents").where("lang IS NOT NULL AND source IS NOT NULL").select(F.concat_ws("/", "lang", "source").alias("key"), "doc_id", "n_chars")
+    return control.upsert(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "key", "doc_id")
+
+
+@query("""WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN source WHEN 2 THEN lang || chr(10) || source ELSE text END AS t FROM documents), p AS (SELECT *, left(t, 300) AS cut FROM c),
+    q AS (SELECT *, length(cut) AS n, CASE WHEN contains(cut, '.') THEN length(cut) - instr(reverse(cut), '.') ELSE -1 END AS dot, CASE WHEN contains(cut, chr(10)) THEN length(cut) - instr(reverse(cut), chr(10)) ELSE -1 END AS nl FROM p)
+    SELECT doc_id, coalesce(CASE WHEN length(t) <= 300 THEN t WHEN dot > 0.8 * n THEN left(cut, dot + 1) WHEN nl > 0.8 * n THEN left(cut, nl) ELSE cut || '...' END, '') AS context FROM q""")
+def context_from_any(spark, d):
+    """Contexts from maps with a content, with a text, with other keys, and from plain texts."""
+    kind = F.col("doc_id") % 4
+    as_map = F.when(kind == 0, F.create_map(F.lit("content"), "text")).when(kind == 1, F.create_map(F.lit("text"), "source", F.lit("z"), "lang")).when(kind == 2, F.create_map(F.lit("b"), "source", F.lit("a"), "lang"))
+    return table(spark, d, "documents").select("doc_id", text.source_context(as_map, F.col("text"), 300).alias("context"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN '- ' || event_type WHEN 2 THEN '- ' || event_type || chr(10) || '- u' || user_id ELSE '- ' || event_type || chr(10) || '- u' || user_id || chr(10) || '- third' END AS issues FROM events")
+def first_three_issues(spark, d):
+    named = F.slice(F.array("event_type", F.concat(F.lit("u"), F.col("user_id").cast("string")), F.lit("third"), F.lit("fourth")), F.lit(1), (F.col("event_id") % 5).cast("int"))
+    return table(spark, d, "events").select("event_id", text.first_issues(named).alias("issues"))
