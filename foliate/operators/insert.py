@@ -65,7 +65,8 @@ def insert(items: DataFrame, unread: DataFrame, slots: Slots, entity: Column, si
     chunks that fail twice are errors, and it is processed without them.
     """
     texts, others = b.separate(items)
-    cut = stored(b.overlapping_chunks(texts.select("doc_id", "text"), size, overlap), "chunks")
+    texts = stored(texts.select("doc_id", "text", "n_other"), "texts")  # so that files are read twice in all, for texts and for other blocks
+    cut = b.overlapping_chunks(texts.select("doc_id", "text"), size, overlap)
     body = b.chunk_text(*map(F.col, ("type", "text", "path", "caption", "footnote", "format", "description")))
     described, undescribed = attempt(others, ["doc_id", "block_idx"], slots.describe, slots.describe_one, ["type"], body)
     counts = cut.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
@@ -91,8 +92,7 @@ def insert(items: DataFrame, unread: DataFrame, slots: Slots, entity: Column, si
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     of_chunks = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
     of_errors = errors.groupBy("doc_id").agg(F.count_if(F.col("stage") == "describe").alias("n_failed_items"), F.count_if(F.col("stage") == "extract").alias("n_failed_chunks"))
-    sizes = items.groupBy("doc_id").agg(F.count_if(F.coalesce("type", F.lit("text")) != "text").alias("n_items"))
-    read = sizes.join(of_chunks, "doc_id", "left").join(of_errors, "doc_id", "left")
+    read = texts.select("doc_id", F.col("n_other").alias("n_items")).join(of_chunks, "doc_id", "left").join(of_errors, "doc_id", "left")
     status = read.select("doc_id", F.lit("processed").alias("status"), none("string").alias("error"), F.lit(True).alias("multimodal_processed"), n("n_chunks").alias("n_chunks"), n("n_items").alias("n_items"), n("n_failed_items").alias("n_failed_items"), n("n_failed_chunks").alias("n_failed_chunks"))
     zero = F.lit(0).cast("long")
     gone = unread.groupBy("doc_id").agg(F.min("error").alias("error")).select("doc_id", F.lit("failed").alias("status"), "error", F.lit(False).alias("multimodal_processed"), *[zero.alias(c) for c in ("n_chunks", "n_items", "n_failed_items", "n_failed_chunks")])
