@@ -814,7 +814,7 @@ def _slots():
 def files_to_statuses(spark, d):
     """Content lists are written as files, read, processed and stored; the statuses come from the store."""
     folder = new_folder(spark, "bundles")
-    _bundles(spark, d).write.option("compression", "gzip").text(f"{folder}/in")
+    _bundles(spark, d).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(f"{folder}/in")
     parsed, unread = files.read_bundles(spark, f"{folder}/in")
     out = insert.insert(insert.items_of(parsed), unread, _slots(), F.concat_ws(" ", "type", "doc_id", "block_idx"), 200, 20)
     chunks, states = KeyedStore(spark, f"{folder}/chunks", "chunk_id", insert.CHUNKS), KeyedStore(spark, f"{folder}/status", "doc_id", insert.STATUS)
