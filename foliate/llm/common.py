@@ -23,9 +23,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder: computed once, and it survives lost executors."""
+    """``df`` written once to the shared checkpoint folder: computed once, and it survives lost executors.
+
+    The shuffle files of the plan are deleted as soon as the checkpoint is there, as nothing reads them again.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, so that no other plan loses its files
+    finally:
+        conf.set(name, before)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -211,7 +211,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = split_join(sets.select("node", "fp"), heads, ["fp"], "node").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
     known = durable(near.unionByName(same))
     found = similar_links(sets.select("node", "keys"), sets_of, known, bucket)
-    named = _named(sets.select("node", "least"), "node", components(found.unionByName(known)))
+    named = _named(sets.select("node", "least"), "node", components(found))
     return split_join(rows.select("doc_id", "hash", "node"), named, ["node"], "doc_id", "left").select("doc_id", "hash", "root", "component_id")
 
 

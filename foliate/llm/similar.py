@@ -7,8 +7,8 @@ similarity alone: 1 - (1 - s^ROWS)^BANDS, 0.998 at 0.8.
 First every bucket links to its least member; then the members of each bucket that are still in different
 components are compared with each other. Members of buckets over ``BUCKET`` go to an exact way instead (``crowd_links``),
 which finds each link among them whatever the keys are: two sets that are similar to 0.8 share a
-shingle among the rarest fifth of either, so only texts with a rare shingle in common are compared, again
-first with the least of them, then, in blocks, the members outside a shingle's largest component with all. Nothing is capped.
+shingle among the rarest fifth of either, so only texts with a rare shingle in common are compared, first
+with some of them (``CENTRES``), then, in blocks, the members outside a shingle's largest component with all. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from foliate.llm.components import components
 SIMILAR = 0.8
 BANDS, ROWS = 20, 6
 BUCKET = 32
+#: So many members of a shingle are compared with all others first.
+CENTRES = 4
 _DRAW = np.random.default_rng(42)
 _XOR = _DRAW.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None]
 _ODD = _DRAW.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None] << np.uint64(1) | np.uint64(1)
@@ -71,25 +73,48 @@ def _counted(members: DataFrame, key: list[str]) -> DataFrame:
     return split_join(members, sizes, key, "node")
 
 
-def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` with the root of their node's component by the links."""
-    roots = components(links).withColumnRenamed("node", "_node")
+def _rooted(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """``members`` with the root of their node's component, by links (u, v) from each node to its root."""
+    roots = stars.select(F.col("u").alias("_node"), F.col("v").alias("root"))
     return members.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node")
 
 
+def _stars(links: DataFrame) -> DataFrame:
+    """u, v: links from each node to the root of its component; they stand for all ``links``, and more can be added."""
+    return durable(components(links).where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
+
+
+def _reaches(size: Column, pos: Column, other: Column, other_pos: Column | int = 0, least: float = SIMILAR) -> Column:
+    """Whether sets of these sizes can be similar if the first shingle that they share is at these positions, from 0, rarest first.
+
+    What follows that shingle bounds what they share; for a similar pair it holds at its first shared shingle.
+    """
+    shared = F.least(size - pos, other - other_pos)
+    return shared * (1 + least) >= (size + other) * least - 1e-6
+
+
 def crowd_links(sets: DataFrame, known: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """u, v: links that, with the ``known`` ones, connect exactly the similar sets (node, shingles)."""
     tokens = durable(sets.select("node", F.explode("shingles").alias("shingle")))
     counts = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
     ordered = split_join(tokens, counts, ["shingle"], "node").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("all"))
     n = F.size("all")
-    rare = F.slice("all", F.lit(1), (n - F.ceil(F.lit(SIMILAR) * n) + 1).cast("int"))
-    members = durable(ordered.select("node", n.alias("size"), F.posexplode(rare).alias("pos", "s")).select("node", "size", "pos", "s.shingle"))
-    stars = members.groupBy("shingle").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = split_join(members.select("node", "shingle"), stars, ["shingle"], "node").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    first = durable(verified(pairs, sets))
-    rest = _rooted(members, first.unionByName(known))
-    return first.unionByName(verified(_pairs_across(durable(rest), bucket, SIMILAR), sets))
+    # A shingle that no other text holds makes no pair, but keeps its position.
+    rare = F.filter(F.transform(F.slice("all", F.lit(1), (n - F.ceil(F.lit(SIMILAR) * n) + 1).cast("int")), lambda x, i: F.struct(i.alias("pos"), x["shingle"].alias("shingle"), x["held"].alias("held"))), lambda x: x["held"] > 1)
+    members = durable(ordered.select("node", n.alias("size"), F.explode(rare).alias("s")).select("node", "size", "s.pos", "s.shingle"))
+    # The same texts are the centres of most shingles that they hold, as one hash chooses them everywhere.
+    centre = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("draw"), "node", "size", "pos"))
+    centres = members.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("smallest"), F.array_distinct(F.array(*[centre(k) for k in range(CENTRES)])).alias("centres")).where("n > 1").drop("n")
+    members = split_join(members, centres, ["shingle"], "node")
+    # Members that no size there is in their shingle can be similar to are of no use in it.
+    smallest = F.greatest(F.col("smallest"), F.ceil(F.lit(SIMILAR) * F.col("size") - 1e-6))
+    members = durable(members.where(_reaches(F.col("size"), F.col("pos"), smallest)).drop("smallest"))
+    near = F.filter("centres", lambda c: (c["node"] != F.col("node")) & _reaches(F.col("size"), F.col("pos"), c["size"], c["pos"]))
+    pairs = members.select("node", F.explode(near).alias("c")).select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct()
+    first = verified(pairs, sets)
+    stars = _stars(first.unionByName(known))
+    across = _pairs_across(durable(_rooted(members.drop("centres"), stars)), bucket, SIMILAR)
+    return stars.unionByName(verified(across, sets))
 
 
 def _pairs_across(members: DataFrame, bucket: int, least: float | None = None) -> DataFrame:
@@ -99,8 +124,7 @@ def _pairs_across(members: DataFrame, bucket: int, least: float | None = None) -
     members. Members are dealt to blocks by a hash, and every block of all meets every block of the minor once.
 
     With ``least``, members also have the size of their set and the position, from 0, of the shingle in it, rarest first.
-    What follows the first shingle that two sets share bounds what they share, so a pair that the bound keeps
-    below that similarity at this shingle is left out: at the first shared one of a similar pair it is not.
+    A pair that can't be similar if this shingle is the first that it shares (``_reaches``) is left out here.
     """
     roots = members.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
     sizes = roots.groupBy("shingle").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("large")).where(F.col("n") > F.col("large.n"))
@@ -117,8 +141,7 @@ def _pairs_across(members: DataFrame, bucket: int, least: float | None = None) -
         across = (x["root"] != F.col("b.root")) & (~x["minor"] | (x["node"] < F.col("b.node")))
         if least is None:
             return across
-        shared = F.least(x["size"] - x["pos"], F.col("b.size") - F.col("b.pos"))
-        return across & (shared * (1 + least) >= (x["size"] + F.col("b.size")) * least - 1e-6)
+        return across & _reaches(x["size"], x["pos"], F.col("b.size"), F.col("b.pos"), least)
 
     others = F.filter("as", may)
     pairs = met.select("as", F.explode("bs").alias("b")).select(F.col("b.node").alias("u"), F.explode(others).alias("a")).select("u", F.col("a.node").alias("v"))
@@ -126,7 +149,7 @@ def _pairs_across(members: DataFrame, bucket: int, least: float | None = None) -
 
 
 def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], known: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """u, v: links that, with the ``known`` ones, connect similar texts.
+    """u, v: links that connect similar texts, the ``known`` links among them (as such, or by others that connect the same).
 
     ``nodes`` has node and keys, one row a node; ``sets_of`` gives the sets (node, shingles) of some nodes (node):
     only those of candidates move.
@@ -135,11 +158,12 @@ def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], k
     stars = keyed.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = durable(split_join(keyed, stars, ["key"], "node"))
     held = durable(sets_of(members.select("node").distinct()))
-    first = durable(verified(members.where("node <> v").select(F.col("node").alias("u"), "v").distinct(), held))
-    members = durable(_counted(durable(_rooted(members.drop("v"), first.unionByName(known))), ["key"]))
+    first = verified(members.where("node <> v").select(F.col("node").alias("u"), "v").distinct(), held)
+    stars = _stars(first.unionByName(known))
+    members = durable(_counted(durable(_rooted(members.drop("v"), stars)), ["key"]))
     few = _all_pairs(members.where(F.col("n") <= bucket), ["key"]).distinct()
-    found = durable(first.unionByName(verified(few, held)))
+    found = durable(stars.unionByName(verified(few, held)))
     crowd = members.where(F.col("n") > bucket).select("node").distinct()
     if crowd.isEmpty():
         return found
-    return found.unionByName(crowd_links(durable(held.join(crowd, "node", "left_semi")), found.unionByName(known), bucket))
+    return crowd_links(durable(held.join(crowd, "node", "left_semi")), found, bucket)

@@ -1,10 +1,15 @@
 """Near copies by verified shingle similarity, against brute force."""
 
 import random
+import time
+from collections import Counter
+from pathlib import Path
 
-from foliate.llm import simhash
+from foliate.llm import similar, simhash
+from foliate.llm.common import durable
 from foliate.llm.components import components
 from foliate.llm.similar import _pairs_across, crowd_links
+from pyspark.sql import functions as F
 from tests.llm.helpers import prose
 from tests.llm.test_dedup import _roots
 
@@ -73,3 +78,46 @@ def test_members_outside_the_largest_component_meet_all_others_once(spark):
     for bucket in (1, 4, 100):
         got = [tuple(r) for r in _pairs_across(frame, bucket).select("u", "v").collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_blocks_get_few_copies_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Texts of one form that link through some of them: what is left for the blocks is far below members times blocks."""
+    draw, texts = random.Random(3), {}
+    form = prose(5, 200).split()
+    for d in range(150):
+        words = list(form)
+        for _ in range(draw.randint(1, 4)):
+            words[draw.randrange(len(words))] = f"own{draw.randrange(10_000)}"
+        texts[d] = " ".join(words)
+    number, sets = {}, []
+    for d, text in texts.items():
+        w = text.split()
+        sets.append((d, sorted({number.setdefault(tuple(w[i : i + 5]), len(number)) for i in range(len(w) - 4)})))
+    copies, across = [], similar._pairs_across
+
+    def counted(members, bucket, least=None):
+        sizes = Counter((r["shingle"], r["root"]) for r in members.collect())
+        for shingle in {s for s, _ in sizes}:
+            each = [n for (s, _), n in sizes.items() if s == shingle]
+            copies.append((sum(each) - max(each)) * -(-sum(each) // bucket))
+        return across(members, bucket, least)
+
+    monkeypatch.setattr(similar, "_pairs_across", counted)
+    got = {d: d for d in texts} | {r["node"]: r["root"] for r in components(crowd_links(spark.createDataFrame(sets, "node long, shingles array<int>"), spark.createDataFrame([], "u long, v long"), 4)).collect()}
+    assert got == _roots(sorted(texts), _similar(texts))
+    assert sum(copies) < 6000  # 53,367 without the choice of members
+
+
+def test_shuffle_files_go_when_a_checkpoint_is_there(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    local = [f"{d}" for d in manager.localDirsString()]
+    files = lambda: {f for d in local for f in Path(d).rglob("shuffle_*")}
+    before = files()
+    counts = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    kept = durable(counts)
+    for _ in range(100):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert kept.count() == counts.count() == 10
