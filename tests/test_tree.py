@@ -59,3 +59,12 @@ def test_circles_and_repeated_nodes(spark):
     for bad in ([(1, "a", "b", 0), (1, "b", "a", 0)], [(1, "a", "a", 0)], [(1, "a", "body", 0), (1, "a", "body", 1)]):
         with pytest.raises(ValueError, match="circle"):
             run(spark, [(1, "body", None, 0), *bad])
+
+
+def test_leaves_are_not_climbed(spark, monkeypatch):
+    """Rounds move inner nodes only; a tree of 300 leaves has four of these."""
+    moved, climbed = [], tree._climbed
+    monkeypatch.setattr(tree, "_climbed", lambda s, c: moved.append(s.count()) or climbed(s, c))
+    rows = [(1, "body", None, 0)] + [(1, f"p{i}", "body", i) for i in range(3)] + [(1, f"n{i}", f"p{i % 3}", i) for i in range(300)]
+    assert run(spark, rows) == [(d, k, n) for d, n, k in sorted(walk(rows), key=lambda r: (r[0], r[2]))]
+    assert max(moved) == 4
