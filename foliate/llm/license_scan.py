@@ -1,6 +1,6 @@
 """Licence scan by a trained paragraph classifier (native: DataFrame functions and Spark's own learner).
 
-A paragraph is a line. A multinomial logistic regression on hashed word n-grams (n from 1 to 3),
+A paragraph is a line. A multinomial logistic regression on hashed word n-grams (n from 1 to 3) of the fixed texts,
 sparse by its elastic net, tells licence families from an unknown class. It is fitted on licence
 templates, on shortened variants of them and on a bounded sample of other paragraphs, those with the words of licences
 among them; a logistic curve on templates and paragraphs kept whole from a first fit calibrates how far the best family leads the
@@ -24,7 +24,7 @@ from math import exp
 from operator import and_, or_
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,19 +131,19 @@ def _gated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class LicenceModel:
-    """The fitted learner, its calibration curve and the templates."""
+    """The fitted learner, its calibration curve, the families, and what makes its features."""
 
-    def __init__(self, learner, curve, families: list[str], hashing: HashingTF) -> None:
-        self.learner, self.curve, self.families, self.hashing = learner, curve, families, hashing
+    def __init__(self, learner, curve, families: list[str], hashing: HashingTF, slicer: VectorSlicer) -> None:
+        self.learner, self.curve, self.families, self.hashing, self.slicer = learner, curve, families, hashing, slicer
 
     def predict(self, paragraphs: DataFrame) -> DataFrame:
         """``paragraphs`` (with ``_words``) and family, calibrated."""
-        scored = self.learner.transform(self.hashing.transform(paragraphs.withColumn("_grams", _features(F.col("_words")))))
+        scored = self.learner.transform(self.slicer.transform(self.hashing.transform(paragraphs.withColumn("_grams", _features(F.col("_words"))))))
         logits = vector_to_array("_logits")
         best = F.array_max(F.transform(F.slice(logits, 2, len(self.families) - 1), lambda x, i: F.struct(x.alias("logit"), (-i).alias("i"))))
         out = scored.withColumn("_lead", best["logit"] - logits[0]).withColumn("family", F.element_at(F.array(*map(F.lit, self.families[1:])), (1 - best["i"]).cast("int")))
         a, b = self.curve
-        return out.withColumn("calibrated", 1 / (1 + F.exp(-(F.lit(a) * F.col("_lead") + F.lit(b))))).drop("_grams", "_hashed", "_logits", "_lead", "_p", "_guess")
+        return out.withColumn("calibrated", 1 / (1 + F.exp(-(F.lit(a) * F.col("_lead") + F.lit(b))))).drop("_grams", "_hashed", "_known", "_logits", "_lead", "_p", "_guess")
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, id_col: str = "doc_id", gated: DataFrame | None = None) -> LicenceModel:
@@ -159,20 +159,24 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, id_col: s
             made += ["Copyright (c) 2020 the authors. " + text, text + " See the file for details.", "This file: " + text.lower()]
             rows += [(family, x, own) for x in made]
     rows += [(UNKNOWN, t, t) for t in OTHERS for _ in range(3)]
-    known = spark.createDataFrame([(families.index(f), t, own) for f, t, own in rows], "label int, text string, own string").coalesce(1)
+    known = spark.createDataFrame([(families.index(f), t, own) for f, t, own in rows], "label int, text string, own string").withColumn("_fixed", F.lit(True)).coalesce(1)
     hashing = HashingTF(inputCol="_grams", outputCol="_hashed", numFeatures=FEATURES, binary=True)
-    other = _others(docs, gated, text_col, sample).select(F.lit(0).alias("label"), "text", F.col("text").alias("own"))
+    other = _others(docs, gated, text_col, sample).select(F.lit(0).alias("label"), "text", F.col("text").alias("own"), F.lit(False).alias("_fixed"))
     # What is held out is held with all its variants: whole templates and whole paragraphs.
     data = durable(known.unionByName(other).coalesce(2).withColumn("_held", F.pmod(F.xxhash64("own"), F.lit(4)) == 0).withColumn("_words", words(F.col("text"))))
-    ready = hashing.transform(data.withColumn("_grams", _features(F.col("_words")))).cache()
-    learner = LogisticRegression(featuresCol="_hashed", labelCol="label", rawPredictionCol="_logits", probabilityCol="_p", predictionCol="_guess", family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=ITERATIONS)
+    hashed = hashing.transform(data.withColumn("_grams", _features(F.col("_words"))))
+    # The learner makes dozens of arrays of all coefficients an iteration in the driver, so it gets the features of the fixed texts alone (a tenth, whatever the corpus holds).
+    known_features = sorted({int(i) for r in hashed.where("_fixed").select("_hashed").collect() for i in r["_hashed"].indices})
+    slicer = VectorSlicer(inputCol="_hashed", outputCol="_known", indices=known_features)
+    ready = slicer.transform(hashed).cache()
+    learner = LogisticRegression(featuresCol="_known", labelCol="label", rawPredictionCol="_logits", probabilityCol="_p", predictionCol="_guess", family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=ITERATIONS)
     first = learner.fit(ready.where(~F.col("_held")))
     logits = vector_to_array("_logits")
     held = first.transform(ready.where("_held")).select((F.col("label") > 0).cast("int").alias("y"), (F.array_max(F.slice(logits, 2, len(families) - 1)) - logits[0]).alias("x"))
     pairs = [(r["x"], r["y"]) for r in held.collect()]
     model = learner.fit(ready)
     ready.unpersist()
-    return LicenceModel(model, calibrate(pairs), families, hashing)
+    return LicenceModel(model, calibrate(pairs), families, hashing, slicer)
 
 
 def _others(docs: DataFrame, gated: DataFrame, text_col: str, sample: int) -> DataFrame:
