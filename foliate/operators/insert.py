@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ Slot = Callable[[DataFrame], DataFrame]
 class Slots:
     """Where models are plugged in; each adds its column and a column error, null for rows that went well.
 
-    ``describe`` adds description to blocks, ``extract`` adds entities (array of string) to chunks (doc_id, chunk_id, text). The second of each
+    Other columns of the rows go through a slot. ``describe`` adds description to blocks, ``extract`` adds entities (array of string) to chunks (doc_id, chunk_id, text). The second of each
     pair gets the rows that the first failed on, one by one as it were: a smaller model, a longer wait, a shorter prompt.
     """
 
@@ -35,15 +34,14 @@ class Slots:
 def attempt(rows: DataFrame, keys: list[str], slot: Slot, one: Slot, kept: list[str], use: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """What a slot, or else the individual one, did well: keys, the columns ``kept`` and via (batch or individual); and what failed twice (keys, error).
 
-    Only this is written down, so that no model is asked twice; rows that failed are looked up by their keys again.
-    ``use`` is a column of a slot's output that is kept as ``made``.
+    This is written down, so that no model is asked twice, and of rows that failed what the slot was given: they are tried again from there,
+    and nothing is read, made or shuffled a second time for them. ``use`` is a column of a slot's output that is kept as ``made``.
     """
     wanted = [*keys, *kept, *([use.alias("made")] if use is not None else []), "error"]
-    first = stored(slot(rows).select(*wanted), "attempt")
-    again = first.where("error IS NOT NULL").select(*[F.col(k).alias(f"_{k}") for k in keys])
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    second = stored(one(rows.join(again.distinct(), reduce(Column.__and__, same), "left_semi")).select(*wanted), "attempt")
-    good = first.where("error IS NULL").withColumn("via", F.lit("batch")).unionByName(second.where("error IS NULL").withColumn("via", F.lit("individual")))
+    asked = slot(rows.withColumn("_given", F.struct(*rows.columns)))
+    first = stored(asked.select(*wanted, F.when(F.col("error").isNotNull(), F.col("_given")).alias("_given")), "attempt")
+    second = stored(one(first.where("error IS NOT NULL").select("_given.*")).select(*wanted), "attempt")
+    good = first.where("error IS NULL").drop("_given").withColumn("via", F.lit("batch")).unionByName(second.where("error IS NULL").withColumn("via", F.lit("individual")))
     return good.drop("error"), second.where("error IS NOT NULL").select(*keys, "error")
 
 

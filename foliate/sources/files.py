@@ -110,7 +110,8 @@ def read_bundles(spark: SparkSession, path: str, base: str = "") -> tuple[DataFr
     read = lines.select("doc_id", F.when(whole, F.from_json("body", CONTENT_LIST)).alias("all")).join(again, "doc_id", "left")
     error = F.when(F.coalesce("doc_id", F.lit("")) == "", "no name").when(F.col("_again"), "a name twice").when(F.col("all").isNull(), "no content list").when(F.size("all") == 0, "no blocks")
     read = read.withColumn("error", error)
-    return content_blocks(read.where("error IS NULL"), "doc_id", base), read.where("error IS NOT NULL").select("doc_id", "error").distinct()
+    unread = stored(read.where("error IS NOT NULL").select("doc_id", "error").distinct(), "unread")  # for errors and for statuses
+    return content_blocks(read.where("error IS NULL"), "doc_id", base), unread
 
 
 def ocr_blocks(results: DataFrame) -> DataFrame:

@@ -57,6 +57,22 @@ def test_failures_and_repair(spark, tmp_path):
     assert sorted(map(tuple, chunks.read().collect())) == before
 
 
+def test_what_failed_is_tried_again_from_what_was_kept(spark, tmp_path):
+    """The second slot gets the rows that failed and no others, and neither the input nor the keys are read and joined for it."""
+    spark.createDataFrame([(1, "fine"), (1, "refuse x"), (2, "refuse y"), (None, "refuse z")], "doc_id long, text string").write.parquet(f"{tmp_path}/rows")
+    read, given = [], spark.read.parquet(f"{tmp_path}/rows")
+    once = lambda rows: rows.select("*", F.upper("text").alias("said"), F.when(F.startswith("text", F.lit("refuse")), F.lit("refused")).alias("error"))
+
+    def one(rows):
+        read.extend(rows.inputFiles())
+        return rows.select("*", F.reverse("text").alias("said"), F.when(F.col("doc_id") == 2, F.lit("no")).alias("error"))
+
+    good, failed = insert.attempt(given, ["doc_id"], once, one, ["text"], F.col("said"))
+    assert read and not any(f"{tmp_path}/rows" in f for f in read)
+    assert {tuple(r) for r in good.collect()} == {(1, "fine", "FINE", "batch"), (1, "refuse x", "x esufer", "individual"), (None, "refuse z", "z esufer", "individual")} and good.count() == 3
+    assert [tuple(r) for r in failed.collect()] == [(2, "no")]
+
+
 def test_nothing_to_insert(spark, tmp_path):
     put(tmp_path / "in", "")
     out, chunks, status = run(spark, tmp_path, slots())
