@@ -90,7 +90,7 @@ class KeyedStore:
 
     def _write(self, rows: DataFrame) -> str:
         name = f"data-{uuid.uuid4()}"
-        rows.write.parquet(f"{self.folder}/{name}")
+        rows.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
         return name
 
     def read(self, version: Version | None = None) -> DataFrame:
