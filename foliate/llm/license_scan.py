@@ -193,7 +193,8 @@ def _others(docs: DataFrame, gated: DataFrame, text_col: str, sample: int) -> Da
     some = lambda lines: lines.orderBy(F.xxhash64("text"), "text").limit(sample)
     lines = docs.select(F.filter(F.split(as_text(F.col(text_col)), "\n"), lambda x: F.trim(x) != "").alias("all"))
     telling = gated.where(F.size("all") > 0).select(F.col("all.text").alias("all"))
-    near = drawn(telling, telling.count()).withColumn("_s", _shingles(words(F.col("text"))))
+    # Shingles are made once a distinct paragraph and written down: else the filter goes below the folding of copies, and makes them anew for every template and copy, its words for every shingle.
+    near = durable(drawn(telling, telling.count()).coalesce(1).withColumn("_w", words(F.col("text"))).select("text", _shingles(F.col("_w")).alias("_s")))
     templates = F.flatten(F.map_values(_template_shingles(docs.sparkSession)))
     like = F.array_max(F.transform(templates, lambda t: F.size(F.array_intersect("_s", t)) / F.least(F.size("_s"), F.size(t))))
     return some(drawn(lines, docs.count()).where(~_gate(F.col("text")))).unionByName(some(near.where(like < SIMILAR / 2).select("text")))

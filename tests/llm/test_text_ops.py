@@ -465,6 +465,16 @@ def test_licence_edges(spark, model):
     assert license_scan.scan(nothing(spark), model).count() == 0
 
 
+def test_licence_sample_of_long_paragraphs_and_their_copies(spark):
+    """Shingles were made anew for every copy and template, and a paragraph's words for every shingle."""
+    text = "A fishing license " + " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(i, text) for i in range(64)], "doc_id long, text string")
+    gated = license_scan.durable(license_scan._gated(docs, "doc_id", "text"))
+    began = time.time()
+    assert [r["text"] for r in license_scan._others(docs, gated, "text", 400).collect()] == [text]
+    assert time.time() - began < 60
+
+
 def test_known_and_unknown_paragraphs_are_told_apart(spark, model):
     known = [(t, f) for f, texts in license_scan.TEMPLATES.items() for t in texts]
     frame = spark.createDataFrame([(t + " Thanks to all.", f) for t, f in known] + [(t, None) for t in license_scan.OTHERS], "text string, want string")
